@@ -74,8 +74,8 @@ def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
 
 @F.pandas_udf("double")
 def f_tail(stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(s) else _beta_lower(n / 2, m / 2, n / (n + m * s)) if False else
-                      _beta_lower(m / 2, n / 2, m / (m + n * s)) for s, n, m in zip(stat, d1, d2)], dtype="float64")
+    return pd.Series([None if pd.isna(s) else _beta_lower(m / 2, n / 2, m / (m + n * s))
+                      for s, n, m in zip(stat, d1, d2)], dtype="float64")
 
 
 @F.pandas_udf("double")
