@@ -12,8 +12,10 @@ from flowtally.operators.clean import lookup
 from flowtally.operators.ordered import cumulative_counts
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", weight: str | None = None) -> DataFrame:
+    """Rows per (label, prediction); with ``weight`` the rows are counts already."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(label, prediction).agg(rows.alias("n"))
 
 
 def display_name(cls: Column, names: dict[int, str], prefix: str = "Class_") -> Column:
@@ -23,9 +25,9 @@ def display_name(cls: Column, names: dict[int, str], prefix: str = "Class_") ->
 
 
 def class_counts(df: DataFrame, label: str = "label", prediction: str = "prediction",
-                 classes: Sequence[int] = ()) -> DataFrame:
+                 classes: Sequence[int] = (), weight: str | None = None) -> DataFrame:
     """Support, predicted and hit counts per class seen in truth or prediction, or listed."""
-    cells = confusion(df, label, prediction)
+    cells = confusion(df, label, prediction, weight)
     hit = F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(F.lit(0))
     none = F.lit(0).cast("bigint")
     sides = cells.select(F.inline(F.array(
@@ -46,10 +48,11 @@ def _with_scores(counts: DataFrame) -> DataFrame:
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
-                          classes: Sequence[int] = (), names: dict[int, str] | None = None) -> DataFrame:
+                          classes: Sequence[int] = (), names: dict[int, str] | None = None,
+                          weight: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class, then the micro, macro and weighted rows.
     A zero denominator gives 0."""
-    per_class = _with_scores(class_counts(df, label, prediction, classes))
+    per_class = _with_scores(class_counts(df, label, prediction, classes, weight))
     if classes:
         per_class = per_class.where(F.col("cls").isin([int(c) for c in classes]))
     scores = ("precision", "recall", "f1")
