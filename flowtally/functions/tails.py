@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _gamma_upper(a: float, x: float) -> float:
@@ -67,17 +68,17 @@ def _log_phi(w: float) -> float:
     return -0.5 * w * w - math.log(-w * math.sqrt(2 * math.pi)) + math.log1p(-1 / w**2 + 3 / w**4)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(s) else _gamma_upper(d / 2, s / 2) for s, d in zip(stat, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(s) else _beta_lower(m / 2, n / 2, m / (m + n * s))
                       for s, n, m in zip(stat, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_normal_cdf(w: pd.Series) -> pd.Series:
     return w.map(_log_phi)

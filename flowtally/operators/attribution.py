@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -19,6 +18,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowtally.operators.ensemble import SoftVoteModel
 from flowtally.session import fresh_path
@@ -26,16 +26,12 @@ from flowtally.session import fresh_path
 TOP_FEATURES = 10
 MAX_NODES = 5_000_000
 
+_TOP = T.ArrayType(T.StructType([
+    T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("shap", T.DoubleType())]))
 
-@dataclass
-class Leaf:
-    """A leaf's weighted value and, per path feature, its interval and cover share."""
 
-    value: float
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    cover: np.ndarray
+# A leaf: its weighted value and, per path feature, the feature, its interval and cover share.
+Leaf = tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
@@ -45,8 +41,8 @@ def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
         node = nodes[i]
         if node["left"] < 0:
             f = sorted(box)
-            out.append(Leaf(weight * node["prediction"], np.array(f, dtype=int), *(
-                np.array([box[j][a] for j in f]) for a in range(3))))
+            out.append((weight * node["prediction"], np.array(f, dtype=int),
+                        *(np.array([box[j][a] for j in f]) for a in range(3))))
             return
         j, t = node["feature"], node["threshold"]
         low, high, cover = box.get(j, (-math.inf, math.inf, 1.0))
@@ -59,7 +55,8 @@ def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
 
 def _pattern_table(leaf: Leaf) -> np.ndarray:
     """Shapley share of each path feature for every pattern of met conditions: (2^m, m)."""
-    m = len(leaf.features)
+    value, features, _, _, cover = leaf
+    m = len(features)
     weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
     table = np.zeros((2**m, m))
     for code, met in enumerate(product((0.0, 1.0), repeat=m)):
@@ -67,19 +64,19 @@ def _pattern_table(leaf: Leaf) -> np.ndarray:
             poly = np.array([1.0])  # coefficient s: sum over sets of s other features
             for i in range(m):
                 if i != j:
-                    poly = np.append(poly * leaf.cover[i], 0.0) + np.append(0.0, poly * met[i])
-            table[code, j] = leaf.value * (met[j] - leaf.cover[j]) * float(poly @ weight)
+                    poly = np.append(poly * cover[i], 0.0) + np.append(0.0, poly * met[i])
+            table[code, j] = value * (met[j] - cover[j]) * float(poly @ weight)
     return table
 
 
 def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray]]) -> np.ndarray:
     phi = np.zeros_like(x)
-    for leaf, table in leaves:
-        m = len(leaf.features)
+    for (_, features, low, high, _), table in leaves:
+        m = len(features)
         if m:
-            v = x[:, leaf.features]
-            met = (v > leaf.low) & (v <= leaf.high)
-            phi[:, leaf.features] += table[met @ (1 << np.arange(m - 1, -1, -1))]
+            v = x[:, features]
+            met = (v > low) & (v <= high)
+            phi[:, features] += table[met @ (1 << np.arange(m - 1, -1, -1))]
     return phi
 
 
@@ -114,8 +111,8 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
     sent = spark.sparkContext.broadcast(per_class)
     ready = model.prepare(df).withColumn("_scaled", vector_to_array("features")).withColumn(
         "_given", F.array(*[F.col(n).cast("double") for n in names])).drop("features")
-    keep = [c for c in df.columns]
-    schema = df.select(*keep).schema.add(out, "array<struct<feature:string,value:double,shap:double>>")
+    keep = list(df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, _TOP)])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tabled = [[(leaf, _pattern_table(leaf)) for leaf in leaves] for leaves in sent.value]

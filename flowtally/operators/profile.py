@@ -75,11 +75,22 @@ def row_missing_pct(df: DataFrame, out: str = "pct_missing") -> DataFrame:
 
 
 def row_missing_profile(df: DataFrame) -> DataFrame:
-    """Spread of the missing share over rows, and the number of rows with any gap."""
-    shares = row_missing_pct(df)
-    spread = describe(shares, ["pct_missing"])
-    gaps = shares.agg(F.count_if(F.col("pct_missing") > 0)).scalar()
-    return spread.withColumn("rows_with_missing", gaps).drop("feature")
+    """Spread of the missing share over rows, and the number of rows with any gap.
+
+    The share takes one value more than there are columns at most, so the rows are counted per
+    value and the spread comes from the counts.
+    """
+    x, c = F.col("pct_missing"), F.col("_c")
+    counted = row_missing_pct(df).groupBy("pct_missing").agg(F.count(F.lit(1)).alias("_c"))
+    out = counted.agg(
+        F.sum("_c").alias("n"), F.sum(x * c).alias("_s"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]), c).alias("_q"),
+        F.sum(F.when(x > 0, c).otherwise(F.lit(0))).alias("rows_with_missing"),
+        F.sum(x * x * c).alias("_s2"))
+    mean = F.col("_s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("_s2") - F.col("n") * mean * mean, F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return out.select("n", mean.alias("mean"), spread.alias("std"), "min", F.col("_q")[0].alias("p25"),
+                      F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max", "rows_with_missing")
 
 
 def infinite_profile(df: DataFrame) -> DataFrame:

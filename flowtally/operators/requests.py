@@ -42,7 +42,7 @@ def payload_vector(body: Column, data: Column) -> Column:
     """Vector of a request row: ``body`` else ``data``, as JSON text or bytes, holding
     ``features`` or being them; named values or a plain list."""
     def text(c: Column) -> Column:
-        return F.nullif(F.decode(c.cast("binary"), F.lit("UTF-8")), F.lit(""))
+        return F.nullif(F.decode(c.cast("binary"), "UTF-8"), F.lit(""))
 
     raw = F.coalesce(text(body), text(data))
     inner = F.coalesce(F.get_json_object(raw, "$.features"), raw)

@@ -77,4 +77,4 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str
 
 def cap_per_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """First ``n`` rows of each group in key order (a report size, applied before other filters)."""
-    return top_n(df, [group], [F.col(key).asc()], n, F.col(key), out="rank")
+    return top_n(df, [group], [F.col(key).asc(), F.xxhash64(*df.columns)], n, F.xxhash64(*df.columns), out="rank")

@@ -59,12 +59,12 @@ def levene(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("zbar"), (F.var_pop("z") * F.count(F.lit(1))).alias("within"))
     )
     total = spread.groupBy("feature").agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"),
         (F.sum(F.col("n") * F.col("zbar")) / F.sum("n")).alias("zall"), F.sum("within").alias("within_all"))
     # one row per (feature, group) on both sides
-    between = spread.join(total, "feature").groupBy("feature", "N", "k", "within_all").agg(
+    between = spread.join(total, "feature").groupBy("feature", "n_all", "k", "within_all").agg(
         F.sum(F.col("n") * (F.col("zbar") - F.col("zall")) * (F.col("zbar") - F.col("zall"))).alias("between"))
-    d1, d2 = (F.col("k") - 1).cast("double"), (F.col("N") - F.col("k")).cast("double")
+    d1, d2 = (F.col("k") - 1).cast("double"), (F.col("n_all") - F.col("k")).cast("double")
     w = F.when(F.col("within_all") > 0, d2 / d1 * F.col("between") / F.col("within_all"))
     out = between.where("k >= 2").select("feature", w.alias("w"), d1.alias("d1"), d2.alias("d2"))
     return out.select("feature", "w", f_tail("w", "d1", "d2").alias("p_value"))
