@@ -36,8 +36,9 @@ def sigmoid_score(error: Column, threshold: Column | float | None) -> Column:
 def mixed_hash(key: Column, seed: int) -> Column:
     """A fixed integer mix of a whole-number key, in [0, 2^32).
 
-    An odd multiplier makes it a bijection on keys below 2^32. Keys are folded to 31 bits
-    first, so the product never leaves BIGINT; ties between far keys go to the key itself.
+    An odd multiplier makes it a bijection on keys below 2^31. Longer keys are folded to 31
+    bits first, so the product never leaves BIGINT; ties go to the key itself.
     """
-    folded = F.pmod(key.cast("bigint"), F.lit(2147483648))
+    k = key.cast("bigint")
+    folded = F.pmod(k.bitwiseXOR(F.shiftright(k, 31)), F.lit(2147483648))
     return F.pmod(folded * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +26,6 @@ from flowtally.session import fresh_path
 TOP_FEATURES = 10
 MAX_NODES = 5_000_000
 
-_TOP = T.ArrayType(T.StructType([
-    T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("shap", T.DoubleType())]))
 
 
 # A leaf: its weighted value and, per path feature, the feature, its interval and cover share.
@@ -70,13 +68,18 @@ def _pattern_table(leaf: Leaf) -> np.ndarray:
 
 
 def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray]]) -> np.ndarray:
+    """Attributions of a block of rows; both arrays are (features, rows)."""
     phi = np.zeros_like(x)
     for (_, features, low, high, _), table in leaves:
-        m = len(features)
-        if m:
-            v = x[:, features]
-            met = (v > low) & (v <= high)
-            phi[:, features] += table[met @ (1 << np.arange(m - 1, -1, -1))]
+        pattern = np.zeros(x.shape[1], dtype="int32")
+        for f, lo, hi in zip(features, low, high):
+            met = x[f] <= hi if lo == -math.inf else x[f] > lo
+            if lo != -math.inf and hi != math.inf:
+                met &= x[f] <= hi
+            pattern += pattern
+            pattern += met
+        for j, f in enumerate(features):
+            phi[f] += table[:, j].take(pattern)
     return phi
 
 
@@ -109,25 +112,32 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
     names = list(model.names)
     per_class = [[leaf for tree in export_trees(spark, m) for leaf in tree] for m in model.boosted]
     sent = spark.sparkContext.broadcast(per_class)
-    ready = model.prepare(df).withColumn("_scaled", vector_to_array("features")).withColumn(
-        "_given", F.array(*[F.col(n).cast("double") for n in names])).drop("features")
-    keep = list(df.columns)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, _TOP)])
+    given = F.array(*[F.col(n).cast("double") for n in names])
+    ready = model.prepare(df).select(*df.columns, vector_to_array("features").alias("_scaled"), given.alias("_given"))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StructType([
+        T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
+        T.StructField("shap", T.DoubleType())])))])
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tabled = [[(leaf, _pattern_table(leaf)) for leaf in leaves] for leaves in sent.value]
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["_scaled"].to_numpy())
-            mean = sum(np.abs(_shapley(x, leaves)) for leaves in tabled) / len(tabled)
+            rows = batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = np.ascontiguousarray(rows.T)
+            mean = (sum(np.abs(_shapley(x, leaves)) for leaves in tabled) / len(tabled)).T
             order = np.argsort(-mean, axis=1, kind="stable")[:, :top_n]
-            given = pdf["_given"].to_numpy()
-            yield pdf[keep].assign(**{out: [
-                [{"feature": names[j], "value": given[r][j], "shap": round(float(mean[r, j]), 4)} for j in order[r]]
-                for r in range(len(pdf))]})
-
-    return ready.select(*keep, "_scaled", "_given").mapInPandas(attribute, schema)
+            n = order.shape[1]
+            cells = order + np.arange(0, rows.size, rows.shape[1])[:, None]
+            top = pa.StructArray.from_arrays([
+                pa.array(names).take(pa.array(order.ravel())),
+                batch.column("_given").flatten().take(pa.array(cells.ravel())),
+                pa.array(np.round(mean.ravel()[cells.ravel()], 4))], ["feature", "value", "shap"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, n, dtype="int32")), top)
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_scaled", "_given")]
+            yield pa.RecordBatch.from_arrays([*kept, lists], names=schema.names)
+
+    return ready.mapInArrow(attribute, schema)
 
 
 def top_n_of(names: Sequence[str], values, n: int = TOP_FEATURES):

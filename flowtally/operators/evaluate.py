@@ -90,59 +90,76 @@ def _curve(scored: DataFrame, keys: Sequence[str], score: str, positive: str) ->
         "n": F.count(F.lit(1)), "p": F.sum(F.col(positive).cast("bigint"))})
 
 
-def roc_auc(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", positive: str = "positive") -> DataFrame:
-    """Area under the ROC curve per group; equal scores count half. Groups need both outcomes."""
-    c = _curve(scored, keys, score, positive)
+def _area() -> Column:
+    """Rank form of the area under the ROC curve, equal scores counting half. Null unless both
+    outcomes occur."""
     below = (F.col("n_below") - F.col("p_below")).cast("double")
     here = (F.col("n") - F.col("p")).cast("double")
-    out = c.groupBy(*keys).agg(
-        F.sum(F.col("p") * (below + here / 2)).alias("_wins"),
-        F.max("p_total").cast("double").alias("_pos"), F.max(F.col("n_total") - F.col("p_total")).cast("double").alias("_neg"))
-    return out.where((F.col("_pos") > 0) & (F.col("_neg") > 0)).select(
-        *keys, (F.col("_wins") / (F.col("_pos") * F.col("_neg"))).alias("roc_auc"))
+    pos, neg = F.max("p_total").cast("double"), F.max(F.col("n_total") - F.col("p_total")).cast("double")
+    return F.when((pos > 0) & (neg > 0), F.sum(F.col("p") * (below + here / 2)) / (pos * F.nullif(neg, F.lit(0.0))))
+
+
+def _flagged() -> Column:
+    """Rows flagged when everything from this score up is flagged."""
+    return (F.col("n_total") - F.col("n_below")).cast("double")
+
 
+def _hits() -> Column:
+    """Positives among the flagged rows."""
+    return (F.col("p_total") - F.col("p_below")).cast("double")
 
-def _at_threshold(curve: DataFrame) -> DataFrame:
-    """True positives and flagged rows when everything from this score up is flagged."""
-    return curve.withColumn("tp", (F.col("p_total") - F.col("p_below")).cast("double")).withColumn(
-        "flagged", (F.col("n_total") - F.col("n_below")).cast("double"))
+
+def _mean_precision() -> Column:
+    """Precision at every distinct score, weighted by the recall gained there. Null without positives."""
+    share = F.try_divide(F.col("p"), F.col("p_total"))
+    return F.sum(share * _hits() / _flagged())
+
+
+def roc_auc(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", positive: str = "positive") -> DataFrame:
+    """Area under the ROC curve per group; groups need both outcomes."""
+    c = _curve(scored, keys, score, positive)
+    return c.groupBy(*keys).agg(_area().alias("roc_auc")).where("roc_auc IS NOT NULL")
 
 
 def average_precision(scored: DataFrame, keys: Sequence[str] = (), score: str = "score",
                       positive: str = "positive") -> DataFrame:
-    c = _at_threshold(_curve(scored, keys, score, positive)).where("p_total > 0")
-    return c.groupBy(*keys).agg(
-        F.sum(F.col("p") / F.col("p_total") * F.col("tp") / F.col("flagged")).alias("avg_precision"))
+    c = _curve(scored, keys, score, positive)
+    return c.groupBy(*keys).agg(_mean_precision().alias("avg_precision")).where("avg_precision IS NOT NULL")
 
 
 def macro_ovr(df: DataFrame, label: str = "label", probabilities: str = "probabilities") -> DataFrame:
-    """Mean one-vs-rest ROC area and average precision over the classes that have them."""
-    scored = one_vs_rest(df, label, probabilities)
-    auc = roc_auc(scored, ["cls"]).agg(F.coalesce(F.avg("roc_auc"), F.lit(0.0)).alias("roc_auc_macro"))
-    ap = average_precision(scored, ["cls"]).agg(F.coalesce(F.avg("avg_precision"), F.lit(0.0)))
-    return auc.withColumn("auc_pr_macro", ap.scalar())
+    """Mean one-vs-rest ROC area and average precision over the classes that have them; both
+    come from the same counts."""
+    c = _curve(one_vs_rest(df, label, probabilities), ["cls"], "score", "positive")
+    per_class = c.groupBy("cls").agg(_area().alias("a"), _mean_precision().alias("p"))
+    return per_class.agg(F.coalesce(F.avg("a"), F.lit(0.0)).alias("roc_auc_macro"),
+                         F.coalesce(F.avg("p"), F.lit(0.0)).alias("auc_pr_macro"))
+
+
+def _with_f1(curve: DataFrame, score: str, eps: float) -> DataFrame:
+    points = curve.withColumns({"precision": _hits() / _flagged(), "recall": F.try_divide(_hits(), F.col("p_total"))})
+    p, r = F.col("precision"), F.col("recall")
+    return points.withColumns({"threshold": F.col(score), "f1": 2 * p * r / (p + r + eps)})
 
 
 def pr_curve(scored: DataFrame, score: str = "score", positive: str = "positive", eps: float = 1e-8) -> DataFrame:
     """Precision, recall and F1 at every distinct score."""
-    c = _at_threshold(_curve(scored, [], score, positive)).where("p_total > 0")
-    points = c.select(F.col(score).alias("threshold"), (F.col("tp") / F.col("flagged")).alias("precision"),
-                      (F.col("tp") / F.col("p_total")).alias("recall"))
-    p, r = F.col("precision"), F.col("recall")
-    return points.withColumn("f1", 2 * p * r / (p + r + eps))
+    return _with_f1(_curve(scored, [], score, positive), score, eps).select("threshold", "precision", "recall", "f1")
+
+
+def _best() -> list[Column]:
+    """Largest F1 and its threshold, the lowest one of equals (0.5 without a curve)."""
+    top = F.max(F.when(F.col("f1").isNotNull(), F.struct("f1", (-F.col("threshold")).alias("low"))))
+    return [F.coalesce(top["f1"], F.lit(0.0)).alias("best_f1"), F.coalesce(-top["low"], F.lit(0.5)).alias("best_threshold")]
 
 
-def best_f1(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """Largest F1 on the curve and its threshold, the lowest one of equals (0.5 without a curve)."""
-    top = F.max(F.struct("f1", (-F.col("threshold")).alias("low")))
-    return pr_curve(scored, score, positive).agg(top.alias("t")).select(
-        F.coalesce(F.col("t.f1"), F.lit(0.0)).alias("best_f1"), F.coalesce(-F.col("t.low"), F.lit(0.5)).alias("best_threshold"))
+def best_f1(scored: DataFrame, score: str = "score", positive: str = "positive", eps: float = 1e-8) -> DataFrame:
+    return _with_f1(_curve(scored, [], score, positive), score, eps).agg(*_best())
 
 
-def evaluate_detector(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """One row: ROC area, best F1 and its threshold."""
-    area = roc_auc(scored, [], score, positive).agg(F.max("roc_auc")).scalar()
-    return best_f1(scored, score, positive).select(area.alias("roc_auc"), "best_f1", "best_threshold")
+def evaluate_detector(scored: DataFrame, score: str = "score", positive: str = "positive", eps: float = 1e-8) -> DataFrame:
+    """One row: ROC area, best F1 and its threshold, from one set of counts."""
+    return _with_f1(_curve(scored, [], score, positive), score, eps).agg(_area().alias("roc_auc"), *_best())
 
 
 def fold_summary(scores: DataFrame, column: str = "score") -> DataFrame:

@@ -43,8 +43,8 @@ def _cut_again(df: DataFrame, by: list[str], col: str, out: str, max_slice: int,
     ).where((F.col("_n") > max_slice) & (F.col("_hi") > F.col("_lo")))
     if only_single:
         crowded = crowded.where(F.col("_a") == F.col("_b")).drop("_a", "_b")
-    cuts, n = small_side(crowded)
-    if n == 0:
+    cuts, rows = small_side(crowded)
+    if rows == []:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     pieces = F.ceil(F.col("_n") / F.lit(max_slice))
     place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces)
@@ -78,25 +78,19 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column],
-                      max_slice: int = MAX_SLICE) -> DataFrame:
+                      max_slice: int = MAX_SLICE, may_crowd: bool = True) -> DataFrame:
     """One row per (keys, distinct value) with each aggregate of ``sums`` (additive ones),
     ``<name>_below`` (the same over all smaller values) and ``<name>_total``.
 
-    Rows with a null key or a null, NaN or infinite value are left out.
+    Rows with a null key or a null, NaN or infinite value are left out. A caller that knows no
+    slice to be crowded says so and saves the look.
     """
     base, by = _keyed(_usable(df, keys, value), keys)
-    parts, slices = _sliced(base, by, value, max_slice)
+    parts, slices = _sliced(base, by, value, max_slice) if may_crowd else (
+        base.withColumn("_s1", _grid(F.col(value))), ["_s1"])
     parts = parts.groupBy(*by, *slices, value).agg(*[agg.alias(name) for name, agg in sums.items()])
-    per_slice = parts.groupBy(*by, *slices).agg(*[F.sum(n).alias(f"{n}_slice") for n in sums])
-    before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = per_slice.select(
-        *by, *slices,
-        *[F.coalesce(F.sum(f"{n}_slice").over(before), F.lit(0)).alias(f"{n}_offset") for n in sums],
-        *[F.sum(f"{n}_slice").over(whole).alias(f"{n}_total") for n in sums],
-    )
+    joined = parts.join(_offsets(parts, by, slices, sums), [*by, *slices])
     inside = Window.partitionBy(*by, *slices).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = parts.join(offsets, [*by, *slices])
     return joined.select(
         *keys, value, *sums,
         *[(F.col(f"{n}_offset") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in sums],
@@ -104,6 +98,30 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict
     )
 
 
+def _offsets(parts: DataFrame, by: list[str], slices: list[str], sums) -> DataFrame:
+    """Per slice: the sums over the slices before it, and over the whole group."""
+    before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    per_slice = parts.groupBy(*by, *slices).agg(*[F.sum(n).alias(f"{n}_slice") for n in sums])
+    return per_slice.select(
+        *by, *slices,
+        *[F.coalesce(F.sum(f"{n}_slice").over(before), F.lit(0)).alias(f"{n}_offset") for n in sums],
+        *[F.sum(f"{n}_slice").over(whole).alias(f"{n}_total") for n in sums])
+
+
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, detail: str, max_slice: int = MAX_SLICE) -> DataFrame:
+    """Rows (keys, value, detail, m, c, mid_rank): ``m`` rows with this value and detail, ``c``
+    rows with this value, and the mean rank of those ``c`` rows in the group."""
+    base, by = _keyed(_usable(df, [*keys, detail], value), keys)
+    parts, slices = _sliced(base, by, value, max_slice)
+    parts = parts.groupBy(*by, *slices, value, detail).agg(F.count(F.lit(1)).alias("m"))
+    joined = parts.join(_offsets(parts, by, slices, ["m"]), [*by, *slices])
+    up_to = Window.partitionBy(*by, *slices).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = joined.withColumn("_upto", F.col("m_offset") + F.sum("m").over(up_to)).withColumn(
+        "c", F.sum("m").over(Window.partitionBy(*by, *slices, value)))
+    return counted.select(*keys, value, detail, "m", "c", (F.col("_upto") - (F.col("c") - 1) / 2).alias("mid_rank"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     max_slice: int = MAX_SLICE) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, prob, quantile, n).
@@ -123,12 +141,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                       for p in probs])
     wanted, known = small_side(
         slices.withColumn("_r", F.explode(ranks))
-        .select(*by, "_slice", "_offset", "n", F.col("_r.prob").alias("prob"), F.col("_r.rank").alias("rank"), "_rows")
-        .where((F.ceil("rank") >= F.col("_offset")) & (F.floor("rank") < F.col("_offset") + F.col("_rows")))
-        .drop("_rows"))
+        .select(*by, "_slice", "_offset", "_rows", "n", F.col("_r.prob").alias("prob"), F.col("_r.rank").alias("rank"))
+        .where((F.ceil("rank") >= F.col("_offset")) & (F.floor("rank") < F.col("_offset") + F.col("_rows"))))
     places = wanted.select(*by, "_slice").distinct()
     inner = base.join(places if known is None else F.broadcast(places), [*by, "_slice"], "left_semi")
-    counted = cumulative_counts(inner, [*by, "_slice"], value, {"_c": F.count(F.lit(1))}, max_slice)
+    counted = cumulative_counts(inner, [*by, "_slice"], value, {"_c": F.count(F.lit(1))}, max_slice,
+                                known is None or any(r["_rows"] > max_slice for r in known))
     at = counted.join(wanted, [*by, "_slice"]).withColumn("_a", F.col("_offset") + F.col("_c_below"))
 
     def holds(rank: Column) -> Column:

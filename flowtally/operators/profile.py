@@ -18,7 +18,7 @@ from flowtally.functions.numeric import finite_or_null
 from flowtally.operators.ordered import quantile_columns
 
 # Above this many features the pairwise sums go to matrix products.
-WIDE = 16
+WIDE = 6
 
 
 def _floating(df: DataFrame) -> set[str]:

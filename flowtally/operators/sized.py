@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 ROW_LIMIT = 20_000
 
 
-def small_side(df: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, int | None]:
-    """The join side to use for ``df`` and its row count.
+def small_side(df: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, list[Row] | None]:
+    """The join side to use for ``df``, and its rows if they were all fetched.
 
     At most ``limit`` narrow rows are fetched. If that is all of them they become a broadcast
-    local table; if there are more, ``df`` comes back as it is (count None) and the join is
-    left to a shuffle. The fetched rows also pin the values: a re-run task sees the same ones.
+    local table; if there are more, ``df`` comes back as it is (rows None) and the join is left
+    to a shuffle. The fetched rows also pin the values: a re-run task sees the same ones.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows

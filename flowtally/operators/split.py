@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,37 +17,45 @@ SLICES = 65_536
 
 
 def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column, out: str) -> DataFrame:
-    """Flag the first ``size`` rows of each stratum in hash order.
+    """Flag the first ``size`` rows of each stratum in (hash, key) order.
 
-    Hash space is cut in equal slices. Counts per slice tell which slices lie wholly before
-    or after the cut; only the rows of the one slice that holds it are ordered.
+    Counts per slice of the hash space tell which slice holds the cut, and the rows of that
+    slice alone are ordered to find the last row inside. The flag itself is then a comparison
+    with that row: no row of the table is moved.
     """
     by = list(strata) or ["_all"]
     base = df if strata else df.withColumn("_all", F.lit(0))
-    base = base.withColumn("_h", mixed_hash(F.col(key), seed)).withColumn(
-        "_slice", F.floor(F.col("_h") / F.lit(4294967296 // SLICES)).cast("int"))
+    base = base.withColumn("_h", mixed_hash(F.col(key), seed))
+    sliced = base.select(*by, "_h", key, F.floor(F.col("_h") / F.lit(4294967296 // SLICES)).cast("int").alias("_slice"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        base.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+        sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
         .withColumn("_size", size.cast("bigint"))
     )
-    last = counts.where((F.col("_offset") + F.col("_rows") >= F.col("_size")) & (F.col("_offset") < F.col("_size")))
-    cut, _ = small_side(last.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_slice").alias("_cut"),
-                                    (F.col("_size") - F.col("_offset")).alias("_need")))
-    on = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by]
-    placed = base.join(cut, on, "left").drop(*[f"_k_{b}" for b in by])
-    clear = placed.where(F.col("_cut").isNull() | (F.col("_slice") != F.col("_cut"))).withColumn(
-        out, F.coalesce(F.col("_slice") < F.col("_cut"), F.lit(False)))
+    holds_cut = (F.col("_offset") + F.col("_rows") >= F.col("_size")) & (F.col("_offset") < F.col("_size"))
+
+    def same_stratum(*more: Column) -> Column:
+        return reduce(and_, [*(F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by), *more])
+
+    cut, _ = small_side(counts.where(holds_cut).select(
+        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_slice").alias("_cut"), (F.col("_size") - F.col("_offset")).alias("_need")))
     order = Window.partitionBy(*by).orderBy("_h", key)
-    edge = placed.where(F.col("_slice") == F.col("_cut")).withColumn(
-        out, F.row_number().over(order) <= F.col("_need"))
-    return clear.unionByName(edge).select(*df.columns, out)
+    edge = sliced.join(cut, same_stratum(F.col("_slice") == F.col("_cut"))).withColumn("_rn", F.row_number().over(order))
+    last, _ = small_side(edge.where(F.col("_rn") == F.col("_need")).select(
+        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_h").alias("_last_h"), F.col(key).alias("_last_key")))
+    inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(key) <= F.col("_last_key")))
+    return base.join(last, same_stratum(), "left").select(
+        *df.columns, F.coalesce(inside, F.lit(False)).alias(out))
 
 
 def exact_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42, out: str = "is_train") -> DataFrame:
-    """Seeded shuffle and cut at exactly ``int(n * fraction)`` rows."""
+    """Seeded shuffle and cut at exactly ``int(n * fraction)`` rows.
+
+    The key should be unique. Rows that share a key stay on one side, so with repeated keys the
+    cut is off by the copies of the last key.
+    """
     return _exact_cut(df, [], key, seed, F.floor(F.col("n") * fraction), out)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtally.functions.tails import chi2_tail, f_tail, log_normal_cdf
-from flowtally.operators.ordered import cumulative_counts, exact_quantiles
+from flowtally.operators.ordered import cumulative_counts, exact_quantiles, mid_ranks
 from flowtally.operators.profile import long_form
 from flowtally.operators.sized import small_side
 
@@ -16,26 +16,22 @@ from flowtally.operators.sized import small_side
 def kruskal_wallis(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     """H with tie correction and its chi-square tail per feature, largest H first.
 
-    Values are counted per (feature, value, group) and per (feature, value); a value's mid-rank
-    follows from the count below it, so no row is ever ranked by itself.
+    Rows are counted per (feature, value, group) first; mid-ranks come from those counts, so no
+    row is ever ranked by itself.
     """
-    long = long_form(df, features, [group]).where(F.col("value").isNotNull() & F.col(group).isNotNull())
-    ranks = cumulative_counts(long, ["feature"], "value", {"c": F.count(F.lit(1))})
-    ranks = ranks.select("feature", "value", "c", (F.col("c_below") + (F.col("c") + 1) / 2).alias("mid"),
-                         F.col("c_total").alias("n"))
-    in_group = long.groupBy("feature", "value", group).agg(F.count(F.lit(1)).alias("m"))
+    long = long_form(df, features, [group])
+    ranked = mid_ranks(long, ["feature"], "value", group)
+    m, c = F.col("m").cast("double"), F.col("c").cast("double")
     sums = (
-        in_group.join(ranks.select("feature", "value", "mid"), ["feature", "value"])
-        .groupBy("feature", group).agg(F.sum("m").alias("n_g"), F.sum(F.col("m") * F.col("mid")).alias("r_g"))
-        .groupBy("feature").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("k"),
+        ranked.groupBy("feature", group).agg(
+            F.sum("m").alias("n_g"), F.sum(m * F.col("mid_rank")).alias("r_g"), F.sum(m * (c * c - 1)).alias("t_g"))
+        .groupBy("feature").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("t_g").alias("t"),
                                 F.sum(F.col("r_g") * F.col("r_g") / F.col("n_g")).alias("s"))
     )
-    c = F.col("c").cast("double")
-    ties = ranks.groupBy("feature").agg(F.sum(c * c * c - c).alias("t"))
     n = F.col("n").cast("double")
     correction = 1 - F.col("t") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / correction
-    tested = sums.join(ties, "feature").where(F.col("k") >= 2).select(
+    tested = sums.where(F.col("k") >= 2).select(
         "feature", F.when(correction > 0, h).alias("h"), (F.col("k") - 1).cast("double").alias("dof"))
     return tested.select("feature", "h", chi2_tail("h", "dof").alias("p_value")).orderBy(F.desc("h"), "feature")
 
