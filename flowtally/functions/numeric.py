@@ -36,9 +36,15 @@ def sigmoid_score(error: Column, threshold: Column | float | None) -> Column:
 def mixed_hash(key: Column, seed: int) -> Column:
     """A fixed integer mix of a whole-number key, in [0, 2^32).
 
-    An odd multiplier makes it a bijection on keys below 2^31. Longer keys are folded to 31
-    bits first, so the product never leaves BIGINT; ties go to the key itself.
+    Odd multipliers and shifted xors make it a bijection on keys below 2^31. Longer keys are
+    folded to 31 bits first, so no product leaves BIGINT; ties go to the key itself.
     """
     k = key.cast("bigint")
     folded = F.pmod(k.bitwiseXOR(F.shiftright(k, 31)), F.lit(2147483648))
-    return F.pmod(folded * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    h = F.pmod(folded.bitwiseXOR(F.lit(seed_bits(seed))) * F.lit(2654435761), F.lit(4294967296))
+    return F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(1597334677), F.lit(4294967296))
+
+
+def seed_bits(seed: int) -> int:
+    """31 bits that the seed flips in every key."""
+    return seed * 1103515245 % 2147483648

@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from flowtally.functions.numeric import finite_or_null
 from flowtally.operators.ordered import quantile_columns
 
-# Above this many features the pairwise sums go to matrix products.
-WIDE = 6
-
-
 def _floating(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
 
@@ -175,30 +171,12 @@ def high_outliers(df: DataFrame, features: Sequence[str], threshold_pct: float =
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson r of every feature pair (upper triangle), over the rows where both are present.
 
-    All pairs come from one scan. A pair with a constant member has no r (null). Few features
-    are summed by native aggregates; many features would make thousands of them, so there each
-    task multiplies its matrices instead and emits one row of partial sums per pair.
+    A constant member of a pair has no r (null). One scan finds means and constants; in the
+    second each task multiplies its block of rows into sums for all pairs and emits one row per
+    pair, so the work of many features is a matrix product and not thousands of aggregates.
     """
+    features = list(features)
     clean = df.select(*[finite_or_null(F.col(c).cast("double")).alias(c) for c in features])
-    if len(features) > WIDE:
-        return _correlations_by_matrix(clean, list(features))
-    pairs = list(combinations(features, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
-    rows = [{"feature_a": F.lit(a), "feature_b": F.lit(b),
-             "r": _r(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"x{i}"), F.col(f"y{i}") * F.col(f"y{i}"))}
-            for i, (a, b) in enumerate(pairs)]
-    return _as_rows(clean.agg(*aggs), rows)
-
-
-def _r(cov: Column, var_x: Column, var_y: Column) -> Column:
-    return F.when((var_x > 0) & (var_y > 0), cov / (F.sqrt(var_x) * F.sqrt(var_y)))
-
-
-def _correlations_by_matrix(clean: DataFrame, features: list[str]) -> DataFrame:
     ends = clean.agg(*[F.min(c).alias(f"lo_{c}") for c in features],
                      *[F.max(c).alias(f"hi_{c}") for c in features],
                      *[F.avg(c).alias(f"mean_{c}") for c in features]).first()
@@ -224,12 +202,13 @@ def _correlations_by_matrix(clean: DataFrame, features: list[str]) -> DataFrame:
     s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
     names = F.array(*[F.lit(c) for c in features])
     n = F.nullif(F.col("n"), F.lit(0.0))
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    var_x, var_y = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
     out = s.select(
         F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
-        _r(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n,
-           F.col("syy") - F.col("sy") * F.col("sy") / n).alias("r"))
-    constant = ~(F.col("feature_a").isin(moving) & F.col("feature_b").isin(moving))
-    return out.withColumn("r", F.when(~constant, F.col("r")))
+        # a spread this far below the squares is rounding of a constant
+        F.when((var_x > 1e-13 * F.col("sxx")) & (var_y > 1e-13 * F.col("syy")), cov / (F.sqrt(var_x) * F.sqrt(var_y))).alias("r"))
+    return out.withColumn("r", F.when(F.col("feature_a").isin(moving) & F.col("feature_b").isin(moving), F.col("r")))
 
 
 def high_correlations(corr: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -85,7 +85,8 @@ def anderson_darling(df: DataFrame, features: Sequence[str], critical=critical_v
     """
     long = long_form(df, features).where("value is not null")
     fit, _ = small_side(long.groupBy("feature").agg(
-        F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd")).where("sd > 0"))
+        F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+    ).where("lo < hi").drop("lo", "hi"))
     counts = cumulative_counts(long, ["feature"], "value", {"c": F.count(F.lit(1))}).join(fit, "feature")
     a, c, n = (F.col(x).cast("double") for x in ("c_below", "c", "c_total"))
     w = (F.col("value") - F.col("mu")) / F.col("sd")

@@ -171,7 +171,8 @@ SQL["anderson"] = _AD + """ SELECT feature, n::BIGINT AS n, round(a2 / n, 5) AS
   a2 < critical AS is_normal FROM a"""
 SQL["normality_tally"] = _AD + " SELECT count(*) FILTER (a2 < critical) AS n_normal, count(*) FILTER (a2 >= critical) AS n_not_normal FROM a"
 
-_H = "((o_orderkey % 2147483648) * 2654435761 + 42) % 4294967296"
+_H1 = "xor(xor(o_orderkey, o_orderkey >> 31) % 2147483648, 1250483682::BIGINT) * 2654435761 % 4294967296"
+_H = f"xor({_H1}, ({_H1}) >> 15) * 1597334677 % 4294967296"
 SQL["split_exact"] = f"""SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY {_H}, o_orderkey)
   <= floor((SELECT count(*) FROM orders) * 0.8) AS is_train FROM orders"""
 SQL["split_stratified"] = f"""SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey)

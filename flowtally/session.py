@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(name: str = "flowtally", cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(name: str = "flowtally", cpus: str = "8", shuffle_partitions: int = 8,
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,8 +23,8 @@ def local_session(name: str = "flowtally", cpus: str = "8", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.config(map=conf or {}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -34,14 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     Every executor must be able to read what is written here, so a machine-local folder
     is accepted in local mode alone.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="flowtally-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowtally-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
