@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +101,12 @@ def padded_tokens(tokens: Column, length: int = 256, pad: str = "[PAD]") -> tupl
     ids = F.concat(kept, F.array_repeat(F.lit(pad), gap))
     mask = F.concat(F.array_repeat(F.lit(1), F.size(kept)), F.array_repeat(F.lit(0), gap))
     return ids, mask
+
+
+def encode_tokens(df: DataFrame, text: str, length: int = 256,
+                  tokenizer: Callable[[Column], Column] = words) -> DataFrame:
+    """Add ``tokens`` and ``attention_mask``. The tokenizer is any column function from text to
+    a list of tokens: the built-in one, or a vectorised UDF around a tokenizer of choice."""
+    ready = df.withColumn("_tokens", tokenizer(F.col(text)))
+    tokens, mask = padded_tokens(F.col("_tokens"), length)
+    return ready.withColumns({"tokens": tokens, "attention_mask": mask}).drop("_tokens")

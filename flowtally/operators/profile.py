@@ -45,6 +45,17 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .orderBy(F.desc("n"), column))
 
 
+def table_shape(df: DataFrame, label: str) -> DataFrame:
+    """Rows, columns and distinct labels."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+                  F.count_distinct(label).alias("n_classes"))
+
+
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """Row count of every file a table is read from."""
+    return df.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_share(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of all rows per label, two decimals."""
     counts = value_counts(df, column)

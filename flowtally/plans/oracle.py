@@ -72,6 +72,8 @@ SQL["label_group_filter"] = f"""WITH {RAW} SELECT CASE label_str WHEN 'BENIGN' T
   ELSE 'Web Attacks' END AS attack_type, count(*) AS n FROM raw WHERE label_str NOT IN ('no such label', 'Heartbleed') GROUP BY 1"""
 SQL["label_share"] = """SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct
   FROM events GROUP BY 1"""
+SQL["table_shape"] = "SELECT count(*) AS n_rows, 17::INT AS n_columns, count(DISTINCT l_returnflag) AS n_classes FROM lineitem"
+SQL["rows_per_file"] = "SELECT 'documents.parquet' AS file, count(*) AS n FROM documents"
 SQL["anomaly_truth"] = f"""WITH {FLOWS} SELECT (label <> 0)::INT AS is_attack, count(*) AS n,
   count(*) FILTER (label = 0) AS n_benign FROM flows GROUP BY 1"""
 SQL["benign_summary"] = f"WITH {FLOWS} SELECT count(*) AS n, round(avg(total_len_fwd_packets), 4) AS mean_bytes FROM flows WHERE label = 0"
@@ -292,6 +294,14 @@ SQL["cve_keyword_search"] = f"""WITH d AS (SELECT doc_id AS i, CASE WHEN doc_id
   FROM d WHERE contains(lower(text), 'tion') ORDER BY cve_id NULLS LAST, i LIMIT 5"""
 
 
+SQL["cve_keyword_batch"] = f"""WITH d AS (SELECT doc_id AS i, CASE WHEN doc_id % 9 = 0 THEN 'No description' ELSE text END AS text,
+  CASE WHEN doc_id % 50 <> 0 THEN 'CVE-' || (2020 + doc_id % 5) || '-' || (1000 + doc_id) END AS cve_id FROM documents),
+  k AS (SELECT unnest(['tion', 'heth', 'no such word', 'Que ']) AS keyword),
+  h AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY cve_id NULLS LAST, i) AS rank FROM d JOIN k ON contains(lower(text), lower(keyword)))
+  SELECT keyword, rank, cve_id, md5(substring(text, 1, 400)) AS description_md5, {_SCORE} AS cvss_score, (2020 + i % 5) || '-03-07' AS published
+  FROM h WHERE rank <= 7"""
+
+
 def _chunks(source, text="text", extra=""):
     return f"""SELECT doc_id, {extra} row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_no, document FROM (
     SELECT *, regexp_replace(regexp_replace(substring({text}, s::BIGINT + 1, 2048), '^' || {_TRIM} || '+', ''), {_TRIM} || '+$', '') AS document

@@ -96,6 +96,16 @@ def label_share(spark, sf):
     return profile.label_share(table(spark, sf, "events"), "event_type")
 
 
+@query
+def table_shape(spark, sf):
+    return profile.table_shape(flows(spark, sf), "label_str")
+
+
+@query
+def rows_per_file(spark, sf):
+    return profile.rows_per_file(table(spark, sf, "documents"))
+
+
 @query
 def anomaly_truth(spark, sf):
     f = clean.with_anomaly_truth(flows(spark, sf))
@@ -440,6 +450,12 @@ def cve_keyword_search(spark, sf):
     return corpus.search_vulnerabilities(vulnerabilities(spark, sf), "TION")
 
 
+@query
+def cve_keyword_batch(spark, sf):
+    r = corpus.search_many(vulnerabilities(spark, sf), ["tion", "heth", "no such word", "Que "], 7)
+    return r.select("keyword", big("rank").alias("rank"), "cve_id", F.md5("description").alias("description_md5"), "cvss_score", "published")
+
+
 @query
 def chunk_text(spark, sf):
     c = tx.explode_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
@@ -459,10 +475,10 @@ def chunk_upsert(spark, sf):
 
 @query
 def token_pad(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    ids, mask = tx.padded_tokens(F.col("w"))
-    return d.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"),
-                    big(F.aggregate(mask, F.lit(0), lambda a, x: a + x)).alias("n_real"), F.md5(F.array_join(ids, " ")).alias("ids_md5"))
+    d = tx.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", big(F.size("tokens")).alias("n_ids"),
+                    big(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_real"),
+                    F.md5(F.array_join("tokens", " ")).alias("ids_md5"))
 
 
 # --- retrieval --------------------------------------------------------------------------------
@@ -492,10 +508,17 @@ def knn_lsh(spark, sf):
     return knn.knn_lsh(e, e, 5)
 
 
+@query
+def knn_lsh_blocks(spark, sf):
+    """The way taken when the queries are too many to send to every task."""
+    e = neighbours_of(spark, sf)
+    return knn.knn_lsh(e, e, 5, query_limit=0)
+
+
 def _hits(spark, sf):
     e = neighbours_of(spark, sf)
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("cve_id"))
-    return settled(retrieval.retrieve(e, e.join(texts, "id"), 5), "hits")
+    return retrieval.retrieve(e, e.join(texts, "id"), 5)
 
 
 @query

@@ -73,3 +73,17 @@ def assert_output(spark: SparkSession, path: str, least_rows: int = 1) -> int:
     if n < least_rows:
         raise ValueError(f"{path} holds {n} rows, expected {least_rows} or more")
     return n
+
+
+def artifact_sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files below a path and their sizes, without reading them."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+            .load(path).select("path", "length"))
+
+
+def assert_artifacts(spark: SparkSession, path: str, pattern: str = "*.parquet") -> int:
+    """Total size of the files of an output; none, or nothing in them, is an error."""
+    total = artifact_sizes(spark, path, pattern).agg(F.sum("length")).first()[0]
+    if not total:
+        raise FileNotFoundError(f"nothing like {pattern} in {path}")
+    return total

@@ -15,7 +15,7 @@ from flowtally.streaming import jobs as streams
 
 
 def write_csv(path, rows, encoding):
-    header = ",".join("Fwd Header Length" .join([" ", ""]) if h == " Fwd Header Length.1" else h for h, _ in RAW_HEADERS)
+    header = ",".join(h.removesuffix(".1") for h, _ in RAW_HEADERS)
     lines = [",".join([*(str(v) for v in values), label]) for values, label in rows]
     path.write_bytes(("\n".join([header, *lines]) + "\n").encode(encoding))
 
@@ -60,7 +60,9 @@ def test_tables(spark, folder):
     flows.write_csv(df, folder + "/csv")
     assert spark.read.option("header", True).csv(folder + "/csv").count() == 2
     df.write.parquet(folder + "/p")
-    assert flows.assert_output(spark, folder + "/p") == 2
+    assert flows.assert_output(spark, folder + "/p") == 2 and flows.assert_artifacts(spark, folder + "/p") > 0
+    with pytest.raises(FileNotFoundError):
+        flows.assert_artifacts(spark, folder + "/p", "*.joblib")
     with pytest.raises(ValueError):
         flows.assert_output(spark, folder + "/p", 3)
     both = flows.union_all([df, df.select("x")])
@@ -96,6 +98,13 @@ def test_sql_functions(spark):
     jobs.register_functions(spark)
     row = spark.sql("SELECT anomaly_score(2D, 2D) AS a, anomaly_score(3D, NULL) AS b, cve_ids('CVE-2021-1 CVE-2021-1 x') AS c").first()
     assert tuple(row) == (0.5, 3.0, ["CVE-2021-1"])
+    spark.createDataFrame([("CVE-1", "Heap overflow", 1.0, "2023-01-01"), ("CVE-2", "other", 2.0, "")],
+                          "cve_id string, text string, score double, published string").createOrReplaceTempView("records")
+    jobs.register_search(spark, "records")
+    assert [r.cve_id for r in spark.sql("SELECT * FROM cve_search('OVERFLOW')").collect()] == ["CVE-1"]
+    spark.createDataFrame([(i, f"d{i}", [float(i), 0.0]) for i in range(9)], "id bigint, document string, embedding array<double>").createOrReplaceTempView("held")
+    jobs.register_retrieval(spark, "held", 2)
+    assert [(r.id, r.distance) for r in spark.sql("SELECT * FROM nearest_chunks(array(2.2D, 0D))").collect()] == [(2, pytest.approx(0.04)), (3, pytest.approx(0.64))]
 
 
 @pytest.fixture
