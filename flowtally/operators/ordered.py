@@ -33,11 +33,13 @@ def _grid(v: Column) -> Column:
     return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("bigint")
 
 
-def _cut_again(df: DataFrame, by: list[str], col: str, out: str, max_slice: int,
-               only_single: str | None = None) -> DataFrame:
-    """Add ``out``: 0, or an even cut of ``col`` inside each crowded slice."""
+def _cut_again(df: DataFrame, by: list[str], slices: list[str], col: str, max_slice: int,
+               only_single: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Cut crowded slices evenly by ``col`` and add the cut to ``slices``; a table without any
+    is left as it is."""
     x = F.col(col).cast("double")
-    crowded = df.groupBy(*by).agg(
+    at = [*by, *slices]
+    crowded = df.groupBy(*at).agg(
         F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
         *([F.min(only_single).alias("_a"), F.max(only_single).alias("_b")] if only_single else []),
     ).where((F.col("_n") > max_slice) & (F.col("_hi") > F.col("_lo")))
@@ -45,14 +47,13 @@ def _cut_again(df: DataFrame, by: list[str], col: str, out: str, max_slice: int,
         crowded = crowded.where(F.col("_a") == F.col("_b")).drop("_a", "_b")
     cuts, rows = small_side(crowded)
     if rows == []:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
+        return df, slices
+    out = f"_s{len(slices) + 1}"
     pieces = F.ceil(F.col("_n") / F.lit(max_slice))
     place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces)
-    return (
-        df.join(cuts, by, "left")
-        .withColumn(out, F.coalesce(F.least(place, pieces - 1), F.lit(0)).cast("bigint"))
-        .drop("_n", "_lo", "_hi")
-    )
+    cut = df.join(cuts, at, "left").withColumn(
+        out, F.coalesce(F.least(place, pieces - 1), F.lit(0)).cast("bigint")).drop("_n", "_lo", "_hi")
+    return cut, [*slices, out]
 
 
 def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -63,14 +64,10 @@ def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(keep)
 
 
-def _sliced(df: DataFrame, keys: list[str], value: str, max_slice: int,
+def _sliced(df: DataFrame, by: list[str], value: str, max_slice: int,
             tie: str | None = None) -> tuple[DataFrame, list[str]]:
-    out = _cut_again(df.withColumn("_s1", _grid(F.col(value))), [*keys, "_s1"], value, "_s2", max_slice)
-    slices = ["_s1", "_s2"]
-    if tie:
-        out = _cut_again(out, [*keys, *slices], tie, "_s3", max_slice, only_single=value)
-        slices.append("_s3")
-    return out, slices
+    out, slices = _cut_again(df.withColumn("_s1", _grid(F.col(value))), by, ["_s1"], value, max_slice)
+    return _cut_again(out, by, slices, tie, max_slice, only_single=value) if tie else (out, slices)
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -34,9 +34,8 @@ def _as_rows(one_row: DataFrame, entries: list[dict[str, str | Column]]) -> Data
 
 def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows (keep…, feature, value) with doubles; NaN and infinities as null."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), finite_or_null(F.col(n).cast("double")).alias("value"))
-                      for n in features])
-    return df.select(*keep, F.inline(pairs))
+    values = [finite_or_null(F.col(n).cast("double")).alias(n) for n in features]
+    return df.select(*keep, *values).unpivot(list(keep), list(features), "feature", "value")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

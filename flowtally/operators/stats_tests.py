@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions.tails import chi2_tail, f_tail, log_normal_cdf
@@ -54,11 +54,10 @@ def levene(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
         .groupBy("feature", group)
         .agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("zbar"), (F.var_pop("z") * F.count(F.lit(1))).alias("within"))
     )
-    total = spread.groupBy("feature").agg(
-        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("n") * F.col("zbar")) / F.sum("n")).alias("zall"), F.sum("within").alias("within_all"))
-    # one row per (feature, group) on both sides
-    between = spread.join(total, "feature").groupBy("feature", "n_all", "k", "within_all").agg(
+    whole = Window.partitionBy("feature")  # one row per group in each
+    centred = spread.withColumn("zall", F.sum(F.col("n") * F.col("zbar")).over(whole) / F.sum("n").over(whole))
+    between = centred.groupBy("feature").agg(
+        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within_all"),
         F.sum(F.col("n") * (F.col("zbar") - F.col("zall")) * (F.col("zbar") - F.col("zall"))).alias("between"))
     d1, d2 = (F.col("k") - 1).cast("double"), (F.col("n_all") - F.col("k")).cast("double")
     w = F.when(F.col("within_all") > 0, d2 / d1 * F.col("between") / F.col("within_all"))

@@ -103,11 +103,10 @@ SQL["null_loss_by_label"] = f"""WITH {FLOWS}, b AS (SELECT label_str, count(*) A
   nullif(count(*) FILTER (total_fwd_packets IS NOT NULL AND flow_bytes_per_s IS NOT NULL), 0) AS n_after FROM typed GROUP BY 1)
   SELECT label_str, n_before, n_after, n_before - n_after AS abs_difference,
   round((n_before - n_after) * 100 / n_before, 2) AS pct_difference FROM b"""
-_R4 = "mean std min p25 p50 p75 max".split()
 SQL["describe_features"] = f"""WITH {FLOWS}, v AS (SELECT feature, CASE WHEN feature = 'flow_bytes_per_s' THEN value / 1e6 ELSE value END AS value
   FROM ({long(NUMERIC)})) SELECT feature, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
-  round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50,
-  round(quantile_cont(value, 0.75), 4) AS p75, round(max(value), 4) AS max FROM v GROUP BY 1"""
+  round(min(value), 7) AS min, round(quantile_cont(value, 0.25), 7) AS p25, round(quantile_cont(value, 0.5), 7) AS p50,
+  round(quantile_cont(value, 0.75), 7) AS p75, round(max(value), 7) AS max FROM v GROUP BY 1"""
 _OUT = f"""WITH {FLOWS}, v AS ({long(NUMERIC)}), q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
   FROM v GROUP BY 1), o AS (SELECT v.feature, count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))
   / count(*) * 100 AS pct FROM v JOIN q ON v.feature = q.feature GROUP BY 1)"""

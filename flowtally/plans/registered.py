@@ -183,7 +183,7 @@ def null_loss_by_label(spark, sf):
 @query
 def describe_features(spark, sf):
     f = flows(spark, sf).withColumn("flow_bytes_per_s", F.col("flow_bytes_per_s") / 1e6)
-    return rounded(profile.describe(f, NUMERIC), 4, "mean", "std", "min", "p25", "p50", "p75", "max")
+    return rounded(rounded(profile.describe(f, NUMERIC), 4, "mean", "std"), 7, "min", "p25", "p50", "p75", "max")
 
 
 @query
