@@ -24,7 +24,7 @@ from flowtally.operators.ensemble import SoftVoteModel
 from flowtally.session import fresh_path
 
 TOP_FEATURES = 10
-MAX_NODES = 5_000_000
+MAX_NODES = 1_000_000
 
 
 

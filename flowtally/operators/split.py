@@ -23,9 +23,8 @@ def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size:
     slice alone are ordered to find the last row inside. The flag itself is then a comparison
     with that row: no row of the table is moved.
     """
-    by = list(strata) or ["_all"]
-    base = df if strata else df.withColumn("_all", F.lit(0))
-    base = base.withColumn("_h", mixed_hash(F.col(key), seed))
+    by = list(strata)
+    base = df.withColumn("_h", mixed_hash(F.col(key), seed))
     sliced = base.select(*by, "_h", key, F.floor(F.col("_h") / F.lit(4294967296 // SLICES)).cast("int").alias("_slice"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
@@ -35,19 +34,27 @@ def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size:
         .withColumn("_size", size.cast("bigint"))
     )
     holds_cut = (F.col("_offset") + F.col("_rows") >= F.col("_size")) & (F.col("_offset") < F.col("_size"))
-
-    def same_stratum(*more: Column) -> Column:
-        return reduce(and_, [*(F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by), *more])
-
-    cut, _ = small_side(counts.where(holds_cut).select(
-        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_slice").alias("_cut"), (F.col("_size") - F.col("_offset")).alias("_need")))
-    order = Window.partitionBy(*by).orderBy("_h", key)
-    edge = sliced.join(cut, same_stratum(F.col("_slice") == F.col("_cut"))).withColumn("_rn", F.row_number().over(order))
-    last, _ = small_side(edge.where(F.col("_rn") == F.col("_need")).select(
-        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_h").alias("_last_h"), F.col(key).alias("_last_key")))
+    cut = counts.where(holds_cut).select(*by, F.col("_slice").alias("_cut"), (F.col("_size") - F.col("_offset")).alias("_need"))
+    edge = _beside(sliced, cut, by, F.col("_slice") == F.col("_cut"), "inner").withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)))
+    last = edge.where(F.col("_rn") == F.col("_need")).select(*by, F.col("_h").alias("_last_h"), F.col(key).alias("_last_key"))
     inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(key) <= F.col("_last_key")))
-    return base.join(last, same_stratum(), "left").select(
-        *df.columns, F.coalesce(inside, F.lit(False)).alias(out))
+    return _beside(base, last, by, F.lit(True), "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
+
+
+def _beside(df: DataFrame, small: DataFrame, by: list[str], more: Column, how: str) -> DataFrame:
+    """Put the values that ``small`` holds for a stratum beside its rows; without strata there
+    is one row of them at most, and they become constants."""
+    side, rows = small_side(small)
+    values = [c for c in small.columns if c not in by]
+    if not by:
+        types = dict(small.dtypes)
+        held = rows[0].asDict() if rows else dict.fromkeys(values)
+        wide = df.withColumns({c: F.lit(held[c]).cast(types[c]) for c in values})
+        return wide.where(more) if how == "inner" else wide
+    side = side.select(*[F.col(b).alias(f"_k_{b}") for b in by], *values)
+    same = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by]
+    return df.join(side, reduce(and_, [*same, more]), how)
 
 
 def exact_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42, out: str = "is_train") -> DataFrame:

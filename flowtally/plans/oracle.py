@@ -225,6 +225,7 @@ SQL["detector_eval"] = _DET + f""", b AS (SELECT f1, threshold FROM f ORDER BY f
 SQL["error_threshold"] = "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS threshold, count(*) AS n FROM events GROUP BY 1"
 SQL["anomaly_score"] = """SELECT event_id, round(CASE WHEN event_type = 'view' THEN value ELSE 1 / (1 + exp(-(value / 100 - 1))) END, 9) AS score,
   value > 100 AS is_anomaly FROM events"""
+SQL["stream_sigmoid"] = "SELECT event_id, round(1 / (1 + exp(-(value / 100 - 1))), 9) AS score, value > 100 AS is_anomaly FROM events"
 SQL["reconstruction_mse"] = """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: pow(x::DOUBLE - floor(x::DOUBLE * 10) / 10, 2)))
   / len(embedding), 9) AS mse FROM embeddings"""
 SQL["soft_vote"] = f"""WITH {SCORED}, v AS (SELECT (p0 + p2) / 2 AS a, (p1 + p1) / 2 AS b FROM scored)

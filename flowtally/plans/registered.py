@@ -715,6 +715,15 @@ def stream_request_metrics(spark, sf):
     return rounded(out, 6, "p50_ms", "p95_ms", "p99_ms", "error_rate")
 
 
+@query
+def stream_sigmoid(spark, sf):
+    """A fixed threshold over arriving events."""
+    events = streams.event_stream(spark, sf, "events.parquet")
+    out = streams.score_stream(events, lambda d: d.select("event_id", sigmoid_score(F.col("value"), 100.0).alias("score"),
+                                                          (F.col("value") > 100.0).alias("is_anomaly")), fresh_path(spark, "sigmoid"))
+    return rounded(out, 9, "score")
+
+
 @query
 def stream_score(spark, sf):
     """A fitted detector over arriving events."""

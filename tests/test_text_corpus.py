@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,17 @@ def test_ids_trace_tokens(spark):
 
 def test_ddl(spark):
     assert spark.createDataFrame([], VULNERABILITY_DDL).schema["cve"].dataType["published"].dataType.typeName() == "string"
+
+
+def test_own_tokenizer(spark):
+    @F.pandas_udf("array<string>")
+    def letters(t: pd.Series) -> pd.Series:
+        return t.map(list)
+
+    r = tx.encode_tokens(spark.createDataFrame([("abc",)], "t string"), "t", 4, letters).first()
+    assert r.tokens == ["a", "b", "c", "[PAD]"] and r.attention_mask == [1, 1, 1, 0]
+
+
+def test_search_many(vulns):
+    r = corpus.search_many(vulns, ["enough", "SHORT", "absent"], 1).collect()
+    assert {(x.keyword, x.cve_id, x["rank"]) for x in r} == {("enough", "CVE-1", 1), ("SHORT", None, 1)}
