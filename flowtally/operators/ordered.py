@@ -7,14 +7,16 @@ data), so a task that is run again after a lost executor puts every row in the s
 
 1. ``_grid`` cuts the number line evenly on a log scale, 64 cuts for each doubling.
 2. Slices that hold more than ``MAX_SLICE`` rows are cut again, evenly between their own
-   smallest and largest value, and, when they hold a single value, by the tie-breaker.
+   smallest and largest value, some times over, and, where a single value is left, by the
+   tie-breaker.
 3. Counts per slice are cumulated over slices (a small table), and each slice is then ordered
    on its own, starting from its offset.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from flowtally.operators.sized import small_side
 
 CUTS_PER_DOUBLING = 64
 MAX_SLICE = 1_000_000
+MAX_CUTS = 3
 SALTS = 64
 
 
@@ -33,27 +36,57 @@ def _grid(v: Column) -> Column:
     return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("bigint")
 
 
-def _cut_again(df: DataFrame, by: list[str], slices: list[str], col: str, max_slice: int,
-               only_single: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Cut crowded slices evenly by ``col`` and add the cut to ``slices``; a table without any
-    is left as it is."""
+def _crowded(df: DataFrame, at: list[str], col: str, max_slice: int, only_single: str | None = None) -> DataFrame:
+    """Slices with too many rows that ``col`` can cut: their rows and the ends of ``col``."""
     x = F.col(col).cast("double")
-    at = [*by, *slices]
-    crowded = df.groupBy(*at).agg(
+    out = df.groupBy(*at).agg(
         F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
         *([F.min(only_single).alias("_a"), F.max(only_single).alias("_b")] if only_single else []),
     ).where((F.col("_n") > max_slice) & (F.col("_hi") > F.col("_lo")))
-    if only_single:
-        crowded = crowded.where(F.col("_a") == F.col("_b")).drop("_a", "_b")
-    cuts, rows = small_side(crowded)
-    if rows == []:
-        return df, slices
-    out = f"_s{len(slices) + 1}"
+    return out.where(F.col("_a") == F.col("_b")).drop("_a", "_b") if only_single else out
+
+
+def _cut(df: DataFrame, at: list[str], col: str, max_slice: int, cuts: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: the place of ``col`` among even cuts of its slice, 0 where there are none."""
     pieces = F.ceil(F.col("_n") / F.lit(max_slice))
-    place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces)
-    cut = df.join(cuts, at, "left").withColumn(
+    place = F.floor((F.col(col).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces)
+    return df.join(cuts, at, "left").withColumn(
         out, F.coalesce(F.least(place, pieces - 1), F.lit(0)).cast("bigint")).drop("_n", "_lo", "_hi")
-    return cut, [*slices, out]
+
+
+def _slicer(df: DataFrame, by: list[str], value: str, max_slice: int, tie: str | None = None,
+            may_crowd: bool = True) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
+    """How to number the slices of ``df`` and of tables derived from it: the grid, then cuts by
+    value while slices stay crowded, then by tie.
+
+    A cut narrows a slice by as many times as it is too large, so a few of them leave only
+    single values crowded.
+    """
+    slices, steps = ["_s1"], []
+
+    def number(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_s1", _grid(F.col(value)))
+        for step in steps:
+            d = step(d)
+        return d
+
+    def cut_by(col: str, only_single: str | None) -> bool:
+        at = [*by, *slices]
+        cuts, rows = small_side(_crowded(number(df), at, col, max_slice, only_single))
+        if rows == []:
+            return False
+        out = f"_s{len(slices) + 1}"
+        steps.append(partial(_cut, at=at, col=col, max_slice=max_slice, cuts=cuts, out=out))
+        slices.append(out)
+        return True
+
+    if may_crowd:
+        for _ in range(MAX_CUTS):
+            if not cut_by(value, None):
+                break
+        if tie:
+            cut_by(tie, value)
+    return number, slices
 
 
 def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -64,12 +97,6 @@ def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(keep)
 
 
-def _sliced(df: DataFrame, by: list[str], value: str, max_slice: int,
-            tie: str | None = None) -> tuple[DataFrame, list[str]]:
-    out, slices = _cut_again(df.withColumn("_s1", _grid(F.col(value))), by, ["_s1"], value, max_slice)
-    return _cut_again(out, by, slices, tie, max_slice, only_single=value) if tie else (out, slices)
-
-
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
@@ -83,9 +110,8 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict
     slice to be crowded says so and saves the look.
     """
     base, by = _keyed(_usable(df, keys, value), keys)
-    parts, slices = _sliced(base, by, value, max_slice) if may_crowd else (
-        base.withColumn("_s1", _grid(F.col(value))), ["_s1"])
-    parts = parts.groupBy(*by, *slices, value).agg(*[agg.alias(name) for name, agg in sums.items()])
+    number, slices = _slicer(base, by, value, max_slice, may_crowd=may_crowd)
+    parts = number(base.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()]))
     joined = parts.join(_offsets(parts, by, slices, sums), [*by, *slices])
     inside = Window.partitionBy(*by, *slices).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
@@ -110,8 +136,8 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, detail: str, max_s
     """Rows (keys, value, detail, m, c, mid_rank): ``m`` rows with this value and detail, ``c``
     rows with this value, and the mean rank of those ``c`` rows in the group."""
     base, by = _keyed(_usable(df, [*keys, detail], value), keys)
-    parts, slices = _sliced(base, by, value, max_slice)
-    parts = parts.groupBy(*by, *slices, value, detail).agg(F.count(F.lit(1)).alias("m"))
+    number, slices = _slicer(base, by, value, max_slice)
+    parts = number(base.groupBy(*by, value, detail).agg(F.count(F.lit(1)).alias("m")))
     joined = parts.join(_offsets(parts, by, slices, ["m"]), [*by, *slices])
     up_to = Window.partitionBy(*by, *slices).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = joined.withColumn("_upto", F.col("m_offset") + F.sum("m").over(up_to)).withColumn(
@@ -168,7 +194,8 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str
               max_slice: int = MAX_SLICE) -> DataFrame:
     """Exact zero-based position of every row in its group, by (``order``, ``tie``), both numeric."""
     base, by = _keyed(df, keys)
-    parts, slices = _sliced(base, by, order, max_slice, tie)
+    number, slices = _slicer(base, by, order, max_slice, tie)
+    parts = number(base)
     before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy(*by, *slices).agg(F.count(F.lit(1)).alias("_rows"))

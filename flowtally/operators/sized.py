@@ -1,4 +1,4 @@
-"""Broadcast only what has been counted."""
+"""Sizes that are looked at before a plan is chosen: broadcasts and small scans."""
 
 from __future__ import annotations
 
@@ -19,3 +19,10 @@ def small_side(df: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, list[R
     if len(rows) > limit:
         return df, None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rebalance a table scan that has fewer parts than the cluster has cores, ahead of heavy
+    work per row. A scan of many parts is left alone, so this never moves large data."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

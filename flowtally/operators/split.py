@@ -35,9 +35,12 @@ def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size:
     )
     holds_cut = (F.col("_offset") + F.col("_rows") >= F.col("_size")) & (F.col("_offset") < F.col("_size"))
     cut = counts.where(holds_cut).select(*by, F.col("_slice").alias("_cut"), (F.col("_size") - F.col("_offset")).alias("_need"))
-    edge = _beside(sliced, cut, by, F.col("_slice") == F.col("_cut"), "inner").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)))
-    last = edge.where(F.col("_rn") == F.col("_need")).select(*by, F.col("_h").alias("_last_h"), F.col(key).alias("_last_key"))
+    # rows are counted per key first, so copies of one key are a single row here
+    edge = _beside(sliced, cut, by, F.col("_slice") == F.col("_cut"), "inner").groupBy(*by, "_h", key).agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_need").alias("_need"))
+    up_to = edge.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_h", key)))
+    last = up_to.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_c") < F.col("_need"))).select(
+        *by, F.col("_h").alias("_last_h"), F.col(key).alias("_last_key"))
     inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(key) <= F.col("_last_key")))
     return _beside(base, last, by, F.lit(True), "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
 

@@ -19,7 +19,7 @@ from flowtally.operators.ensemble import (TreeSettings, fit_soft_vote, forest_im
 from flowtally.operators.ordered import exact_quantiles
 from flowtally.operators.textclf import labelled_texts, train_text_classifier
 from flowtally.plans import jobs
-from flowtally.plans.views import (NUMERIC, flows, neighbours_of, raw_labels, requests as request_log, scored, table,
+from flowtally.plans.views import (NUMERIC, documents, flows, neighbours_of, raw_labels, requests as request_log, scored, table,
                                    vulnerabilities)
 from flowtally.schema import ENGINEERED
 from flowtally.session import fresh_path, settled
@@ -458,14 +458,14 @@ def cve_keyword_batch(spark, sf):
 
 @query
 def chunk_text(spark, sf):
-    c = tx.explode_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+    c = tx.explode_chunks(documents(spark, sf).select("doc_id", "text"), "text", "doc_id")
     return c.select("id", "doc_id", big("chunk_no").alias("chunk_no"), F.md5("document").alias("document_md5"))
 
 
 @query
 def chunk_upsert(spark, sf):
     """Chunks of all documents, replaced by those of the documents that have a label."""
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, l = documents(spark, sf), table(spark, sf, "labels")
     old = tx.explode_chunks(d.select("doc_id", "text"), "text", "doc_id").withColumn("batch", F.lit("old"))
     again = d.join(l, "doc_id").select("doc_id", F.upper("lang").alias("text"))
     fresh = tx.explode_chunks(again, "text", "doc_id").withColumn("batch", F.lit("new"))
@@ -475,7 +475,7 @@ def chunk_upsert(spark, sf):
 
 @query
 def token_pad(spark, sf):
-    d = tx.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = tx.encode_tokens(documents(spark, sf).select("doc_id", "text"), "text")
     return d.select("doc_id", big(F.size("tokens")).alias("n_ids"),
                     big(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_real"),
                     F.md5(F.array_join("tokens", " ")).alias("ids_md5"))
@@ -530,7 +530,7 @@ def rag_context(spark, sf):
 
 @query
 def retrieval_eval(spark, sf):
-    test_set = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("ground_truth"))
+    test_set = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("ground_truth"))
     rows = test_set.join(retrieval.contexts(_hits(spark, sf)).withColumnRenamed("query_id", "id"), "id")
     q = retrieval.lexical_quality(rows)
     return rounded(q.select("id", "context_recall", "context_precision", "coverage"), 6, "context_recall", "context_precision", "coverage")
@@ -539,7 +539,7 @@ def retrieval_eval(spark, sf):
 @query
 def text_retrieval(spark, sf):
     """Benchmark passages looked up in the chunked documents by hashed term vectors."""
-    chunks = tx.explode_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id").select(
+    chunks = tx.explode_chunks(documents(spark, sf).select("doc_id", "text"), "text", "doc_id").select(
         (F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("id"), "document", F.col("doc_id").cast("string").alias("cve_id"))
     embedder = retrieval.HashedTfIdf.fit(chunks, "document")
     ready = settled(retrieval.embed(chunks, embedder), "vectors")
@@ -679,7 +679,7 @@ def cv_scores(spark, sf):
 @query
 def text_classifier(spark, sf):
     """Language of the whole document text."""
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     known = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr", "it", "pt")])
     rows = d.select("doc_id", "text", F.array_position(known, F.col("lang")).cast("int").alias("label"))
     _, held = train_text_classifier(rows, "doc_id", 1024, 10)

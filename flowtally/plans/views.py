@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtally.operators.sized import spread
+
 RETURN_FLAGS = ("A", "N", "R")
 
 
@@ -12,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table, spread over the cores: work on long texts is heavy per row."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def flows(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Line items as flows: gaps, infinities, a constant and a repeated column included."""
     c = F.col
@@ -89,7 +96,7 @@ def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.array(*entries).alias("description"))
 
     first = F.concat(F.lit("CWE-"), F.pmod(i, F.lit(130)).cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.struct(
             F.when(i % 50 != 0, F.concat(F.lit("CVE-"), (2020 + i % 5).cast("string"), F.lit("-"), (1000 + i).cast("string"))).alias("id"),
             F.array(entry("xx", F.lit("other")), F.struct(F.when(i % 9 == 0, "es").otherwise("en").alias("lang"), F.col("text").alias("value"))).alias("descriptions"),

@@ -59,3 +59,10 @@ def test_top_n_is_a_total_order(sample):
     for g in "ab":
         want = pdf[pdf.g == g].sort_values(["v", "id"], ascending=[False, True]).head(7).id.tolist()
         assert got[got.g == g].sort_values("rank").id.tolist() == want
+
+
+def test_positions_with_a_hot_value_among_others(spark):
+    v = np.concatenate([np.full(600, 1000.0), 1000 + np.arange(60) / 1e4, [999.99, 1001.0]])
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "id": np.arange(len(v))[::-1]}))
+    got = positions(df, [], "v", "id", "pos", 50).toPandas().sort_values(["v", "id"])
+    assert got.pos.tolist() == list(range(len(v)))

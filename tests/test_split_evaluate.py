@@ -18,6 +18,12 @@ def test_exact_split(spark):
     assert split.exact_split(df, "id", 0.0).where("is_train").count() == 0
 
 
+def test_split_keeps_copies_together(spark):
+    df = spark.range(300).withColumn("k", F.when(F.col("id") < 100, 7).otherwise(F.col("id")))
+    got = split.exact_split(df, "k", 0.5).collect()
+    assert len({r.is_train for r in got if r.k == 7}) == 1 and 150 <= sum(r.is_train for r in got) < 250
+
+
 def test_split_narrow(spark):
     plan = split.exact_split(spark.range(1000), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "Exchange" not in plan
