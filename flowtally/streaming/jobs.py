@@ -75,24 +75,38 @@ def drift_stream(events: DataFrame, score: Column, baseline: DriftBaseline, path
     return baseline.check(histograms(closed, ["window_start"], baseline.n_bins), "window_start")
 
 
-def last_n_stream(events: DataFrame, key: str, order: Sequence[str], n: int, path: str) -> DataFrame:
+def last_n_stream(events: DataFrame, key: str, order: Sequence[str], n: int, path: str,
+                  compact_every: int = 20) -> DataFrame:
     """The last ``n`` rows of every key, kept up to date batch by batch.
 
-    A batch is first thinned to its own last ``n`` per key, in salted parts, and then merged
-    with the stored rows; a key with most of the traffic is never in one task as a whole.
+    A batch is thinned to its own last ``n`` per key, in salted parts, so a key with most of the
+    traffic is never in one task as a whole. The thinned rows go to a folder of their batch (a
+    replayed batch replaces its own); every so often all of them are merged into a base table.
     """
     spark = events.sparkSession
-    table = VersionedTable(spark, f"{path}/last")
     newest = [F.desc(c) for c in order]
 
+    def thin(rows: DataFrame) -> DataFrame:
+        return top_n(rows, [key], newest, n, F.struct(*order), out="_rank").drop("_rank")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_batch", F.lit(batch_id))
-        if table.version():
-            # rows of this very batch are there already when the batch is replayed
-            rows = rows.unionByName(table.read().where(F.col("_batch") < batch_id))
-        table.write(top_n(rows, [key], newest, n, F.struct(*order), out="_rank").drop("_rank"))
+        thin(batch).write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            VersionedTable(spark, f"{path}/base").write(
+                thin(_kept_rows(spark, path, events.columns)).withColumn("_through", F.lit(batch_id)))
 
     query = (events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return table.read().drop("_batch")
+    return thin(_kept_rows(spark, path, events.columns))
+
+
+def _kept_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Base rows and the thinned rows of the batches after it."""
+    later = spark.read.parquet(f"{path}/batches")
+    base = VersionedTable(spark, f"{path}/base")
+    if not base.version():
+        return later.select(*columns)
+    merged = base.read()
+    through = merged.agg(F.max("_through")).first()[0]
+    return merged.select(*columns).unionByName(later.where(F.col("batch") > through).select(*columns))

@@ -146,13 +146,19 @@ def test_stream_drift_and_scores(spark, events, tmp_path):
     assert scored.count() == 900 and scored.agg(F.sum(F.col("twice") - 2 * F.col("v"))).first()[0] == 0
 
 
-def test_stream_last_n_over_two_runs(spark, events, tmp_path):
+@pytest.mark.parametrize("compact_every", [1, 2, 20])
+def test_stream_last_n_over_runs(spark, events, tmp_path, compact_every):
     df, folder = events
-    run = lambda: streams.last_n_stream(streams.event_stream(spark, folder, "*.parquet"), "svc", ["ts", "event_id"], 4, str(tmp_path / "l"))
-    first = run()
+
+    def run():
+        s = streams.event_stream(spark, folder, "*.parquet")
+        return streams.last_n_stream(s, "svc", ["ts", "event_id"], 4, str(tmp_path / "l"), compact_every)
+
     want = df.toPandas().sort_values(["ts", "event_id"]).groupby("svc").tail(4)
-    assert sorted(r.event_id for r in first.collect()) == sorted(want.event_id)
-    late = df.limit(1).withColumn("ts", F.expr("ts + INTERVAL 9 HOURS")).withColumn("event_id", F.lit(5000).cast("bigint")).withColumn("svc", F.lit("b"))
-    late.write.mode("append").parquet(folder)
-    again = {r.event_id for r in run().where("svc = 'b'").collect()}
-    assert len(again) == 4 and 5000 in again
+    assert sorted(r.event_id for r in run().collect()) == sorted(want.event_id)
+    for i in range(2):
+        late = df.limit(1).withColumns({"ts": F.expr(f"ts + INTERVAL {9 + i} HOURS"), "event_id": F.lit(5000 + i).cast("bigint"), "svc": F.lit("b")})
+        late.write.mode("append").parquet(folder)
+        ids = {r.event_id for r in run().where("svc = 'b'").collect()}
+        assert len(ids) == 4 and 5000 + i in ids
+    assert {5000, 5001} <= ids
