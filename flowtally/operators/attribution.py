@@ -2,16 +2,19 @@
 
 The value a leaf adds depends on the features on its path only: a row that meets the
 conditions on a feature counts it in full, and without the feature the row goes down the path
-with the share of training rows that did. For such a product the Shapley value has a closed
-form in the pattern of met conditions; the patterns of a leaf are tabulated once per task and
-rows look their pattern up.
+with the share of training rows that did. For such a product the Shapley value of feature j is
+
+    value * (met_j - cover_j) * integral over t in [0, 1] of prod_{i != j} (cover_i (1 - t) + met_i t)
+
+and as the integrand is a polynomial, a few quadrature points give it exactly. It takes one
+value per pattern of met conditions, so each leaf has a small table that rows look up.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from flowtally.session import fresh_path
 
 TOP_FEATURES = 10
 MAX_NODES = 1_000_000
+# Table cells a task keeps (8 bytes each).
+TABLE_CELLS = 16_000_000
 
 
 
@@ -51,26 +56,42 @@ def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
     return out
 
 
+@lru_cache(maxsize=32)
+def _grid(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All patterns of ``m`` conditions, and quadrature points and weights that are exact for
+    polynomials of degree m - 1."""
+    patterns = (np.arange(2**m)[:, None] >> np.arange(m - 1, -1, -1) & 1).astype("float64")
+    t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
+    return patterns, (t + 1) / 2, w / 2
+
+
 def _pattern_table(leaf: Leaf) -> np.ndarray:
     """Shapley share of each path feature for every pattern of met conditions: (2^m, m)."""
     value, features, _, _, cover = leaf
-    m = len(features)
-    weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
-    table = np.zeros((2**m, m))
-    for code, met in enumerate(product((0.0, 1.0), repeat=m)):
-        for j in range(m):
-            poly = np.array([1.0])  # coefficient s: sum over sets of s other features
-            for i in range(m):
-                if i != j:
-                    poly = np.append(poly * cover[i], 0.0) + np.append(0.0, poly * met[i])
-            table[code, j] = value * (met[j] - cover[j]) * float(poly @ weight)
-    return table
-
-
-def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray]]) -> np.ndarray:
+    met, points, weights = _grid(len(features))
+    t = points[:, None, None]
+    factors = cover * (1 - t) + met * t
+    others = factors.prod(axis=2, keepdims=True) / factors
+    return value * (met - cover) * np.tensordot(weights, others, axes=1)
+
+
+class _Tables:
+    """Pattern tables of a model's leaves, kept while they fit and rebuilt per batch beyond."""
+
+    def __init__(self, leaves: list[list[Leaf]]):
+        self.kept = sum(len(leaf[1]) << len(leaf[1]) for cls in leaves for leaf in cls) <= TABLE_CELLS
+        self.leaves = [[(leaf, _pattern_table(leaf) if self.kept else None) for leaf in cls if len(leaf[1])] for cls in leaves]
+
+    def mean_magnitude(self, x: np.ndarray) -> np.ndarray:
+        """Mean absolute attribution over the classes; (features, rows) in and out."""
+        return sum(np.abs(_shapley(x, cls)) for cls in self.leaves) / len(self.leaves)
+
+
+def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray | None]]) -> np.ndarray:
     """Attributions of a block of rows; both arrays are (features, rows)."""
     phi = np.zeros_like(x)
-    for (_, features, low, high, _), table in leaves:
+    for leaf, table in leaves:
+        _, features, low, high, _ = leaf
         pattern = np.zeros(x.shape[1], dtype="int32")
         for f, lo, hi in zip(features, low, high):
             met = x[f] <= hi if lo == -math.inf else x[f] > lo
@@ -78,8 +99,9 @@ def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray]]) -> np.ndarray
                 met &= x[f] <= hi
             pattern += pattern
             pattern += met
+        shares = _pattern_table(leaf) if table is None else table
         for j, f in enumerate(features):
-            phi[f] += table[:, j].take(pattern)
+            phi[f] += shares[:, j].take(pattern)
     return phi
 
 
@@ -119,13 +141,13 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
         T.StructField("shap", T.DoubleType())])))])
 
     def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tabled = [[(leaf, _pattern_table(leaf)) for leaf in leaves] for leaves in sent.value]
+        tables = _Tables(sent.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             x = np.ascontiguousarray(rows.T)
-            mean = (sum(np.abs(_shapley(x, leaves)) for leaves in tabled) / len(tabled)).T
+            mean = tables.mean_magnitude(x).T
             order = np.argsort(-mean, axis=1, kind="stable")[:, :top_n]
             n = order.shape[1]
             cells = order + np.arange(0, rows.size, rows.shape[1])[:, None]

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowtally.operators.anomaly import AnomalyDetector
-from flowtally.operators.attribution import _pattern_table, _shapley, export_trees, top_attributions, top_n_of
+from flowtally.operators.attribution import _Tables, _shapley, export_trees, top_attributions, top_n_of
 from flowtally.operators.ensemble import SoftVoteModel, TreeSettings, fit_soft_vote, forest_importance
 from flowtally.operators.textclf import train_text_classifier
 from flowtally.plans import jobs
@@ -66,7 +66,7 @@ def test_attribution_equals_brute_force(spark, model, data):
     gbt.setRawPredictionCol("raw")
     margins = [r[0] for r in gbt.transform(model.prepare(data)).limit(4).select(F.get(vector_to_array("raw"), F.lit(1))).collect()]
     x = np.array([r.x for r in rows])
-    phi = _shapley(np.ascontiguousarray(x.T), [(leaf, _pattern_table(leaf)) for leaf in leaves]).T
+    phi = _shapley(np.ascontiguousarray(x.T), [(leaf, None) for leaf in leaves if len(leaf[1])]).T
     for r in range(4):
         for i in range(6):
             others = [j for j in range(6) if j != i]
@@ -77,6 +77,15 @@ def test_attribution_equals_brute_force(spark, model, data):
         assert phi[r].sum() + expected(leaves, x[r], set()) == pytest.approx(margins[r], abs=1e-9)
 
 
+def test_tables_kept_or_rebuilt(monkeypatch, spark, model):
+    leaves = [[leaf for tree in export_trees(spark, m) for leaf in tree] for m in model.boosted]
+    x = np.random.default_rng(3).normal(size=(6, 50))
+    kept = _Tables(leaves)
+    monkeypatch.setattr("flowtally.operators.attribution.TABLE_CELLS", 0)
+    rebuilt = _Tables(leaves)
+    assert kept.kept and not rebuilt.kept and np.allclose(kept.mean_magnitude(x), rebuilt.mean_magnitude(x))
+
+
 def test_top_attributions(model, data):
     out = top_attributions(model, data, 3).toPandas()
     assert len(out) == 240
