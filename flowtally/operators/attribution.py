@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,53 +55,54 @@ def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
     return out
 
 
-@lru_cache(maxsize=32)
-def _grid(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All patterns of ``m`` conditions, and quadrature points and weights that are exact for
-    polynomials of degree m - 1."""
-    patterns = (np.arange(2**m)[:, None] >> np.arange(m - 1, -1, -1) & 1).astype("float64")
-    t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
-    return patterns, (t + 1) / 2, w / 2
+def _bits(patterns: np.ndarray, m: int) -> np.ndarray:
+    """Which of ``m`` conditions each pattern number meets, the first one in the top bit."""
+    return (patterns[:, None] >> np.arange(m - 1, -1, -1) & 1).astype("float64")
 
 
-def _pattern_table(leaf: Leaf) -> np.ndarray:
-    """Shapley share of each path feature for every pattern of met conditions: (2^m, m)."""
-    value, features, _, _, cover = leaf
-    met, points, weights = _grid(len(features))
-    t = points[:, None, None]
+def _shares(leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
+    """Shapley share of each path feature for the given patterns of met conditions."""
+    value, _, _, _, cover = leaf
+    met = _bits(patterns, len(cover))
+    # exact for polynomials of degree m - 1, moved to [0, 1]
+    points, weights = np.polynomial.legendre.leggauss((len(cover) + 1) // 2)
+    t = (points[:, None, None] + 1) / 2
     factors = cover * (1 - t) + met * t
     others = factors.prod(axis=2, keepdims=True) / factors
-    return value * (met - cover) * np.tensordot(weights, others, axes=1)
+    return value * (met - cover) * np.tensordot(weights / 2, others, axes=1)
 
 
 class _Tables:
-    """Pattern tables of a model's leaves, kept while they fit and rebuilt per batch beyond."""
+    """The leaves of a model with their shares for all patterns, where these fit a task; the
+    shares of the patterns at hand are worked out per batch where they do not."""
 
     def __init__(self, leaves: list[list[Leaf]]):
         self.kept = sum(len(leaf[1]) << len(leaf[1]) for cls in leaves for leaf in cls) <= TABLE_CELLS
-        self.leaves = [[(leaf, _pattern_table(leaf) if self.kept else None) for leaf in cls if len(leaf[1])] for cls in leaves]
+        self.leaves = [[(leaf, _shares(leaf, np.arange(1 << len(leaf[1]))) if self.kept else None)
+                        for leaf in cls if len(leaf[1])] for cls in leaves]
 
     def mean_magnitude(self, x: np.ndarray) -> np.ndarray:
         """Mean absolute attribution over the classes; (features, rows) in and out."""
-        return sum(np.abs(_shapley(x, cls)) for cls in self.leaves) / len(self.leaves)
-
-
-def _shapley(x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray | None]]) -> np.ndarray:
-    """Attributions of a block of rows; both arrays are (features, rows)."""
-    phi = np.zeros_like(x)
-    for leaf, table in leaves:
-        _, features, low, high, _ = leaf
-        pattern = np.zeros(x.shape[1], dtype="int32")
-        for f, lo, hi in zip(features, low, high):
-            met = x[f] <= hi if lo == -math.inf else x[f] > lo
-            if lo != -math.inf and hi != math.inf:
-                met &= x[f] <= hi
-            pattern += pattern
-            pattern += met
-        shares = _pattern_table(leaf) if table is None else table
-        for j, f in enumerate(features):
-            phi[f] += shares[:, j].take(pattern)
-    return phi
+        return sum(np.abs(self.attributions(x, cls)) for cls in self.leaves) / len(self.leaves)
+
+    def attributions(self, x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray | None]]) -> np.ndarray:
+        """Signed attributions of one class for a block of rows."""
+        phi = np.zeros_like(x)
+        for leaf, shares in leaves:
+            _, features, low, high, _ = leaf
+            pattern = np.zeros(x.shape[1], dtype="int64")
+            for f, lo, hi in zip(features, low, high):
+                met = x[f] <= hi if lo == -math.inf else x[f] > lo
+                if lo != -math.inf and hi != math.inf:
+                    met &= x[f] <= hi
+                pattern += pattern
+                pattern += met
+            if shares is None:
+                seen, pattern = np.unique(pattern, return_inverse=True)
+                shares = _shares(leaf, seen)
+            for j, f in enumerate(features):
+                phi[f] += shares[:, j].take(pattern)
+        return phi
 
 
 def export_trees(spark: SparkSession, model) -> list[list[Leaf]]:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowtally.operators.anomaly import AnomalyDetector
-from flowtally.operators.attribution import _Tables, _shapley, export_trees, top_attributions, top_n_of
+from flowtally.operators.attribution import _Tables, export_trees, top_attributions, top_n_of
 from flowtally.operators.ensemble import SoftVoteModel, TreeSettings, fit_soft_vote, forest_importance
 from flowtally.operators.textclf import train_text_classifier
 from flowtally.plans import jobs
@@ -66,7 +66,8 @@ def test_attribution_equals_brute_force(spark, model, data):
     gbt.setRawPredictionCol("raw")
     margins = [r[0] for r in gbt.transform(model.prepare(data)).limit(4).select(F.get(vector_to_array("raw"), F.lit(1))).collect()]
     x = np.array([r.x for r in rows])
-    phi = _shapley(np.ascontiguousarray(x.T), [(leaf, None) for leaf in leaves if len(leaf[1])]).T
+    tables = _Tables([leaves])
+    phi = tables.attributions(np.ascontiguousarray(x.T), tables.leaves[0]).T
     for r in range(4):
         for i in range(6):
             others = [j for j in range(6) if j != i]
