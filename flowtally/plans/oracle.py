@@ -70,6 +70,9 @@ SQL["label_encode"] = f"""WITH {RAW} SELECT event_id, label_str, (CASE label_str
 SQL["unknown_labels"] = f"WITH {RAW} SELECT label_str, count(*) AS n FROM raw WHERE label_str = 'no such label' GROUP BY 1"
 SQL["label_group_filter"] = f"""WITH {RAW} SELECT CASE label_str WHEN 'BENIGN' THEN 'Normal Traffic' WHEN 'DoS Hulk' THEN 'DoS'
   ELSE 'Web Attacks' END AS attack_type, count(*) AS n FROM raw WHERE label_str NOT IN ('no such label', 'Heartbleed') GROUP BY 1"""
+SQL["sql_label_stats"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type"
+SQL["union_tables"] = """SELECT c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
+  UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier"""
 SQL["label_share"] = """SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct
   FROM events GROUP BY 1"""
 SQL["table_shape"] = "SELECT count(*) AS n_rows, 17::INT AS n_columns, count(DISTINCT l_returnflag) AS n_classes FROM lineitem"
@@ -230,6 +233,7 @@ SQL["reconstruction_mse"] = """SELECT vec_id, round(list_sum(list_transform(embe
   / len(embedding), 9) AS mse FROM embeddings"""
 SQL["soft_vote"] = f"""WITH {SCORED}, v AS (SELECT (p0 + p2) / 2 AS a, (p1 + p1) / 2 AS b FROM scored)
   SELECT (CASE WHEN a >= b THEN 0 ELSE 1 END)::INT AS cls, count(*) AS n, round(avg(greatest(a, b)), 6) AS mean_confidence FROM v GROUP BY 1"""
+SQL["score_spread"] = "SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events"
 SQL["class_names"] = f"""WITH {SCORED} SELECT CASE prediction WHEN 0 THEN 'BENIGN' ELSE 'CLASS_' || prediction END AS name, count(*) AS n
   FROM scored GROUP BY 1"""
 
@@ -258,6 +262,7 @@ def _drift(key):
 
 SQL["drift_check"] = _drift("strftime(ts, '%Y-%m-%d')") + """ SELECT round(kl, 6) AS kl_divergence, kl > 0.1 AS is_drifting,
   0.1::DOUBLE AS threshold, window_size, out_of_range, window_label, reason FROM d"""
+SQL["drift_kl"] = _drift("event_type") + " SELECT window_label, round(kl, 6) AS kl_divergence, kl > 0.1 AS is_drifting FROM d"
 SQL["drift_by_user"] = _drift("user_id || '/' || event_type") + """ SELECT round(kl, 6) AS kl_divergence, kl > 0.1 AS is_drifting,
   window_size, window_label, reason FROM d"""
 _PCT = "round(quantile_cont({v}, 0.5), {d}) AS p50_ms, round(quantile_cont({v}, 0.95), {d}) AS p95_ms, round(quantile_cont({v}, 0.99), {d}) AS p99_ms"
@@ -322,6 +327,7 @@ _KNN = """SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {d} AS distance FRO
 _TOP = """SELECT query_id, chunk_id, round(distance, 6) + 0.0 AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
   FROM ({k}) QUALIFY rank <= 5"""
 SQL["knn_topk"] = _TOP.format(k=_KNN.format(d=_DIST))
+SQL["hit_lists"] = SQL["knn_topk"]
 SQL["knn_blocks"] = SQL["knn_topk"]
 SQL["knn_cosine"] = _TOP.format(k=_KNN.format(
     d="1 - list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])"

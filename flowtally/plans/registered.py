@@ -17,6 +17,7 @@ from flowtally.operators.anomaly import AnomalyDetector
 from flowtally.operators.attribution import top_attributions, top_n_of
 from flowtally.operators.ensemble import (TreeSettings, fit_soft_vote, forest_importance, importance_comparison)
 from flowtally.operators.ordered import exact_quantiles
+from flowtally.operators.sized import spread
 from flowtally.operators.textclf import labelled_texts, train_text_classifier
 from flowtally.plans import jobs
 from flowtally.plans.views import (NUMERIC, documents, flows, neighbours_of, raw_labels, requests as request_log, scored, table,
@@ -24,6 +25,7 @@ from flowtally.plans.views import (NUMERIC, documents, flows, neighbours_of, raw
 from flowtally.schema import ENGINEERED
 from flowtally.session import fresh_path, settled
 from flowtally.sources import corpus
+from flowtally.sources.flows import label_stats, union_all
 from flowtally.sources.versions import merged
 from flowtally.streaming import jobs as streams
 
@@ -91,6 +93,18 @@ def label_group_filter(spark, sf):
     return profile.value_counts(clean.drop_rare_groups(grouped), "attack_type")
 
 
+@query
+def sql_label_stats(spark, sf):
+    return label_stats(spark, f"{sf}/events.parquet", "event_type")
+
+
+@query
+def union_tables(spark, sf):
+    """Two tables stacked, one without a column of the other."""
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
+    return union_all([c, table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))])
+
+
 @query
 def label_share(spark, sf):
     return profile.label_share(table(spark, sf, "events"), "event_type")
@@ -370,6 +384,12 @@ def soft_vote(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("mean_confidence"))
 
 
+@query
+def score_spread(spark, sf):
+    """Mean and population deviation of scores."""
+    return rounded(evaluate.fold_summary(table(spark, sf, "events"), "value"), 6, "mean", "std")
+
+
 @query
 def class_names(spark, sf):
     s = scored(spark, sf).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -399,6 +419,13 @@ def drift_check(spark, sf):
         "kl_divergence", "is_drifting", "threshold", "window_size", "out_of_range", "window_label", "reason")
 
 
+@query
+def drift_kl(spark, sf):
+    """Divergence of each route from all requests."""
+    d = _baseline(spark, sf).check_scores(request_log(spark, sf), _share(), "route")
+    return d.select("window_label", "kl_divergence", "is_drifting")
+
+
 @query
 def drift_by_user(spark, sf):
     """Some users have fewer rows than a check needs."""
@@ -528,6 +555,17 @@ def rag_context(spark, sf):
     return a.select("query_id", "answer", F.md5("prompt").alias("prompt_md5"), F.array_join("sources", ",").alias("sources"), "context_chunks")
 
 
+@query
+def hit_lists(spark, sf):
+    """Parallel result lists per query, zipped back to hits."""
+    e = neighbours_of(spark, sf)
+    lists = knn.knn_exact(e, e, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.round("distance", 6).alias("distance")))).alias("h"))
+    wide = lists.select("query_id", F.transform("h", lambda h: h["chunk_id"]).alias("docs"),
+                        F.transform("h", lambda h: h["rank"]).alias("metas"), F.transform("h", lambda h: h["distance"]).alias("dists"))
+    z = retrieval.zipped_hits(wide, "docs", "metas", "dists", "query_id")
+    return z.select("query_id", F.col("text").alias("chunk_id"), F.col("distance"), big("rank").alias("rank"))
+
+
 @query
 def retrieval_eval(spark, sf):
     test_set = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("ground_truth"))
@@ -609,7 +647,7 @@ _SMALL = TreeSettings(trees=4, depth=4, parallel_fits=3)
 
 def _train(spark, sf):
     """Flows with a row key, written once: training reads its input many times."""
-    f = clean.nullify_infinite(flows(spark, sf, "l_orderkey", "l_partkey", "l_suppkey"))
+    f = clean.nullify_infinite(spread(flows(spark, sf, "l_orderkey", "l_partkey", "l_suppkey")))
     return settled(f.withColumn("key", F.xxhash64(*f.columns)), "train")
 
 

@@ -57,9 +57,9 @@ def read_splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return tuple(both.where(F.col("split") == s).drop("split") for s in ("train", "val"))
 
 
-def label_stats(spark: SparkSession, path: str) -> DataFrame:
-    """SQL straight over a Parquet path."""
-    return spark.sql("SELECT label_str, COUNT(*) AS n FROM {flows} GROUP BY label_str ORDER BY n DESC, label_str",
+def label_stats(spark: SparkSession, path: str, label: str = "label_str") -> DataFrame:
+    """SQL straight over a Parquet path: rows per label, most frequent first."""
+    return spark.sql(f"SELECT {label}, COUNT(*) AS n FROM {{flows}} GROUP BY {label} ORDER BY n DESC, {label}",
                      flows=spark.read.parquet(path))
 
 
