@@ -41,7 +41,7 @@ def add_flow_features(df: DataFrame) -> DataFrame:
     fills = {}
     for f in wide.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            fills[f.name] = finite_or_zero(F.col(f.name))
+            fills[f.name] = finite_or_zero(F.col(f.name)).cast(f.dataType)
         elif isinstance(f.dataType, NumericType):
             fills[f.name] = F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType))
     return wide.withColumns(fills)

@@ -11,13 +11,18 @@ def at_least(x: Column, floor: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(float(floor))))
 
 
+def is_finite(x: Column) -> Column:
+    """False or null for null, NaN (which sorts above infinity) and both infinities."""
+    return F.abs(x) < F.lit(float("inf"))
+
+
 def finite_or_null(x: Column) -> Column:
     """Fold NaN and both infinities to null."""
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
+    return F.when(is_finite(x), x)
 
 
 def finite_or_zero(x: Column) -> Column:
-    return F.coalesce(finite_or_null(x), F.lit(0.0))
+    return F.when(is_finite(x), x).otherwise(F.lit(0.0))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from flowtally.functions.numeric import finite_or_null
+from flowtally.functions.numeric import finite_or_null, is_finite
 from flowtally.functions.text import ws_trim
 from flowtally.schema import FEATURES, LABEL_GROUPS, LABEL_IDS, RARE_GROUPS, RENAMES
 
@@ -49,8 +52,8 @@ def unknown_label_audit(df: DataFrame, label: str = "label", ids: dict[str, int]
 
 
 def to_number(c: Column) -> Column:
-    """Cast to double; text that is not a number gives null."""
-    return ws_trim(c).try_cast("double")
+    """Cast to double; text that is not a number gives null, white space around it is allowed."""
+    return c.try_cast("double")
 
 
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -73,10 +76,16 @@ def drop_any_null(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
+def keep_finite(df: DataFrame) -> DataFrame:
+    """Rows whose features are all present and finite: what nullifying infinities and dropping
+    nulls leaves, as one filter."""
+    present = [is_finite(F.col(c)) for c in FEATURES if c in df.columns]
+    return df.where(reduce(and_, present)) if present else df
+
+
 def clean_flows(df: DataFrame) -> DataFrame:
-    """Raw flow rows to typed rows with known labels and no gaps; one narrow projection."""
-    named = rename_flow_columns(df)
-    return drop_null_features(nullify_infinite(coerce_numeric(encode_labels(named))))
+    """Raw flow rows to typed rows with known labels and no gaps; one narrow pass."""
+    return keep_finite(coerce_numeric(encode_labels(rename_flow_columns(df))))
 
 
 def group_labels(df: DataFrame, label: str = "label_str", out: str = "attack_type") -> DataFrame:

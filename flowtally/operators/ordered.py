@@ -21,6 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtally.functions.numeric import is_finite
 from flowtally.operators.sized import small_side
 
 CUTS_PER_DOUBLING = 64
@@ -90,8 +91,7 @@ def _slicer(df: DataFrame, by: list[str], value: str, max_slice: int, tie: str |
 
 
 def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    x = F.col(value)
-    keep = x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    keep = is_finite(F.col(value).cast("double"))
     for k in keys:
         keep = keep & F.col(k).isNotNull()
     return df.where(keep)

@@ -172,7 +172,9 @@ CWE_LABELS: list[str] = [
     "CWE-611", "CWE-732", "CWE-862", "CWE-863", "CWE-918", "OTHER",
 ]
 
-RAW_FLOW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for _, name in RAW_HEADERS])
+# The reader parses numbers itself; text in a number column becomes null.
+RAW_FLOW_SCHEMA = T.StructType([
+    T.StructField(name, T.StringType() if name == "label" else T.DoubleType()) for _, name in RAW_HEADERS])
 
 _METRIC = "ARRAY<STRUCT<cvssData: STRUCT<baseScore: DOUBLE, baseSeverity: STRING>>>"
 VULNERABILITY_DDL = (

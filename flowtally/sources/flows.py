@@ -21,7 +21,7 @@ def csv_encodings(spark: SparkSession, folder: str, recursive: bool = False) ->
 
 
 def read_flow_csvs(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """All ``*.csv`` files of a folder as one table of 79 text columns, by position.
+    """All ``*.csv`` files of a folder as one table of 78 numbers and a label, by position.
 
     The file list (paths only) is fetched to group the files by encoding; the files themselves
     are read in parallel. An empty folder is an error.
