@@ -46,4 +46,47 @@ u AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(coales
 b AS (SELECT n, max({'a': length(h || p), 'b': length(h), 'c': h || p, 'd': v}) AS m
       FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
 SELECT page_id, host, path, m.c AS rule, coalesce(m.d, 'allow') AS verdict FROM u LEFT JOIN b USING (n)""",
+    "op1_topk_search": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+WHERE rank <= 5""",
+    "op3_line_dedup": rf"""
+WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM t),
+w AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS words FROM r),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, sum(words) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM w WHERE words > 0),
+f AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7 AND b.upto - a.upto + a.words >= 8 GROUP BY ALL),
+g AS (SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - 7 AND b.i AND b.upto - a.upto + a.words >= 8 GROUP BY ALL),
+u AS (SELECT doc_id, s, e FROM f UNION SELECT doc_id, s, e FROM g),
+x AS (SELECT u.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS run FROM u JOIN l ON l.doc_id = u.doc_id AND l.i BETWEEN s AND e GROUP BY ALL),
+y AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
+z AS (SELECT DISTINCT l.doc_id, l.p FROM y JOIN l ON l.doc_id = y.doc_id AND l.i BETWEEN s AND e),
+o AS (SELECT w.doc_id, string_agg(line, chr(10) ORDER BY w.p) FILTER (WHERE z.p IS NULL) AS clean, count(*) FILTER (WHERE words > 0)::INTEGER AS n_lines, count(z.p)::INTEGER AS n_removed
+      FROM w LEFT JOIN z ON w.doc_id = z.doc_id AND w.p = z.p GROUP BY w.doc_id)
+SELECT doc_id, CASE WHEN n_removed > 0 THEN coalesce(clean, '') ELSE text END AS text, n_lines, n_removed FROM t JOIN o USING (doc_id)""",
+    "op7_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT h.a, h.b FROM h JOIN n p ON p.doc_id = h.a JOIN n q ON q.doc_id = h.b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(c.b)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id GROUP BY w.doc_id""",
+    "op9_span_dedup": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS ps FROM documents),
+r AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS p, unnest(ps) AS piece FROM t),
+w AS (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM r),
+l AS (SELECT doc_id, p, len(ws) AS words, array_to_string(ws, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY p) AS upto
+      FROM w WHERE len(ws) > 0),
+f AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 19 AND b.upto - a.upto + a.words >= 20 GROUP BY ALL),
+x AS (SELECT f.doc_id, s, e, string_agg(norm, chr(10) ORDER BY i) AS run FROM f JOIN l ON l.doc_id = f.doc_id AND l.i BETWEEN s AND e GROUP BY ALL),
+y AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
+z AS (SELECT DISTINCT l.doc_id, l.p FROM y JOIN l ON l.doc_id = y.doc_id AND l.i BETWEEN s AND e),
+o AS (SELECT w.doc_id, string_agg(piece, '' ORDER BY w.p) FILTER (WHERE z.p IS NULL) AS clean, count(*) FILTER (WHERE len(ws) > 0) AS n, count(z.p) AS gone
+      FROM w LEFT JOIN z ON w.doc_id = z.doc_id AND w.p = z.p GROUP BY w.doc_id)
+SELECT doc_id, CASE WHEN gone > 0 THEN coalesce(clean, '') ELSE x END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(gone, 0)::BIGINT AS n_removed
+FROM t LEFT JOIN o USING (doc_id)""",
 }
