@@ -36,10 +36,14 @@ def _definitions(have: set[str]) -> dict[str, Column]:
 
 
 def add_flow_features(df: DataFrame) -> DataFrame:
-    """Add the derived columns; null, NaN and infinity become 0 in every numeric column."""
+    """Add the derived columns; null, NaN and infinity become 0 in every feature. Other columns,
+    the label among them, keep their nulls."""
     wide = df.withColumns(_definitions(set(df.columns)))
     fills = {}
+    wanted = {*FEATURES, *ENGINEERED}
     for f in wide.schema.fields:
+        if f.name not in wanted:
+            continue
         if f.dataType.typeName() in ("double", "float"):
             fills[f.name] = finite_or_zero(F.col(f.name)).cast(f.dataType)
         elif isinstance(f.dataType, NumericType):

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.functions.numeric import sigmoid_score
+from flowtally.functions.numeric import finite_or_zero, sigmoid_score
 from flowtally.functions.vectors import dot
 from flowtally.operators.ordered import exact_quantiles
 from flowtally.session import settled
@@ -36,12 +36,17 @@ class AnomalyDetector:
         self.model: PipelineModel | None = None
         self.threshold: float | None = None
 
+    @staticmethod
+    def _filled(name: str) -> Column:
+        """A feature with 0 in its gaps (null, NaN, infinity), as in a request that leaves it out."""
+        return finite_or_zero(F.col(name).cast("double"))
+
     def fit(self, benign: DataFrame, percentile: float = PERCENTILE) -> float:
-        """Learn from benign rows, set the threshold at the percentile of their errors, and
+        """Learn from benign rows, gaps filled, set the threshold at the percentile of their errors, and
         return the mean error (the training loss)."""
-        rows = benign.select(*[F.col(n).cast("double").alias(n) for n in self.names])
+        rows = benign.select(*[self._filled(n).alias(n) for n in self.names])
         self.model = Pipeline(stages=[
-            VectorAssembler(inputCols=self.names, outputCol="_x", handleInvalid="skip"),
+            VectorAssembler(inputCols=self.names, outputCol="_x", handleInvalid="error"),
             StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True, withStd=True),
             PCA(k=self.latent, inputCol="_scaled", outputCol="latent"),
         ]).fit(rows)
@@ -55,7 +60,7 @@ class AnomalyDetector:
         return self.model
 
     def _projected(self, df: DataFrame) -> DataFrame:
-        doubles = df.withColumns({f"_d_{n}": F.col(n).cast("double") for n in self.names})
+        doubles = df.withColumns({f"_d_{n}": self._filled(n) for n in self.names})
         stage = self._fitted().stages[0].copy()
         stage.setInputCols([f"_d_{n}" for n in self.names])
         out = stage.transform(doubles).drop(*[f"_d_{n}" for n in self.names])
@@ -79,7 +84,7 @@ class AnomalyDetector:
         return error > F.lit(self.threshold)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``reconstruction_error``, ``anomaly_score`` in [0, 1] and ``is_anomaly``."""
+        """Add ``reconstruction_error``, ``anomaly_score`` in [0, 1] and ``is_anomaly``; one row for each row."""
         out = self.reconstruction_errors(df)
         e = F.col("reconstruction_error")
         return out.withColumns({"anomaly_score": sigmoid_score(e, self.threshold), "is_anomaly": self.flag(e)})

@@ -15,9 +15,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtally.functions.numeric import finite_or_zero
 from flowtally.functions.vectors import argmax, mean_vectors
 from flowtally.operators.evaluate import classification_report, confusion
-from flowtally.operators.split import stratified_split, with_fold
+from flowtally.operators.split import stratified_fold, stratified_split
 
 MAX_CLASSES = 1000
 
@@ -149,10 +150,10 @@ def forest_importance(df: DataFrame, names: Sequence[str], label: str, key: str,
     spark = df.sparkSession
     classes = class_ids(df, label)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("int")) - 1
-    doubles = df.withColumns({n: F.col(n).cast("double") for n in names})
-    vec = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="skip")
+    doubles = df.withColumns({n: finite_or_zero(F.col(n).cast("double")) for n in names})  # gaps count as 0
+    vec = VectorAssembler(inputCols=list(names), outputCol="features")
     rows = vec.transform(doubles).select(key, index.cast("double").alias("label"), "features")
-    parts = with_fold(stratified_split(rows, "label", key, 0.7, seed), key, folds, seed).persist()
+    parts = stratified_fold(stratified_split(rows, "label", key, 0.7, seed), ["label", "is_train"], key, folds, seed).persist()
     try:
         def forest(train: DataFrame) -> RandomForestClassificationModel:
             return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(train)

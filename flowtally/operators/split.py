@@ -89,6 +89,27 @@ def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def stratified_fold(df: DataFrame, strata: Sequence[str], key: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Fold number in turn within each stratum, in (hash, key) order: its folds differ by one row at most.
+
+    Rows are numbered within slices of the hash space, and counts per (stratum, slice) tell where
+    each slice begins, so a stratum with most of the rows is ordered in many tasks. Rows with equal
+    keys are numbered in any order.
+    """
+    h = mixed_hash(F.col(key), seed)
+    sliced = df.withColumn("_h", h).withColumn("_slice", F.floor(F.col("_h") / F.lit(4294967296 // SLICES)).cast("int"))
+    by, named = list(strata), [f"_by_{c}" for c in strata]
+    before = Window.partitionBy(*named).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (sliced.groupBy(*[F.col(c).alias(n) for c, n in zip(by, named)], F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
+    within = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key))
+    same = F.col("_slice") == F.col("_s")
+    for c, n in zip(by, named):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    numbered = sliced.withColumn("_n", within).join(counts, same)
+    return numbered.withColumn(out, F.pmod(F.col("_offset") + F.col("_n") - 1, F.lit(folds)).cast("int")).select(*df.columns, out)
+
+
 def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold number by hash. The hash does not look at the label, so each fold has each
     label's share, up to chance."""
