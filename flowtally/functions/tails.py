@@ -1,9 +1,11 @@
-"""Tail probabilities for the test statistics; they run on one row per feature."""
+"""Tail probabilities for the test statistics. The chi-square and F tails run on one row per feature,
+the normal one on whole batches of values."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -61,11 +63,30 @@ def _beta_lower(a: float, b: float, x: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-def _log_phi(w: float) -> float:
-    """ln of the normal distribution function, with the asymptotic tail below -30."""
-    if w > -30:
-        return math.log(0.5 * math.erfc(-w / math.sqrt(2))) if w < 5 else math.log1p(-0.5 * math.erfc(w / math.sqrt(2)))
-    return -0.5 * w * w - math.log(-w * math.sqrt(2 * math.pi)) + math.log1p(-1 / w**2 + 3 / w**4)
+def _scaled_erfc(x: np.ndarray) -> np.ndarray:
+    """exp(x²) erfc(x) for x >= 0, whole arrays at a time: the series of erf for small x, a
+    continued fraction from its far end for larger ones."""
+    out = np.empty_like(x)
+    near = x < 2.5
+    y = x[near]
+    term = total = y.copy()
+    for k in range(1, 60):
+        term = term * (2 * y * y) / (2 * k + 1)
+        total = total + term
+    out[near] = np.exp(y * y) - total * (2 / math.sqrt(math.pi))
+    y = x[~near]
+    tail = y.copy()
+    for k in range(80, 0, -1):
+        tail = y + (k / 2) / tail
+    out[~near] = 1 / (tail * math.sqrt(math.pi))
+    return out
+
+
+def log_phi(w: np.ndarray) -> np.ndarray:
+    """ln of the normal distribution function; nothing underflows, however far the tail."""
+    x = np.abs(w) / math.sqrt(2)
+    scaled = _scaled_erfc(x)
+    return np.where(w < 0, np.log(0.5 * scaled) - x * x, np.log1p(-0.5 * scaled * np.exp(-x * x)))
 
 
 @F.pandas_udf(DoubleType())
@@ -81,4 +102,5 @@ def f_tail(stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def log_normal_cdf(w: pd.Series) -> pd.Series:
-    return w.map(_log_phi)
+    values = w.to_numpy(dtype="float64", na_value=np.nan)
+    return pd.Series(np.where(np.isnan(values), np.nan, log_phi(np.nan_to_num(values, posinf=1e150, neginf=-1e150))))

@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from flowtally.functions.tails import _beta_lower, _gamma_upper, _log_phi
+from flowtally.functions.tails import _beta_lower, _gamma_upper, log_phi
 from flowtally.operators import profile, stats_tests
 
 
@@ -96,7 +98,7 @@ def test_anderson(frame):
     for f, r in got.items():
         x = np.sort(pdf[f].dropna().values)
         w, n, i = (x - x.mean()) / x.std(ddof=1), len(x), np.arange(1, len(x) + 1)
-        lo, hi = np.array([_log_phi(v) for v in w]), np.array([_log_phi(-v) for v in w])
+        lo, hi = log_phi(w), log_phi(-w)
         assert r.a2 == pytest.approx(-n - ((2 * i - 1) * lo + (2 * (n - i) + 1) * hi).sum() / n)
     assert got["a"].is_normal and not got["b"].is_normal
 
@@ -105,4 +107,8 @@ def test_tails():
     assert _gamma_upper(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
     assert _gamma_upper(5.0, 18.307038053275146 / 2) == pytest.approx(0.05)
     assert _beta_lower(5.0, 1.0, 10 / (10 + 2 * 4.102821015)) == pytest.approx(0.05, rel=1e-6)
-    assert _log_phi(-40.0) == pytest.approx(-804.608442, rel=1e-6)
+    assert log_phi(np.array([-40.0]))[0] == pytest.approx(-804.608442, rel=1e-6)
+    w = np.linspace(-37, 8, 2000)
+    plain = [math.log(0.5 * math.erfc(-x / math.sqrt(2))) if x < 5 else math.log1p(-0.5 * math.erfc(x / math.sqrt(2))) for x in w]
+    assert log_phi(w) == pytest.approx(plain, rel=1e-11)
+    assert np.isfinite(log_phi(np.array([-1e150, 1e150, 0.0]))[1:]).all()
