@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowtally.operators.monitor import PERCENTILES, DriftBaseline, histograms, score_bin
 from flowtally.operators.ordered import top_n
@@ -24,12 +25,42 @@ def event_stream(spark: SparkSession, folder: str, glob: str, ts: str = "ts") ->
     return rows.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(df: DataFrame, path: str, mode: str = "append") -> None:
+#: Run until the input is read; ``{"processingTime": "1 minute"}`` keeps a stream going.
+CAUGHT_UP = {"availableNow": True}
+
+
+def run_to_table(df: DataFrame, path: str, mode: str = "append", trigger: dict | None = None) -> None:
     query = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows")
-             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or CAUGHT_UP)).start())
     query.awaitTermination()
 
 
+def run_counts(counts: DataFrame, keys: Sequence[str], path: str, trigger: dict | None = None) -> DataFrame:
+    """The newest counts per key of a windowed aggregation, windows that are still open included.
+
+    Every batch writes the counts it changed to a folder of its own (a replayed batch replaces it);
+    the latest batch of a key holds its full counts.
+    """
+    spark, rows = counts.sparkSession, f"{path}/rows"
+    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{rows}/batch=-1")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
+
+    query = (counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+             .trigger(**(trigger or CAUGHT_UP)).start())
+    query.awaitTermination()
+    found = spark.read.schema(StructType([*counts.schema.fields, StructField("batch", IntegerType())])).parquet(rows)
+    values = [c for c in counts.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+
+
+def _is_closed(counts: DataFrame, start: Column, every: str, late: str) -> Column:
+    """Whether a window's end lies behind the newest event by more than the allowed lateness."""
+    newest = counts.agg(F.max("latest")).first()[0]
+    return start + F.expr(f"INTERVAL {every}") <= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late}")
+
+
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
@@ -42,41 +73,41 @@ def score_stream(events: DataFrame, transform: Callable[[DataFrame], DataFrame],
 
 
 def request_metrics_stream(events: DataFrame, keys: Sequence[str], latency: str, error: Column, path: str,
-                           ts: str = "ts", every: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """Percentiles, error rate and total per closed window.
+                           ts: str = "ts", every: str = "60 seconds", late: str = "10 minutes", trigger: dict | None = None) -> DataFrame:
+    """Percentiles, error rate and total per window, and whether it is closed.
 
     The stream keeps counts per (window, key, latency), which spread over all tasks even when
-    one key has most of the traffic; the percentiles are taken from the counts of closed windows.
+    one key has most of the traffic; the percentiles are taken from the counts.
     """
     counts = (
         events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), *keys, F.col(latency).alias("latency"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("errors"))
-        .select(F.col("w.start").alias("window_start"), *keys, "latency", "n", "errors"))
-    run_to_table(counts, path)
-    closed = _table(events.sparkSession, path, counts.schema)
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("errors"), F.max(ts).alias("latest"))
+        .select(F.col("w.start").alias("window_start"), *keys, "latency", "n", "errors", "latest"))
+    closed = run_counts(counts, ["window_start", *keys, "latency"], path, trigger)
     probs = F.array(*[F.lit(p) for p in PERCENTILES.values()])
     out = closed.groupBy("window_start", *keys).agg(
         F.percentile("latency", probs, F.col("n")).alias("_p"), F.sum("n").alias("total_requests"), F.sum("errors").alias("errors"))
     return out.select(
         "window_start", *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(PERCENTILES)],
-        (F.col("errors") / F.greatest("total_requests", F.lit(1))).alias("error_rate"), "total_requests")
+        (F.col("errors") / F.greatest("total_requests", F.lit(1))).alias("error_rate"), "total_requests",
+        _is_closed(closed, F.col("window_start"), every, late).alias("is_closed"))
 
 
 def drift_stream(events: DataFrame, score: Column, baseline: DriftBaseline, path: str, ts: str = "ts",
-                 every: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Drift of every closed event-time window against a stored baseline; the state is one
-    count per (window, bin)."""
+                 every: str = "1 day", late: str = "1 hour", trigger: dict | None = None) -> DataFrame:
+    """Drift of every event-time window against a stored baseline, and whether the window is
+    closed; the state is one count per (window, bin)."""
     counts = (
         events.where(score.isNotNull()).withWatermark(ts, late)
         .groupBy(F.window(ts, every).alias("w"), F.coalesce(score_bin(score, baseline.n_bins), F.lit(0)).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "bin", "n"))
-    run_to_table(counts, path)
-    closed = _table(events.sparkSession, path, counts.schema)
-    return baseline.check(histograms(closed, ["window_start"], baseline.n_bins), "window_start")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("latest")).select(F.col("w.start").alias("window_start"), "bin", "n", "latest"))
+    found = run_counts(counts, ["window_start", "bin"], path, trigger)
+    checked = baseline.check(histograms(found.drop("latest"), ["window_start"], baseline.n_bins), "window_start")
+    return checked.withColumn("is_closed", _is_closed(found, F.col("window_label").cast("timestamp"), every, late))
 
 
 def last_n_stream(events: DataFrame, key: str, order: Sequence[str], n: int, path: str,
-                  compact_every: int = 20) -> DataFrame:
+                  compact_every: int = 20, trigger: dict | None = None) -> DataFrame:
     """The last ``n`` rows of every key, kept up to date batch by batch.
 
     A batch is thinned to its own last ``n`` per key, in salted parts, so a key with most of the
@@ -96,7 +127,7 @@ def last_n_stream(events: DataFrame, key: str, order: Sequence[str], n: int, pat
                 thin(_kept_rows(spark, path, events.columns)).withColumn("_through", F.lit(batch_id)))
 
     query = (events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
-             .trigger(availableNow=True).start())
+             .trigger(**(trigger or CAUGHT_UP)).start())
     query.awaitTermination()
     return thin(_kept_rows(spark, path, events.columns))
 

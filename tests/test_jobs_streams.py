@@ -127,9 +127,10 @@ def test_stream_metrics_equal_batch(spark, events, tmp_path):
     minute = df.withColumn("w", F.window("ts", "60 seconds")["start"])
     want = latency_percentiles(minute, ["w", "svc"], "v", F.col("v") > 0.9).toPandas()
     last = df.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=1)
-    want = want[want.w + pd.Timedelta(minutes=1) <= last].sort_values(["w", "svc"])
+    want = want.sort_values(["w", "svc"])
     got = got.sort_values(["window_start", "svc"])
     assert len(got) == len(want) > 50
+    assert got.is_closed.tolist() == (want.w + pd.Timedelta(minutes=1) <= last).tolist() and not got.is_closed.all()
     for c in ("p50_ms", "p95_ms", "p99_ms", "error_rate", "total_requests"):
         assert got[c].tolist() == pytest.approx(want[c].tolist())
 
@@ -141,7 +142,8 @@ def test_stream_drift_and_scores(spark, events, tmp_path):
     got = {r.window_label: r for r in streams.drift_stream(s, F.col("v"), base, str(tmp_path / "d"), every="30 minutes", late="1 minute").collect()}
     half = df.withColumn("w", F.window("ts", "30 minutes")["start"])
     want = {r.window_label: r for r in base.check_scores(half, F.col("v"), "w").collect()}
-    assert len(got) == 3 and all(got[k].kl_divergence == want[k].kl_divergence for k in got)
+    assert got.keys() == want.keys() and all(got[k].kl_divergence == want[k].kl_divergence for k in got)
+    assert sum(r.is_closed for r in got.values()) == 3 < len(got)
     scored = streams.score_stream(s, lambda d: d.withColumn("twice", F.col("v") * 2), str(tmp_path / "s"))
     assert scored.count() == 900 and scored.agg(F.sum(F.col("twice") - 2 * F.col("v"))).first()[0] == 0
 
