@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 from flowtally.functions.text import cwe_id, english, primary_cwe
 from flowtally.operators.split import cap_per_group, exact_split
 
-# Shortest description, characters kept, rows per year, validation share.
+# Shortest description, rows per year, validation share.
 MIN_CHARS = 30
-KEPT_CHARS = 512
 MAX_PER_YEAR = 5000
 TRAIN_SHARE = 0.85
 
 
-def labelled_texts(vulnerabilities: DataFrame, year: Column | None = None, max_per_year: int = MAX_PER_YEAR) -> DataFrame:
-    """Rows (cve_id, text, label): the first ``max_per_year`` records of each year by id, then
-    those with a long enough English description."""
+def labelled_texts(vulnerabilities: DataFrame, year: Column | None = None, max_per_year: int = MAX_PER_YEAR,
+                   max_chars: int | None = None) -> DataFrame:
+    """Rows (cve_id, text, label): the first ``max_per_year`` records of each year by id (the bound
+    on labelled rows), then those with a long enough English description. Texts are whole unless
+    ``max_chars`` cuts them for a model with a limit."""
     year = year if year is not None else F.substring("cve.published", 1, 4)
     rows = vulnerabilities.select("cve", year.alias("year"), F.col("cve.id").alias("cve_id"))
     capped = cap_per_group(rows, "year", "cve_id", max_per_year)
     text = english(F.col("cve.descriptions"), "")
     return capped.where(F.length(text) >= MIN_CHARS).select(
-        "cve_id", F.substring(text, 1, KEPT_CHARS).alias("text"),
+        "cve_id", (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"),
         cwe_id(primary_cwe(F.col("cve.weaknesses"))).alias("label"))
 
 

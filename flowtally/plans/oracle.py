@@ -290,7 +290,7 @@ _CWES = ["CWE-79", "CWE-89", "CWE-20", "CWE-125", "CWE-787", "CWE-119", "CWE-200
          "CWE-190", "CWE-400", "CWE-502", "CWE-611", "CWE-732", "CWE-862", "CWE-863", "CWE-918"]
 SQL["cwe_label"] = f"""WITH d AS (SELECT doc_id AS i, text, CASE WHEN doc_id % 50 <> 0 THEN 'CVE-' || (2020 + doc_id % 5) || '-' || (1000 + doc_id) END AS cve_id
   FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY i % 5 ORDER BY cve_id NULLS FIRST, i) AS rn FROM d)
-  SELECT cve_id, md5(substring(text, 1, 512)) AS text_md5,
+  SELECT cve_id, md5(text) AS text_md5,
     (coalesce(list_position({_CWES!r}, 'CWE-' || (i % 130)), list_position({_CWES!r}, 'CWE-79')) - 1)::INT AS label
   FROM r WHERE rn <= 5000 AND i % 9 <> 0 AND length(text) >= 30"""
 SQL["cve_keyword_search"] = f"""WITH d AS (SELECT doc_id AS i, CASE WHEN doc_id % 9 = 0 THEN 'No description' ELSE text END AS text,
@@ -339,13 +339,13 @@ ctx AS (SELECT query_id, list(text ORDER BY rank) AS texts, list_sort(list_disti
 SQL["rag_context"] = f"""WITH {_HITS} SELECT d.doc_id AS query_id, CASE WHEN n IS NULL THEN 'No relevant CVE data found.' END AS answer,
   md5('Context:' || chr(10) || array_to_string(texts, chr(10) || chr(10) || '---' || chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || lang) AS prompt_md5,
   coalesce(array_to_string(sources, ','), '') AS sources, coalesce(n, 0) AS context_chunks FROM documents d LEFT JOIN ctx ON d.doc_id = query_id"""
-SQL["retrieval_eval"] = f"""WITH {_HITS}, w AS (SELECT query_id AS id, list_distinct({_WORDS.format(t='d.text')}) AS want,
-    list_transform(texts, lambda t: {_WORDS.format(t='t')}) AS got FROM ctx JOIN documents d ON d.doc_id = query_id),
-  m AS (SELECT id, want, list_distinct(flatten(got)) AS words, got FROM w),
+SQL["retrieval_eval"] = f"""WITH {_HITS}, w AS (SELECT d.doc_id AS id, list_distinct({_WORDS.format(t='d.text')}) AS want,
+    list_transform(texts, lambda t: {_WORDS.format(t='t')}) AS got FROM documents d LEFT JOIN ctx ON d.doc_id = query_id),
+  m AS (SELECT id, want, coalesce(list_distinct(flatten(got)), []) AS words, coalesce(got, []) AS got FROM w),
   x AS (SELECT id, len(want) AS nw, len(words) AS ng, len(list_intersect(want, words)) AS nb,
     len(list_filter(got, lambda g: list_has_any(g, want))) AS nc, len(got) AS nt FROM m)
   SELECT id, round(CASE WHEN nw = 0 THEN 0 ELSE nb / nw END, 6) AS context_recall, round(CASE WHEN ng = 0 THEN 0 ELSE nb / ng END, 6) AS context_precision,
-  round(nc / nt, 6) AS coverage FROM x"""
+  round(CASE WHEN nt = 0 THEN 0 ELSE nc / nt END, 6) AS coverage FROM x"""
 
 _IDS = "' CVE-2021-' || (44000 + conv_id % 7) || ', CVE-' || (2014 + turn % 3) || '-0160 and CVE-20-1'"
 _MSG = rf"""m AS (SELECT conv_id, turn, regexp_extract_all(text || {_IDS}, 'CVE-\d{{4}}-\d+') AS ids FROM conversations)"""
@@ -365,9 +365,20 @@ SQL["top_values"] = """WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, unne
 
 _CLOSED = "date_trunc('minute', ts) + INTERVAL 60 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 SQL["stream_request_metrics"] = f"""SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
-  {_PCT.format(v='value', d=6)}, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, count(*) AS total_requests
-  FROM events WHERE {_CLOSED} GROUP BY 1, 2"""
+  {_PCT.format(v='value', d=6)}, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, count(*) AS total_requests, any_value({_CLOSED}) AS is_closed
+  FROM events GROUP BY 1, 2"""
 SQL["stream_drift"] = _drift("strftime(ts, '%Y-%m-%d')") + """ SELECT round(kl, 6) AS kl_divergence, kl > 0.1 AS is_drifting, window_size,
-  out_of_range, window_label FROM d WHERE window_label::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+  out_of_range, window_label, window_label::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS is_closed FROM d"""
 SQL["stream_last_n"] = """SELECT user_id, event_id, value FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"""
+SQL["batch_score_rows"] = "SELECT l_returnflag AS label_str, count(*) AS n, count(*) AS n_scored FROM lineitem GROUP BY 1"
+SQL["stratified_folds"] = f"""SELECT o_orderstatus, fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM (
+  SELECT *, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) - 1) % 5)::INT AS fold FROM orders) GROUP BY 1, 2"""
+SQL["corpus_answers"] = f"""WITH s AS (SELECT doc_id, lang, source, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+c AS (SELECT 'a_' || doc_id || '_chunk0' AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS document, source, embedding FROM s
+  UNION ALL SELECT 'b_' || doc_id || '_chunk0', lang, 'b', embedding FROM s WHERE doc_id < 100),
+h AS (SELECT q.vec_id, document, source, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.id) AS rank
+  FROM embeddings q CROSS JOIN c WHERE q.vec_id % 10 <> 0 QUALIFY rank <= 3)
+SELECT e.vec_id AS query_id, CASE WHEN count(h.rank) = 0 THEN 'No relevant CVE data found.' END AS answer, coalesce(string_agg(document, '|' ORDER BY rank), '') AS contexts,
+  coalesce(array_to_string(list_sort(list_distinct(list(source) FILTER (WHERE source IS NOT NULL))), ','), '') AS sources, count(h.rank) AS context_chunks
+FROM embeddings e LEFT JOIN h ON e.vec_id = h.vec_id GROUP BY e.vec_id"""

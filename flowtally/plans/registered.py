@@ -26,7 +26,7 @@ from flowtally.schema import ENGINEERED
 from flowtally.session import fresh_path, settled
 from flowtally.sources import corpus
 from flowtally.sources.flows import label_stats, union_all
-from flowtally.sources.versions import merged
+from flowtally.sources.versions import VersionedTable, merged
 from flowtally.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,7 +569,7 @@ def hit_lists(spark, sf):
 @query
 def retrieval_eval(spark, sf):
     test_set = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("ground_truth"))
-    rows = test_set.join(retrieval.contexts(_hits(spark, sf)).withColumnRenamed("query_id", "id"), "id")
+    rows = retrieval.evaluation_rows(test_set, retrieval.contexts(_hits(spark, sf)))
     q = retrieval.lexical_quality(rows)
     return rounded(q.select("id", "context_recall", "context_precision", "coverage"), 6, "context_recall", "context_precision", "coverage")
 
@@ -578,7 +578,7 @@ def retrieval_eval(spark, sf):
 def text_retrieval(spark, sf):
     """Benchmark passages looked up in the chunked documents by hashed term vectors."""
     chunks = tx.explode_chunks(documents(spark, sf).select("doc_id", "text"), "text", "doc_id").select(
-        (F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("id"), "document", F.col("doc_id").cast("string").alias("cve_id"))
+        "id", "document", F.col("doc_id").cast("string").alias("cve_id"))
     embedder = retrieval.HashedTfIdf.fit(chunks, "document")
     ready = settled(retrieval.embed(chunks, embedder), "vectors")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
@@ -667,7 +667,7 @@ def _fitted(spark, sf):
     rows = _train(spark, sf)
     model = fit_soft_vote(rows, _MODEL_NAMES, "label", _SMALL)
     detector = AnomalyDetector(_MODEL_NAMES, 4)
-    detector.fit(clean.benign(rows.na.drop()))
+    detector.fit(clean.benign(rows))
     return rows, model, detector
 
 
@@ -679,6 +679,40 @@ def batch_score(spark, sf):
                       F.to_json("shap_top_features").alias("shap_top_features"))
 
 
+@query
+def batch_score_rows(spark, sf):
+    """Every row comes back scored, gaps or not."""
+    rows, model, detector = _fitted(spark, sf)
+    out = jobs.score(rows.drop("label"), model, detector, top_n=0)
+    sound = F.col("confidence").between(0, 1) & F.col("anomaly_score").between(0, 1) & F.col("is_anomaly").isNotNull() & F.col("prediction").isNotNull()
+    return out.groupBy("label_str").agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_scored"))
+
+
+@query
+def corpus_answers(spark, sf):
+    """Two sources loaded in turn, some records twice, then questions on the chunk table."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf, "documents").join(e, "doc_id")
+
+    def chunks(prefix, document, source, rows):
+        record = F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
+        return rows.select(F.concat(record, F.lit("_chunk0")).alias("id"), document.alias("document"), source.alias("cve_id"), "embedding", record.alias("record"))
+
+    store = VersionedTable(spark, fresh_path(spark, "chunks"))
+    store.upsert(chunks("a_", F.col("source"), F.col("source"), d), replace_by="record")
+    store.upsert(chunks("b_", F.col("lang"), F.lit("b"), d.where("doc_id < 100")), replace_by="record")
+    store.upsert(chunks("a_", F.col("lang"), F.col("source"), d.where("doc_id % 2 = 0")), replace_by="record")
+    asked = e.select(F.col("doc_id").alias("id"), F.lit("?").alias("question"), F.when(F.col("doc_id") % 10 != 0, F.col("embedding")).alias("embedding"))
+    a = retrieval.answer_records(asked, retrieval.retrieve(asked, store.read(), 3))
+    return a.select("query_id", "answer", F.array_join("contexts", "|").alias("contexts"), F.array_join("sources", ",").alias("sources"), "context_chunks")
+
+
+@query
+def stratified_folds(spark, sf):
+    f = split.stratified_fold(table(spark, sf, "orders"), ["o_orderstatus"], "o_orderkey", 5)
+    return f.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @query
 def tree_attribution(spark, sf):
     """Mean attribution per feature over all rows."""
@@ -739,7 +773,8 @@ def latent_encode(spark, sf):
     wide = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(64)])
     detector = AnomalyDetector([f"d{i:02d}" for i in range(64)], 8)
     detector.fit(wide)
-    return detector.encode(wide).select("vec_id", F.size("latent").alias("width"), F.col("latent")[0].alias("first_value"))
+    return detector.encode(wide).select("vec_id", F.size("latent").alias("width"), F.col("latent")[0].alias("first_value"),
+                                        F.round(F.aggregate("latent", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -749,7 +784,7 @@ def stream_request_metrics(spark, sf):
     events = streams.event_stream(spark, sf, "events.parquet")
     m = streams.request_metrics_stream(events, ["event_type"], "value", F.col("event_type") == "error", fresh_path(spark, "metrics"))
     out = m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
-                   "p50_ms", "p95_ms", "p99_ms", "error_rate", "total_requests")
+                   "p50_ms", "p95_ms", "p99_ms", "error_rate", "total_requests", "is_closed")
     return rounded(out, 6, "p50_ms", "p95_ms", "p99_ms", "error_rate")
 
 
@@ -778,7 +813,7 @@ def stream_drift(spark, sf):
     events = streams.event_stream(spark, sf, "events.parquet")
     d = streams.drift_stream(events, _share("value"), _baseline(spark, sf), fresh_path(spark, "drift"))
     return d.select("kl_divergence", "is_drifting", "window_size", "out_of_range",
-                    F.substring("window_label", 1, 10).alias("window_label"))
+                    F.substring("window_label", 1, 10).alias("window_label"), "is_closed")
 
 
 @query
