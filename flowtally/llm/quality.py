@@ -47,8 +47,8 @@ def with_statistics(docs: DataFrame, text_col: str, wanted: tuple[str, ...] = ST
     n_repeat_words counts the words inside windows of eight words that the text holds twice or more: the
     windows' hashes are sorted with their places, equal neighbours mark the repeated places, and their
     distances give the words covered. Everything stays in the row, in n log n steps for n words; a window is
-    compared by a 64-bit hash within its own text. Each array that a lambda looks into is a column of a
-    projection of its own, so that it is built once for a row.
+    compared by a 64-bit hash within its own text. Each array that a lambda looks into is exploded from an
+    array of one, so that no optimizer rule puts its expression into the lambda: it is built once for a row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     stats, out = [], docs
@@ -57,7 +57,7 @@ def with_statistics(docs: DataFrame, text_col: str, wanted: tuple[str, ...] = ST
     def add(stem: str, expr) -> None:
         nonlocal out
         names[stem] = free_name(out, stem)
-        out = out.withColumn(names[stem], expr)
+        out = out.select("*", F.explode(F.array(expr)).alias(names[stem]))
 
     def col(stem: str) -> Column:
         return F.col(names[stem])
