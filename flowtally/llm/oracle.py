@@ -1,5 +1,7 @@
 """SQL twins of the package's queries, for DuckDB."""
 
+from flowtally.llm import licenses
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
@@ -90,3 +92,46 @@ o AS (SELECT w.doc_id, string_agg(piece, '' ORDER BY w.p) FILTER (WHERE z.p IS N
 SELECT doc_id, CASE WHEN gone > 0 THEN coalesce(clean, '') ELSE x END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(gone, 0)::BIGINT AS n_removed
 FROM t LEFT JOIN o USING (doc_id)""",
 }
+
+
+def _license_sql() -> str:
+    def terms(text: str) -> str:
+        return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({quoted(f'{name}/{i}')}, {quoted(name)}, {quoted(text)})" for name, texts in licenses.TEMPLATES.items() for i, text in enumerate(texts))
+    return f"""
+WITH p(template, license, text) AS (VALUES {rows}),
+f AS (SELECT doc_id AS id, concat_ws('/', source, (doc_id // 1000)::VARCHAR, CASE WHEN doc_id % 97 <> 0 THEN (doc_id // 100)::VARCHAR END,
+        CASE WHEN doc_id % 97 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path, coalesce(text, '') AS text FROM documents),
+voc AS (SELECT DISTINCT unnest({terms('text')}) AS term FROM p),
+held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({terms('text')})) AS term FROM f) JOIN voc USING (term) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM f),
+wt AS (SELECT voc.term, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS weight FROM voc LEFT JOIN held USING (term), n),
+l AS (SELECT id, string_split(text, chr(10)) AS ls FROM f WHERE regexp_matches(text, '{licenses.CUES}')),
+s AS (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),
+u AS (SELECT id, 'header' AS found, i || '/' || h AS unit, array_to_string(list_slice(ls, i, i + h - 1), chr(10)) AS text
+      FROM (SELECT *, unnest({list(licenses.HEIGHTS)}) AS h FROM s WHERE regexp_matches(line, '{licenses.CUES}'))
+      UNION ALL SELECT id, 'file', 'all', text FROM f WHERE regexp_matches(path, '{licenses.FILE_NAMES}')),
+uv AS (SELECT id, found, unit, term, count(*) * coalesce(any_value(weight), (SELECT ln(1.0 + n) + 1 FROM n)) AS v, bool_or(weight IS NOT NULL) AS known
+       FROM (SELECT id, found, unit, unnest({terms('text')}) AS term FROM u) LEFT JOIN wt USING (term) GROUP BY ALL),
+un AS (SELECT id, found, unit, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
+tv AS (SELECT template, license, term, count(*) * any_value(weight) AS v FROM (SELECT template, license, unnest({terms('text')}) AS term FROM p) JOIN wt USING (term) GROUP BY ALL),
+tn AS (SELECT template, sqrt(sum(v * v)) AS norm FROM tv GROUP BY ALL),
+sc AS (SELECT uv.id, uv.found, uv.unit, tv.template, tv.license, round(sum(uv.v / un.norm * (tv.v / tn.norm)), 6) AS score
+       FROM uv JOIN un USING (id, found, unit) JOIN tv USING (term) JOIN tn USING (template) WHERE known GROUP BY ALL HAVING score >= {licenses.LEAST}),
+b AS (SELECT id, min({{'neg': -score, 'license': license, 'found': found}}) AS best FROM sc GROUP BY id),
+j AS (SELECT f.id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, best FROM f LEFT JOIN b USING (id)),
+h AS (SELECT dir AS above, min({{'neg': best.neg, 'path': path, 'license': best.license}}) AS holder FROM j
+      WHERE best IS NOT NULL AND regexp_matches(path, '{licenses.FILE_NAMES}') GROUP BY dir),
+c AS (SELECT dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') AS above
+      FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM j WHERE best IS NULL))),
+g AS (SELECT dir, arg_max(holder, k) AS holder FROM c JOIN h USING (above) GROUP BY dir)
+SELECT j.id AS doc_id, path, coalesce(best.license, holder.license) AS license, -coalesce(best.neg, holder.neg) AS score,
+       CASE WHEN best IS NOT NULL THEN best.found WHEN holder IS NOT NULL THEN 'inherited' END AS found, CASE WHEN best IS NOT NULL THEN path ELSE holder.path END AS source
+FROM j LEFT JOIN g ON best IS NULL AND j.dir = g.dir"""
+
+
+SQL["op8_license_scan"] = _license_sql()
