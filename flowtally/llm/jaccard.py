@@ -24,11 +24,13 @@ BAND = 4
 #: Partitions for each element of the largest set of a band.
 SHARE = 2 / 3
 #: A shingle in more than this share of a batch's sets counts as common. It changes the order, never the links.
-COMMON = 0.01
+COMMON = 0.001
 #: Signatures that one task groups at once, on average.
 GROUP_ROWS = 1_500_000
-#: Rows of a batch that have distinct hashes at hand.
+#: Words and sets that a worker remembers.
 MEMORY = 500_000
+#: Bytes of sketches that one comparison of a group goes through at once.
+TILE_BYTES = 1 << 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 STEPS = ODD * np.arange(1, len(ODD) + 1, dtype=np.uint64)
 
@@ -193,8 +195,7 @@ def _signed(batches: Iterator[pa.RecordBatch], common: np.ndarray, finer: dict[i
 
 
 def _grouped(table: pa.Table) -> pa.Table:
-    """Rows (kind, a, b, n) of one part: kind 0 links each group's first set to the others (n: in how many groups);
-    kind 1 lists the members b of groups a of three sets or more, groups with equal members once."""
+    """Rows (kind, a, b) of one part: kind 0 links each group's first set to the others; kind 1 lists the members b of groups a of three sets or more, groups with equal members once."""
     sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["sigs"]])
     name = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["names"]])
     order = np.lexsort((name, sig))
@@ -208,7 +209,7 @@ def _grouped(table: pa.Table) -> pa.Table:
     rows = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     member, first = name[rows], np.repeat(name[starts], sizes)
     links = member != first
-    pairs, times = np.unique(np.stack([first[links], member[links]], 1), axis=0, return_counts=True) if links.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    pairs = np.unique(np.stack([first[links], member[links]], 1), axis=0)
     held: dict[int, np.ndarray] = {}
     for a, n in zip(starts, sizes):
         if n > 2:
@@ -218,8 +219,7 @@ def _grouped(table: pa.Table) -> pa.Table:
     members = np.concatenate(list(held.values()) or [np.zeros(0, np.int64)])
     return pa.table({
         "kind": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(groups), np.int32)])),
-        "a": pa.array(np.concatenate([pairs[:, 0], groups])), "b": pa.array(np.concatenate([pairs[:, 1], members])),
-        "n": pa.array(np.concatenate([times.astype(np.int64), np.ones(len(groups), np.int64)]))})
+        "a": pa.array(np.concatenate([pairs[:, 0], groups])), "b": pa.array(np.concatenate([pairs[:, 1], members]))})
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -275,20 +275,53 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return settled(full.mapInArrow(partial(_kept, test=lambda r: matches(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint64))), "a long, b long"), "links")
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pairs`` with the labels of both ends; an unlabelled set is its own component."""
-    one = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    two = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return (pairs.join(one, "a", "left").join(two, "b", "left")
-            .withColumns({"label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b")}))
+def _near_pairs(names: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> Iterator[np.ndarray]:
+    """Pairs of a group's sets that lie in different components and that sizes and sketches allow. Only what
+    passes is kept; the tests themselves run on whole tiles."""
+    num, den = LEAST
+    widths = np.array([len(x) for x in sketches])
+    packed = {int(w): np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(widths == w)), np.uint64).reshape(-1, w // 8) for w in np.unique(widths)}
+    at = {w: np.flatnonzero(widths == w) for w in packed}
+    for v in sorted(packed):
+        for w in (x for x in sorted(packed) if x >= v):
+            short, long = packed[v], packed[w]
+            if w > v:
+                long = np.bitwise_xor.reduce(long.reshape(len(long), -1, v // 8), axis=1)
+            i, j = at[v], at[w]
+            step = max(1, TILE_BYTES // (len(j) * v))
+            for lo in range(0, len(i), step):
+                a = i[lo:lo + step]
+                apart = np.bitwise_count(short[lo:lo + step, None, :] ^ long[None, :, :]).sum(axis=2, dtype=np.int64)
+                n, m = sizes[a][:, None], sizes[j][None, :]
+                fits = (apart * (num + den) <= (n + m) * (den - num)) & (n * den >= m * num) & (m * den >= n * num) & (labels[a][:, None] != labels[j][None, :])
+                if v == w:
+                    fits &= a[:, None] < j[None, :]
+                x, y = np.nonzero(fits)
+                if len(x):
+                    yield np.stack([names[a[x]], names[j[y]]], 1)
+
+
+def _crossed(table: pa.Table) -> pa.Table:
+    """The pairs of :func:`_near_pairs` for all groups of one part."""
+    group, name, label, size = (table[c].to_numpy() for c in ("g", "node", "label", "n"))
+    sketches = table["sketch"].to_pylist()
+    order = np.lexsort((name, group))
+    group = group[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    found = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(starts, np.append(starts[1:], len(group))):
+        rows = order[a:b]
+        found += _near_pairs(name[rows], label[rows], size[rows], [sketches[i] for i in rows])
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) -> DataFrame:
-    """name, label of every set with a similar other set. ``texts``: key, text; ``profile``: what :func:`_profile` gives.
+    """node, label of every set with a similar other set. ``texts``: key, text; ``profile``: what :func:`_profile` gives.
 
     Candidates are the groups of sets with one signature. Links within a component add nothing, so each group
-    is first tested as a star around one set; then, while it holds several components, around further sets;
-    the pairs that are left across components are tested one by one, so no link is lost.
+    is first tested as a star around one set. A group that still holds several components is then gone through
+    with sizes and sketches, across components only; what these allow is tested, so no link is lost.
     """
     total = profile.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
     size = total["n"] or 0
@@ -296,53 +329,33 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     often = profile.where("n IS NULL").groupBy("name").agg(F.sum("key").alias("sets")).where(F.col("sets") >= COMMON / 2 * total["sets"])
     common = np.sort(often.select("name").toArrow()["name"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1 << 63))
     finer = {-1 - r["n"]: r["f"] for r in profile.where("n < 0").groupBy("n").agg(F.max("name").alias("f")).collect()}
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.5 * size // GROUP_ROWS) + 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, int(0.5 * size // GROUP_ROWS) + 1)
     sent = spark.sparkContext.broadcast((common, finer))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _signed(batches, *sent.value, parts)
 
-    found = settled(texts.select("text").mapInArrow(signed, "part long, sigs binary, names binary").groupBy("part").applyInArrow(_grouped, "kind int, a long, b long, n long"), "groups")
-    stars = settled(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
+    found = settled(texts.select("text").mapInArrow(signed, "part long, sigs binary, names binary").groupBy("part").applyInArrow(_grouped, "kind int, a long, b long"), "groups")
+    stars = settled(found.where("kind = 0").select("a", "b").distinct(), "pairs")
 
     wanted = stars.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     holders = profile.where("n > 0").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
     sets = settled(texts.join(holders, "key").dropDuplicates(["name"]).select("name", "text").mapInArrow(_sketched, "name long, n long, sketch binary, shingles binary"), "sets")
+    labels = settled(components(_linked(stars, sets)), "labels")
 
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    labels = settled(components(_linked(best, sets)), "labels")
-    rest = _labelled(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("label_a <> label_b").select("a", "b")
-    tested = settled(stars.select("a", "b"), "pairs")
-    links = _linked(settled(rest, "pairs"), sets)
-    if not links.isEmpty():
-        labels = settled(components(links, labels), "labels")
-    turn = 0
-    while True:
-        turn += 1
-        member = groups.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
-        mixed_groups = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
-        groups = settled(member.join(mixed_groups, "g", "left_semi"), "groups")
-        sizes = groups.groupBy("g", "label").agg(F.count("*").alias("m")).groupBy("g").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        left = sizes.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
-        if not left["m"]:
-            return labels
-        last = turn > 12 or left["pairs"] <= 4 * left["m"]
-        if last:
-            other = groups.select("g", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = groups.withColumnsRenamed({"node": "a", "label": "label_a"}).join(other, "g").where("label_a < label_b")
-        else:
-            centre = groups.groupBy("g").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("c"))
-            pairs = groups.join(centre, "g").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        links = _linked(pairs, sets)
-        if not links.isEmpty():
-            labels = settled(components(links, labels), "labels")
-        if last:
-            return labels
-        tested = settled(tested.unionByName(pairs), "pairs")
-        groups = groups.drop("label")
+    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
+    member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
+    several = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m")
+    several = settled(several, "groups")
+    rows = several.agg(F.sum("m")).first()[0] or 0
+    if not rows:
+        return labels
+    told = member.join(several.select("g"), "g").join(sets.select(F.col("name").alias("node"), "n", "sketch"), "node")
+    dealt = told.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1))))
+    crossed = dealt.groupBy("part").applyInArrow(_crossed, "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = _linked(settled(crossed, "pairs"), sets)
+    return labels if links.isEmpty() else settled(components(links, labels), "labels")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
