@@ -26,9 +26,11 @@ SHARE = 2 / 3
 #: A shingle in more than this share of a batch's sets counts as common. It changes the order, never the links.
 COMMON = 0.001
 #: Signatures that one task groups at once, on average.
-GROUP_ROWS = 1_500_000
-#: Words and sets that a worker remembers.
-MEMORY = 500_000
+GROUP_ROWS = 500_000
+#: Words and sets that a worker remembers, and rows that it takes at once.
+MEMORY = 100_000
+ROWS = 4_000
+SET_ROWS = 400
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -44,9 +46,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMORY:
+            self[word] = h
         return h
 
 
@@ -134,6 +136,12 @@ def signatures(shingles: np.ndarray, common: np.ndarray, finer: dict[int, int])
     return np.concatenate(out)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sets(batch: pa.RecordBatch, column: int, seen: dict) -> list[np.ndarray]:
     return [shingle_set(v.as_py(), seen) for v in batch.column(column)]
 
@@ -143,7 +151,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, name the shingle) and for bands that need more partitions (n = -1 - band, name = doublings)."""
     seen = _Hashes()
     names = ["id", "key", "n", "name"]
-    for batch in batches:
+    for batch in _pieces(batches, ROWS):
         sets = _sets(batch, 2, seen)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.int64())], names)
         distinct = {set_name(s): s for s in sets if len(s)}
@@ -169,7 +177,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signed(batches: Iterator[pa.RecordBatch], common: np.ndarray, finer: dict[int, int], parts: int) -> Iterator[pa.RecordBatch]:
     """part, sigs, names: the signatures of a batch's distinct sets as packed numbers, dealt out by signature."""
     seen, done = _Hashes(), set()
-    for batch in batches:
+    for batch in _pieces(batches, ROWS):
         sigs, names = [], []
         for s in _sets(batch, 0, seen):
             name = set_name(s)
@@ -251,13 +259,13 @@ def matches(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Hashes()
-    for batch in batches:
+    for batch in _pieces(batches, SET_ROWS):
         sets = _sets(batch, 1, seen)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "n", "sketch", "shingles"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches, SET_ROWS):
         keep = [test(row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
