@@ -129,8 +129,9 @@ def latency_percentiles(df: DataFrame, keys: Sequence[str], latency: str, error:
 
 
 def rolling_latency(df: DataFrame, service: str, order: str, tie: str, latency: str,
-                    rows: int = ROLLING_ROWS, block: int = 200_000) -> DataFrame:
-    """Percentiles over the last ``rows`` requests of the service, at every request.
+                    rows: int = ROLLING_ROWS, block: int = 200_000, error: Column | None = None) -> DataFrame:
+    """Percentiles over the last ``rows`` requests of the service, at every request; with ``error``
+    also their error rate and the number of requests so far.
 
     Requests are numbered per service and cut in blocks; each block also gets the ``rows`` - 1
     requests before it. So a block is exact by itself and a busy service spreads over many tasks.
@@ -138,20 +139,25 @@ def rolling_latency(df: DataFrame, service: str, order: str, tie: str, latency:
     if block < rows:
         raise ValueError("a block must hold a whole window")
     lead = rows - 1
-    numbered = positions(df, [service], order, tie, "_pos")
+    counted = error is not None
+    failed = F.coalesce(error, F.lit(False)) if counted else F.lit(False)
+    numbered = positions(df.withColumn("_error", failed.cast("double")), [service], order, tie, "_pos")
     own = F.floor(F.col("_pos") / block).cast("bigint")
     shared = F.when(F.pmod(F.col("_pos"), F.lit(block)) >= block - lead, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.select(service, tie, latency, "_pos", F.explode(shared).alias("_block"))
+    spread = numbered.select(service, tie, latency, "_error", "_pos", F.explode(shared).alias("_block"))
     names, probs = list(PERCENTILES), list(PERCENTILES.values())
 
     def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         window = pdf[latency].rolling(rows, min_periods=1)
         out = pdf[[service, tie]].assign(**{n: window.quantile(p) for n, p in zip(names, probs)})
+        if counted:
+            out = out.assign(error_rate=pdf["_error"].rolling(rows, min_periods=1).mean(), total_requests=pdf["_pos"] + 1)
         return out[(pdf["_pos"] // block) == pdf["_block"]]
 
     types = dict(df.dtypes)
     ddl = f"{service} {types[service]}, {tie} {types[tie]}, " + ", ".join(f"{n} double" for n in names)
+    ddl += ", error_rate double, total_requests bigint" if counted else ""
     return spread.groupBy(service, "_block").applyInPandas(per_block, ddl)
 
 

@@ -7,7 +7,7 @@ data), so a task that is run again after a lost executor puts every row in the s
 
 1. ``_grid`` cuts the number line evenly on a log scale, 64 cuts for each doubling.
 2. Slices that hold more than ``MAX_SLICE`` rows are cut again, evenly between their own
-   smallest and largest value, some times over, and, where a single value is left, by the
+   smallest and largest value, until only single values are crowded, and those by the
    tie-breaker.
 3. Counts per slice are cumulated over slices (a small table), and each slice is then ordered
    on its own, starting from its offset.
@@ -26,7 +26,6 @@ from flowtally.operators.sized import small_side
 
 CUTS_PER_DOUBLING = 64
 MAX_SLICE = 1_000_000
-MAX_CUTS = 3
 SALTS = 64
 
 
@@ -61,7 +60,7 @@ def _slicer(df: DataFrame, by: list[str], value: str, max_slice: int, tie: str |
     value while slices stay crowded, then by tie.
 
     A cut narrows a slice by as many times as it is too large, so a few of them leave only
-    single values crowded.
+    single values crowded, and cutting goes on until that is so.
     """
     slices, steps = ["_s1"], []
 
@@ -82,9 +81,8 @@ def _slicer(df: DataFrame, by: list[str], value: str, max_slice: int, tie: str |
         return True
 
     if may_crowd:
-        for _ in range(MAX_CUTS):
-            if not cut_by(value, None):
-                break
+        while cut_by(value, None):  # each cut parts the ends of every crowded slice, so this ends
+            pass
         if tie:
             cut_by(tie, value)
     return number, slices

@@ -271,6 +271,11 @@ SQL["latency_percentiles"] = f"""SELECT event_type AS route, {_PCT.format(v='val
 SQL["rolling_latency"] = """SELECT event_type AS route, event_id, round(quantile_cont(value, 0.5) OVER w, 6) AS p50_ms,
   round(quantile_cont(value, 0.95) OVER w, 6) AS p95_ms, round(quantile_cont(value, 0.99) OVER w, 6) AS p99_ms FROM events
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"""
+SQL["rolling_metrics"] = """SELECT event_type AS route, event_id, round(quantile_cont(value, 0.5) OVER w, 6) AS p50_ms,
+  round(quantile_cont(value, 0.95) OVER w, 6) AS p95_ms, round(quantile_cont(value, 0.99) OVER w, 6) AS p99_ms,
+  round(avg(CASE WHEN event_type = 'error' OR value > 100 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS error_rate,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS total_requests FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"""
 SQL["request_summary"] = """SELECT count(*) AS total_requests, count(*) FILTER (event_type = 'click') AS click_requests,
   count(*) FILTER (event_type = 'purchase') AS purchase_requests, round(sum(value) / count(*), 2) AS avg_latency_ms,
   round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_rate FROM events"""

@@ -446,6 +446,14 @@ def rolling_latency(spark, sf):
     return rounded(monitor.rolling_latency(log, "route", "at", "event_id", "latency_ms"), 6, "p50_ms", "p95_ms", "p99_ms")
 
 
+@query
+def rolling_metrics(spark, sf):
+    """Percentiles and error rate of the last 1,000 requests and the running total, at every request."""
+    log = request_log(spark, sf).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1700000000000000))
+    out = monitor.rolling_latency(log, "route", "at", "event_id", "latency_ms", error=F.col("error") | (F.col("latency_ms") > 100))
+    return rounded(out, 6, "p50_ms", "p95_ms", "p99_ms", "error_rate")
+
+
 @query
 def request_summary(spark, sf):
     return monitor.request_summary(request_log(spark, sf), "route", "latency_ms", F.col("error"), ["click", "purchase"])
