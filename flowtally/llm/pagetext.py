@@ -27,6 +27,8 @@ ASIDE = frozenset("ad ads adv advert advertisement adverts advertising banner br
                   "popup promo promotion related reply replies replylist respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
                   "subscription taboola toolbar widget complementary contentinfo".split())
 WORDS = regex.compile(r"[A-Za-z]+")
+#: Before such a word it only says something about the page's layout, as in ``no-sidebar``.
+LAYOUT = frozenset("no not has have with without hide hides".split())
 PUNCTUATION = regex.compile(r"\p{P}")
 #: Weights of a block's neighbours and itself when ratios are smoothed.
 KERNEL = (0.25, 0.5, 0.25)
@@ -44,11 +46,21 @@ class Block:
     linked: int = 0
 
 
+def _names_aside(value: str) -> bool:
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in ASIDE and (not i or words[i - 1] not in LAYOUT) for i, w in enumerate(words)):
+            return True
+    return False
+
+
 class _Blocks(HTMLParser):
-    """Splits a page into blocks of text with their paths of tags and elements; leaves out what never is content."""
+    """Splits a page into blocks of text with their paths of tags and elements; leaves out what never is content,
+    by element and, with ``by_name``, by class, id and role."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.stack: list[tuple[str, int, bool]] = []
         self.hidden = self.links = self.count = 0
         self.blocks: list[Block] = []
@@ -84,8 +96,8 @@ class _Blocks(HTMLParser):
                 self.handle_data(" ")
             return
         named = {k: v or "" for k, v in attrs}
-        words = {w.lower() for k in ("class", "id", "role") for w in WORDS.findall(named.get(k, ""))}
-        hides = tag in NEVER or bool(words & ASIDE) and tag not in ("html", "body") or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        aside = self.by_name and tag not in ("html", "body") and any(_names_aside(named.get(k, "")) for k in ("class", "id", "role"))
+        hides = tag in NEVER or aside or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         self.count += 1
         self.stack.append((tag, self.count, hides))
         self.hidden += hides
@@ -131,14 +143,17 @@ def _smooth(values: list[float]) -> list[float]:
 
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order, white space as single blanks."""
-    reader = _Blocks()
-    reader.feed(html)
-    reader.close()
-    blocks, texts = [], []
-    for b in reader.blocks:
-        if text := " ".join("".join(b.parts).split()):
-            blocks.append(b)
-            texts.append(text)
+    for by_name in (True, False):  # a page that is named aside as a whole is read by its elements alone
+        reader = _Blocks(by_name)
+        reader.feed(html)
+        reader.close()
+        blocks, texts = [], []
+        for b in reader.blocks:
+            if text := " ".join("".join(b.parts).split()):
+                blocks.append(b)
+                texts.append(text)
+        if blocks:
+            break
     if not blocks:
         return []
     sums: dict[tuple, list[float]] = {}

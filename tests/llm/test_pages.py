@@ -29,6 +29,8 @@ LONG = "A long paragraph of the article, with commas, points; and so on. It says
     (f"<article><p>{LONG}</p><div class='cookie-notice'>we use</div><ul><li>one<li>two</ul><style>p{{}}</style></article>", f"{LONG} one two"),
     (f"<body><div class='post'><p>{LONG}</p><p>a<b>b</b>c &lt;i&gt;&nbsp;x</p></div><div class='sidebar'><p>{LONG}</p></div></body>", f"{LONG} abc <i> x"),
     (f"<article><p><b>bold<br><p>{LONG}</p><!-- ad --><p>x < y & z</p></article>", f"bold {LONG} x < y & z"),
+    (f"<div class='content no-sidebar'><p>{LONG}</p></div><div class='right sidebar'><p>s</p></div>", LONG),
+    (f"<div id='widget-area'><p>{LONG}</p></div>", LONG),
     (f"<article><header><h1>inner</h1></header><p>{LONG}</p><ul><li><a href=1>link one here</a></li><li><a href=2>link two here</a></li></ul></article>", LONG),
 ])
 def test_parts_of_pages(html, want):
