@@ -31,6 +31,8 @@ GROUP_ROWS = 500_000
 MEMORY = 100_000
 ROWS = 4_000
 SET_ROWS = 400
+#: Sets up to this number are named to every task (16 bytes each); more are joined by a shuffle of the texts.
+NAMED = 500_000
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -231,9 +233,9 @@ def _grouped(table: pa.Table) -> pa.Table:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """One bit of parity for each of about as many hash classes as there are elements: two sets differ in at
-    least as many elements as their bits do."""
-    bits = max(64, 1 << int(np.ceil(np.log2(max(1, len(shingles))))))
+    """One bit of parity for each of four to eight times as many hash classes as there are elements: two sets
+    differ in at least as many elements as their bits do, and in hardly more if they are similar."""
+    bits = max(256, 4 << int(np.ceil(np.log2(max(1, len(shingles))))))
     count = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8)).tobytes()
 
@@ -261,7 +263,27 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Hashes()
     for batch in _pieces(batches, SET_ROWS):
         sets = _sets(batch, 1, seen)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "n", "sketch", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["name", "n", "sketch"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Hashes()
+    for batch in _pieces(batches, SET_ROWS):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, 1, seen)], pa.binary())], ["name", "shingles"])
+
+
+class _Corpus:
+    """What is known of the sets: their names, and for each the key of one text that holds it."""
+
+    def __init__(self, texts: DataFrame, profile: DataFrame):
+        self.texts = texts
+        self.names = profile.where("n > 0").select("name", "key")
+
+    def of(self, wanted: DataFrame, what, schema: str) -> DataFrame:
+        """``what`` of the wanted sets (column name), one row for each, from their texts."""
+        holders = settled(self.names.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")), "holders")
+        side = F.broadcast(holders) if holders.count() <= NAMED else holders
+        return settled(self.texts.join(side, "key").select("name", "text").mapInArrow(what, schema).dropDuplicates(["name"]), "sets")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
@@ -270,16 +292,17 @@ def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sketches: DataFrame, corpus: _Corpus) -> DataFrame:
     """The pairs (a, b) that are similar: bounds on sizes and sketches first, then the sets themselves."""
-    def side(x: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    def side(table: DataFrame, x: str, *cols: str) -> DataFrame:
+        return table.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
-    near = (pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(f"{LEAST[1]} * n_a >= {LEAST[0]} * n_b AND {LEAST[1]} * n_b >= {LEAST[0]} * n_a")
+    near = (pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b").where(f"{LEAST[1]} * n_a >= {LEAST[0]} * n_b AND {LEAST[1]} * n_b >= {LEAST[0]} * n_a")
             .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
             .mapInArrow(partial(_kept, test=lambda r: may_match(*r)), "a long, b long"))
     near = settled(near, "pairs")
-    full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    sets = corpus.of(near.select(F.explode(F.array("a", "b")).alias("name")).distinct(), _spelled, "name long, shingles binary")
+    full = near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
     return settled(full.mapInArrow(partial(_kept, test=lambda r: matches(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint64))), "a long, b long"), "links")
 
 
@@ -347,10 +370,9 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     found = settled(texts.select("text").mapInArrow(signed, "part long, sigs binary, names binary").groupBy("part").applyInArrow(_grouped, "kind int, a long, b long"), "groups")
     stars = settled(found.where("kind = 0").select("a", "b").distinct(), "pairs")
 
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    holders = profile.where("n > 0").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
-    sets = settled(texts.join(holders, "key").dropDuplicates(["name"]).select("name", "text").mapInArrow(_sketched, "name long, n long, sketch binary, shingles binary"), "sets")
-    labels = settled(components(_linked(stars, sets)), "labels")
+    corpus = _Corpus(texts, profile)
+    sketches = corpus.of(stars.select(F.explode(F.array("a", "b")).alias("name")).distinct(), _sketched, "name long, n long, sketch binary")
+    labels = settled(components(_linked(stars, sketches, corpus)), "labels")
 
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
     member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
@@ -359,10 +381,10 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     rows = several.agg(F.sum("m")).first()[0] or 0
     if not rows:
         return labels
-    told = member.join(several.select("g"), "g").join(sets.select(F.col("name").alias("node"), "n", "sketch"), "node")
+    told = member.join(several.select("g"), "g").join(sketches.withColumnRenamed("name", "node"), "node")
     dealt = told.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1))))
     crossed = dealt.groupBy("part").applyInArrow(_crossed, "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = _linked(settled(crossed, "pairs"), sets)
+    links = _linked(settled(crossed, "pairs"), sketches, corpus)
     return labels if links.isEmpty() else settled(components(links, labels), "labels")
 
 
