@@ -376,14 +376,15 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
     member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
-    several = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m")
+    several = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("node").alias("first")).where("lo <> hi").select("g", "m", "first")
     several = settled(several, "groups")
     rows = several.agg(F.sum("m")).first()[0] or 0
     if not rows:
         return labels
-    told = member.join(several.select("g"), "g").join(sketches.withColumnRenamed("name", "node"), "node")
-    dealt = told.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1))))
-    crossed = dealt.groupBy("part").applyInArrow(_crossed, "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    told = member.join(several.select("g", "first"), "g").join(sketches.withColumnRenamed("name", "node"), "node")
+    # groups with one first set tend to hold the same pairs: they go to eight parts at most, which give a pair once each
+    dealt = told.withColumn("part", F.pmod(F.xxhash64("first", F.pmod("g", F.lit(8))), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1))))
+    crossed = dealt.drop("first").groupBy("part").applyInArrow(_crossed, "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = _linked(settled(crossed, "pairs"), sketches, corpus)
     return labels if links.isEmpty() else settled(components(links, labels), "labels")
 
