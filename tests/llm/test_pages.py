@@ -43,3 +43,37 @@ def test_odd_tables(spark):
     got = extract_pages(df).collect()
     assert len(got) == 4 and [r["n_chars"] for r in got if r["page_id"] is None] == [3000 * 18 - 1]
     assert sorted(r["text"] for r in got if r["page_id"])[0] == "" and extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'>{}</div>",
+    "<article class='post comments-open'>{}</article>",
+    "<article class='post tag-social hentry'>{}</article>",
+    "<main id='search-results-page'>{}</main>",
+    "<div class='site-search sharing'><main>{}</main></div>",
+    "<form id='aspnetForm' action='/x'><div>{}</div></form>",
+    "<form><div class='social-wrap'><article>{}</article></div></form>",
+    "<main><div class='content-sidebar-wrap'>{}</div></main>",
+])
+def test_wrappers_named_like_asides_keep_the_article(page):
+    article = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>Be.</p>"
+    text = f"T {LONG} {LONG} Be."
+    for beside in ("", "<div id='brand'><p>Site title</p></div>", "<div class='sidebar'><p>Some words of a sidebar.</p></div>"):
+        got = " ".join(main_blocks(f"<body>{beside}{page.format(article)}</body>"))
+        assert got in (text, f"Site title {text}") and text in got
+
+
+@pytest.mark.parametrize("html", [
+    f"<main><article class='post'><p>{LONG}</p></article><section id='comments'><article class='comment'><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article></section></main>",
+    f"<article class='post'><p>{LONG}</p><article class='comment-body'><p>{LONG}</p></article></article>",
+    f"<article><p>{LONG}</p></article><div class='related'><article><p>{LONG}</p></article></div><form><p>Your mail, please.</p></form>",
+    f"<article><p>{LONG}</p></article><div id='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<form><article><p>{LONG}</p><form><p>Your mail, please.</p></form></article><div class='sidebar'><p>{LONG}</p></div></form>",
+])
+def test_what_is_named_aside_beside_an_article_goes(html):
+    assert " ".join(main_blocks(html)) == LONG
+
+
+def test_parts_of_one_name_that_make_up_the_page():
+    parts = "".join(f"<div class='page-widget widget-{k}'><p>{LONG}</p></div>" for k in "abc")
+    assert " ".join(main_blocks(f"<div><p>Site title</p></div><div>{parts}</div>")).endswith(" ".join([LONG] * 3))
