@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
 }
-#: A line with one of these starts a header; each template has one.
+#: A line with one of these starts a header; each template has one, though not on its first line once it is wrapped.
 CUES = r"(?i)licen[cs]|permission|redistribut|copyright|spdx"
 #: Lines of a header that are compared as one, from a line with a cue on.
 HEIGHTS = (1, 4, 12)
@@ -83,6 +85,34 @@ def _vectors(units: DataFrame, key: list[str], weights: DataFrame, other: float)
     return norms.select(*key, F.explode("held").alias("x"), "norm").select(*key, "x.term", (F.col("x.value") / F.col("norm")).alias("value"))
 
 
+def _anchors(templates: list[list[str]]) -> dict[str, list[tuple[int, int]]]:
+    """For each cue word of the templates, given as their terms: (terms before it, terms in all) of its places."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for ts in templates:
+        for i, w in enumerate(ts):
+            if re.search(CUES, w):
+                found.setdefault(w, set()).add((i, len(ts)))
+    return {w: sorted(x) for w, x in sorted(found.items())}
+
+
+def _word_windows(named: DataFrame, anchors: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """key, found, unit, text: around each cue word of a file the terms that a template with that word there would
+    take up, however its lines are wrapped."""
+    known = F.create_map(*[x for w, places in anchors.items()
+                           for x in (F.lit(w), F.array(*[F.struct(F.lit(b).alias("before"), F.lit(n).alias("n")) for b, n in places]))])
+    files = named.where(F.col("text").rlike(CUES)).select("key", terms(F.col("text")).alias("ws"))
+    cues = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(list(anchors)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+
+    def around(x: Column) -> Column:
+        return F.transform(F.element_at(known, x["w"]), lambda a: F.struct(
+            F.greatest(x["i"] - a["before"], F.lit(0)).alias("first"), (x["i"] - a["before"] + a["n"]).alias("end")))
+
+    windows = F.array_distinct(F.flatten(F.transform("cues", around)))
+    cut = F.transform(windows, lambda v: F.struct(v["first"].alias("first"), v["end"].alias("end"), F.array_join(F.slice("ws", v["first"] + 1, v["end"] - v["first"]), " ").alias("text")))
+    return (files.withColumn("cues", cues).where(F.size("cues") > 0).select("key", F.explode(cut).alias("v"))
+            .select("key", F.lit("header").alias("found"), F.concat(F.lit("words/"), "v.first", F.lit("/"), "v.end").alias("unit"), "v.text"))
+
+
 def folder(path: Column) -> Column:
     """The folder of a path, empty at the top."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
@@ -92,8 +122,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """Licence of each file. ``files``: id, path, text; the result has one row for each row:
     id, path, license, score, found (header, file, inherited or null), source (path of the file it comes from).
 
-    Headers are the lines with a cue word and the 3 and 11 lines behind, anywhere in the whole text; files with
-    the name of a licence file are compared as wholes too. The best cosine of at least ``least`` counts, ties go
+    Headers are the lines with a cue word and the 3 and 11 lines behind, and around each cue word as many words
+    before and behind it as each template has, anywhere in the whole text; files with the name of a licence file
+    are compared as wholes too. The best cosine of at least ``least`` counts, ties go
     to the licence that sorts first. A file without one takes the licence of the licence file in the nearest
     folder above it (several in one folder: the best score, then the first path). Null texts are empty, null
     paths lie in no folder, rows equal in id, path and text get the same result. The common folders are
@@ -101,7 +132,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """
     spark = files.sparkSession
     wanted = template_table(spark, TEMPLATES if templates is None else templates)
-    vocabulary = sorted({w for r in wanted.select(terms(F.col("text")).alias("w")).collect() for w in r["w"]})
+    spelled = [r["w"] for r in wanted.select(terms(F.col("text")).alias("w")).collect()]
+    vocabulary = sorted({w for ws in spelled for w in ws})
+    anchors = _anchors(spelled)
     texts = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"))
     weights, other = term_weights(texts, vocabulary)
     weights = F.broadcast(settled(weights, "terms"))
@@ -115,7 +148,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
                .select("key", "found", "start", F.explode(F.array(*[F.struct(F.lit(h).alias("height"), F.array_join(F.slice("lines", F.col("start"), h), "\n").alias("text")) for h in HEIGHTS])).alias("u"))
                .select("key", "found", F.concat("start", F.lit("/"), "u.height").alias("unit"), "u.text"))
     wholes = named.where(F.col("path").rlike(FILE_NAMES)).select("key", F.lit("file").alias("found"), F.lit("all").alias("unit"), "text")
-    units = headers.unionByName(wholes).dropDuplicates(["key", "unit"])
+    units = headers.unionByName(wholes)
+    if anchors:
+        units = units.unionByName(_word_windows(named, anchors))
+    units = units.dropDuplicates(["key", "unit"])
     scored = (_vectors(units, ["key", "unit"], weights, other).join(targets, "term")
               .groupBy("key", "unit", "template", "license").agg(F.round(F.sum(F.col("value") * F.col("t_value")), 6).alias("score"))
               .where(F.col("score") >= least))

@@ -157,3 +157,21 @@ def test_licenses_by_brute_force(spark):
     assert got == brute_licenses(rows, licenses.TEMPLATES, licenses.LEAST)
     assert (3, "GPL-3.0", "inherited", "a/COPYING.txt") in got and (13, "CC-BY-NC-4.0", "header", "a/b/l.c") in got
     assert licenses.scan_licenses(files.limit(0)).count() == 0
+
+
+def test_licenses_however_lines_are_wrapped(spark):
+    import textwrap
+    mpl = licenses.TEMPLATES["MPL-2.0"][0] + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    code = "\n".join(f"value{k} = compute(value{k + 1}, other{k % 7}, flag{k % 3})" for k in range(40))
+    notices = [("MPL-2.0", mpl)] + [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    rows, want = [], {}
+    for k, (name, t) in enumerate(notices):
+        for width in (40, 60, 70, 80, 10**6):
+            comment = "\n".join(f"# {x}" for x in textwrap.wrap(t, width, break_on_hyphens=False))
+            want[len(rows)] = name
+            rows.append((len(rows), f"d/{k}_{width}.py", f"{code}\n{comment}\n{code}"))
+        want[len(rows)] = name
+        rows.append((len(rows), f"d/{k}_long.py", " ".join([code.replace("\n", " "), t, code.replace("\n", " ")])))
+    rows.append((len(rows), "e/none.py", "A copyright notice and some redistribution of values, licensed or not.\n" + code))
+    got = {r["id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got == {**want, len(rows) - 1: None}
