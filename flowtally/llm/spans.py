@@ -26,8 +26,9 @@ def cut_sentences(text: str) -> tuple[list[str], list[int]]:
     return pieces, [i for i, p in enumerate(pieces) if p.encode().split()]
 
 
-def span_hashes(text: str, least: int) -> list[tuple[int, int, bytes]]:
-    """(first, count, 128-bit hash) of each run: from every sentence on, the fewest that hold ``least`` words.
+def span_hashes(text: str, least: int, both_ends: bool = False) -> list[tuple[int, int, bytes]]:
+    """(first, count, 128-bit hash) of each run: from every sentence on, the fewest that hold ``least`` words; with
+    ``both_ends`` also the fewest up to every sentence, so that each longer run is a union of these.
     Words are compared without case of A-Z and without the white space between them."""
     sizes, sums = [], []
     for piece in SENTENCE.findall(text):
@@ -35,7 +36,7 @@ def span_hashes(text: str, least: int) -> list[tuple[int, int, bytes]]:
         if words:
             sizes.append(len(words))
             sums.append(xxhash.xxh3_128_digest(b" ".join(words)))
-    out = []
+    runs = []
     to = held = 0
     n = len(sizes)
     for a in range(n):
@@ -44,18 +45,30 @@ def span_hashes(text: str, least: int) -> list[tuple[int, int, bytes]]:
             to += 1
         if held < least:
             break
-        out.append((a, to - a, xxhash.xxh3_128_digest(b"".join(sums[a:to]))))
+        runs.append((a, to))
         held -= sizes[a]
-    return out
-
-
-def _span_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    if both_ends:
+        known = set(runs)
+        at, held = n, 0
+        for b in range(n, 0, -1):
+            while held < least and at > 0:
+                at -= 1
+                held += sizes[at]
+            if held < least:
+                break
+            if (at, b) not in known:
+                runs.append((at, b))
+            held -= sizes[b - 1]
+    return [(a, b - a, xxhash.xxh3_128_digest(b"".join(sums[a:b]))) for a, b in runs]
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch], least: int, both_ends: bool) -> Iterator[pa.RecordBatch]:
     """id, key, s, n, h1, h2, later. Within a batch only the first of equal runs keeps its hash; the others are
     later copies already and go out under a hash of their own place, so that a frequent run is not gathered."""
     for batch in batches:
         row, first, count, digests = [], [], [], []
         for r, value in enumerate(batch.column(2)):
-            for s, n, h in span_hashes(value.as_py() or "", least):
+            for s, n, h in span_hashes(value.as_py() or "", least, both_ends):
                 row.append(r)
                 first.append(s)
                 count.append(n)
@@ -83,26 +96,27 @@ def _span_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             ["id", "key", "s", "n", "h1", "h2", "later"])
 
 
-def later_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+def later_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """id, key, spans: for each document the (s, n) of its runs of sentences that stand earlier in the corpus."""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, s int, n int, h1 long, h2 long, later boolean"
     rows = (docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-            .mapInArrow(lambda batches: _span_rows(batches, min_words), schema))
+            .mapInArrow(lambda batches: _span_rows(batches, min_words, both_ends), schema))
     order = Window.partitionBy("h1", "h2").orderBy("id", "key", "s")
     return (rows.withColumn("place", F.rank().over(order)).where("later OR place > 1")
             .groupBy("id", "key").agg(F.collect_set(F.struct("s", "n")).alias("spans")))
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """id, text (without the sentences that a later copy of a run covers), n_sentences, n_removed; one row a row.
 
     A run is the fewest consecutive sentences, from each sentence on, that hold ``min_words`` words, so its
-    length in sentences follows their length. The first copy is that of the smallest id (null first), then of a
+    length in sentences follows their length. With ``both_ends`` the fewest up to each sentence count too, which
+    also cover the tail of a repeated passage. The first copy is that of the smallest id (null first), then of a
     hash of id and text, then of the first place; all others are later copies, also within one text. Rows equal
     in id and text are one document given twice and get the same result. Null and empty texts give an empty
     text; an empty table stays empty.
     """
-    found = later_spans(docs, id_col, text_col, min_words).select(F.struct("id", "key", "spans").alias("found"))
+    found = later_spans(docs, id_col, text_col, min_words, both_ends).select(F.struct("id", "key", "spans").alias("found"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
     joined = rows.join(found, (F.col("key") == F.col("found.key")) & F.col("id").eqNullSafe(F.col("found.id")), "left")
 

@@ -98,3 +98,27 @@ def test_spans_of_odd_tables(spark, odd_docs, no_docs):
     got = spans.dedup_spans(odd_docs).collect()
     assert len(got) == odd_docs.count()
     assert spans.dedup_spans(no_docs).count() == 0
+
+
+def brute_passages(rows, least):
+    """Every run of sentences with enough words; all but its first copy go."""
+    places, out = {}, {i: set() for i, _ in rows}
+    for i, t in sorted(rows):
+        norm = [tuple(p.encode().lower().split()) for p in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", t) if p.encode().split()]
+        for a in range(len(norm)):
+            for b in range(a + 1, len(norm) + 1):
+                if sum(map(len, norm[a:b])) >= least and places.setdefault(tuple(norm[a:b]), (i, a)) != (i, a):
+                    out[i] |= set(range(a, b))
+    return out
+
+
+def test_spans_cover_the_tail_of_a_passage(spark):
+    import random
+    r = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30)) + ". " + " ".join(f"q{k}" for k in range(6)) + ". "
+    pieces = [" ".join(f"w{r.randint(0, 99)}" for _ in range(n)) + ". " for n in (2, 3, 5, 6, 9, 14, 25, 31)]
+    rows = [(i, f"own {i} begins. {passage}own {i} ends.") for i in range(3)]
+    rows += [(10 + i, "".join(r.choice(pieces) for _ in range(r.randint(1, 12)))) for i in range(30)]
+    got = spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), both_ends=True).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == {i: len(x) for i, x in brute_passages(rows, 20).items()}
+    assert {x["doc_id"]: x["text"] for x in got}[2] == "own 2 begins. own 2 ends."
