@@ -90,3 +90,13 @@ def test_folds_are_even_in_every_label(spark):
         assert {r["count"] for r in counts if r["label"] == name} <= {n // 5, n // 5 + 1}
     again = stratified_fold(df.repartition(7), ["label"], "k", 5)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in stratified_fold(df, ["label"], "k", 5).collect()} and again.where(F.col("fold").isNull()).count() == 0
+
+
+def test_model_queries_take_every_row(spark):
+    from flowtally.plans import registered
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert registered._train(spark, sf).na.drop().count() < n
+    assert sum(r["n"] for r in registered.pca_anomaly(spark, sf).collect()) == n
+    rows, _ = registered._forest(spark, sf)
+    assert rows.count() == n
