@@ -65,7 +65,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     urls = pages.select(F.col(url_col).alias("url")).distinct().select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.reverse(F.slice(labels, -n, n)), "."))
-    named = urls.where("host <> '' AND path <> ''").select("url", F.explode(parents).alias("rhost"), F.col("path").alias("key"))
+    named = urls.where("host <> ''").select("url", F.explode(parents).alias("rhost"), F.col("path").alias("key"))
     ruled, _ = small_side(edges.select("rhost").distinct())
     named = named.join(ruled, "rhost", "left_semi")
     strips = named.groupBy("rhost").agg(F.ceil(F.count("*") / F.lit(strip_rows)).cast("int").alias("strips"))

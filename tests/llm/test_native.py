@@ -175,3 +175,12 @@ def test_licenses_however_lines_are_wrapped(spark):
     rows.append((len(rows), "e/none.py", "A copyright notice and some redistribution of values, licensed or not.\n" + code))
     got = {r["id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
     assert got == {**want, len(rows) - 1: None}
+
+
+def test_urls_without_a_path(spark):
+    urls = ["http://example.com", "http://www.example.com?x=/a", "http://example.com#f", "http://example.com/a/b", "http://example.org", "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([("example.com", "", "block"), ("example.com", "/a/", "allow"), ("org", "/", "block")], "host string, path string, verdict string")
+    got = {r["page_id"]: (r["judged"]["rule"], r["judged"]["verdict"]) for r in urlrules.judge_urls(pages, rules).collect()}
+    host_only = ("example.com", "block")
+    assert got == {0: host_only, 1: host_only, 2: host_only, 3: ("example.com/a/", "allow"), 4: (None, "allow"), 5: (None, "allow")}
