@@ -91,6 +91,50 @@ o AS (SELECT w.doc_id, string_agg(piece, '' ORDER BY w.p) FILTER (WHERE z.p IS N
       FROM w LEFT JOIN z ON w.doc_id = z.doc_id AND w.p = z.p GROUP BY w.doc_id)
 SELECT doc_id, CASE WHEN gone > 0 THEN coalesce(clean, '') ELSE x END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(gone, 0)::BIGINT AS n_removed
 FROM t LEFT JOIN o USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+v AS (SELECT doc_id, source, text, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+             xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 5 = 0 AS hit
+      FROM documents, z),
+l AS (SELECT *, row_number() OVER () AS r, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other,
+             dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS sid FROM v),
+p AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY sid) AS n FROM l),
+up AS (SELECT sid, 0 AS lvl, pos AS i, leaf AS d, n FROM p
+       UNION ALL SELECT sid, lvl + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY sid, lvl, i // 16, n),
+sr AS (SELECT sid, d, lvl AS height FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, sid AS i, d, (SELECT count(*) FROM sr) AS n FROM sr
+        UNION ALL SELECT lvl + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, i // 16, n),
+root AS (SELECT d AS root FROM top WHERE n = 1),
+s AS (SELECT sid, lvl, i, coalesce(string_agg(d, '') OVER (PARTITION BY sid, lvl, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+             coalesce(string_agg(d, '') OVER (PARTITION BY sid, lvl, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+      FROM (SELECT sid, lvl, i, d FROM up WHERE n > 1 UNION ALL SELECT -1, lvl, i, d FROM top WHERE n > 1)),
+path AS (SELECT r, s.lvl AS step, lft, rgt FROM p JOIN s ON s.sid = p.sid AND s.i = p.pos >> (4 * s.lvl)
+         UNION ALL SELECT r, sr.height + s.lvl, lft, rgt FROM p JOIN sr USING (sid) JOIN s ON s.sid = -1 AND s.i = p.sid >> (4 * s.lvl)),
+fold AS (SELECT r, 0 AS step, coalesce(other, leaf) AS cur FROM p
+         UNION ALL SELECT r, step + 1, sha256(lft || cur || rgt) FROM fold JOIN path USING (r, step)),
+e AS (SELECT r, arg_max(cur, step) AS folded_root FROM fold GROUP BY r),
+q AS (SELECT r, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof FROM path GROUP BY r)
+SELECT doc_id, leaf, sr.d AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sr USING (sid) JOIN e USING (r) LEFT JOIN q USING (r), root""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = o.lang AND c.source = o.source), 0)::HUGEINT AS total, coalesce(v, 0) AS v
+      FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v))::BIGINT AS p
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v))::BIGINT AS q
+      FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN (SELECT lang, sum(total)::HUGEINT AS total, any_value(v) AS v FROM g GROUP BY lang) USING (lang)),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(s.p - t.p)) FROM p s JOIN p t USING (lang, term) WHERE s.lang = a.lang AND s.source = a.source AND t.source = b.source), 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM x) WHERE part = 'pair' OR rank <= 50""",
 }
 
 

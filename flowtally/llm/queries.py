@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.llm import bpe, jaccard, licenses, linededup, mixing, pagetext, quality, spans, tokenfiles, topk, urlrules
+from flowtally.llm import bpe, divergence, jaccard, licenses, linededup, merkle, mixing, pagetext, quality, spans, tokenfiles, topk, urlrules
 
 #: The tokenizer that the contract of op2 names, in the folder of public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *[f"judged.{c}" for c in ("host", "path", "rule", "verdict")])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_documents(table(spark, sf_dir, "documents"))
+
+
 #: The id that ends a document in the files of op12.
 END_ID = 1
 
@@ -86,10 +90,15 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(files)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     found = (op1_topk_search, op2_bpe, op3_line_dedup, op4_source_mix, op5_page_text, op6_quality_rules, op7_ngram_join, op8_license_scan,
-             op9_span_dedup, op10_url_filter, op12_token_files)
+             op9_span_dedup, op10_url_filter, op11_merkle_manifest,
+             op12_token_files, op13_source_divergence)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
