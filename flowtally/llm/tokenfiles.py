@@ -8,6 +8,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,11 +28,11 @@ BLOCK = 1 << 16
 DOC_BLOCK = 1 << 13
 WIDTH = 4
 #: Text bytes that a file is made of, and the fewest that a further file is opened for while cores are idle.
-FILE_BYTES = 256 << 20
+FILE_BYTES = 128 << 20
 LEAST_BYTES = 4 << 20
 #: Characters of a text that are encoded at once; chunks that a worker remembers, and the longest that it does.
 PIECE = 1 << 16
-MEMORY = 1_000_000
+MEMORY = 600_000
 SHORT = 48
 
 
@@ -189,19 +190,22 @@ class TokenFile:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SMALL = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
 class Chunks(dict):
     """Packed ids of what stands between blanks, as the library gives them.
 
     With a split pattern that never crosses white space and composition that never does either, a text's ids are
-    those of its chunks one after the other. Chunks met before come from a bounded memory. Latin words in small
-    letters go to the model straight away, large ones by their small form, a mark behind a letter by itself.
+    those of its chunks one after the other. Chunks met before come from a bounded memory: when it is full, what has
+    not been met again since it was full before is forgotten. Latin words in small letters go to the model straight
+    away, large ones by their small form, marks behind a word by themselves.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -213,6 +217,7 @@ class Chunks(dict):
                          and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or not t["content"].startswith("<|") or " " in t["content"] for t in parsed["added_tokens"]))
         self.letters = byte_letters()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.model = self.tokenizer.model
 
     def _library(self, text: str) -> bytes:
@@ -221,25 +226,32 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > SHORT:
             return self._library(chunk)
-        if chunk[-1:] in tuple(".,;:!?") and _LATIN(chunk[-2:-1]):
-            out = self[chunk[:-1]] + self[chunk[-1]]
-        elif _SMALL(chunk):
-            word = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
-            out = np.array([t.id for t in self.model.tokenize(word)], self.type).tobytes()
-        elif _LATIN(chunk):
-            out = self[chunk.lower()]
-        else:
-            out = self._library(chunk)
+        out = self.old.get(chunk)
+        if out is None:
+            out = self._first(chunk)
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
 
+    def _first(self, chunk: str) -> bytes:
+        if _SMALL(chunk):
+            word = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
+            return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        if _LATIN(chunk):
+            return self[chunk.lower()]
+        if marked := _MARKED(chunk):
+            return self[marked[1]] + self[marked[2]]
+        return self._library(chunk)
+
     def runs(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a whole text, in runs of a bounded piece of it."""
         if not self.by_chunk:
             yield np.frombuffer(self._library(text), self.type)
             return
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # as the normalizer does; fewer chunks to remember
         at, n = 0, len(text)
         while at < n:
             end = n if n - at <= PIECE else text.find(" ", at + PIECE)
@@ -267,7 +279,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | os.PathLike, end_id: int
     order of the ids of documents: null ids first, rows with one id by a hash of their texts, equal rows as often as
     they come. Returns the files: shard, path, n_docs, n_tokens, n_bytes, start (tokens in the files before).
 
-    Documents are dealt by ranges of ids into sorted parts, about 256 MB of text each; a task encodes its part
+    Documents are dealt by ranges of ids into sorted parts, about 128 MB of text each; a task encodes its part
     and writes it as it goes. A file's name is of one attempt of a task and only files of attempts that ended are
     listed, so a lost executor leaves at most a file that nothing names. Ids of documents are whole numbers.
     ``folder`` must be one that all executors reach; the cluster's shared folder by default. No rows give no files.
@@ -304,7 +316,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | os.PathLike, end_id: int
     tie = F.xxhash64("text")
     ordered = keyed.withColumn("tie", tie).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     files = settled(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "token-files")
-    # one narrow row for each file of about 256 MB of text
+    # one narrow row for each file of about 128 MB of text
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
