@@ -1,18 +1,11 @@
 """Per-row tree attributions (Shapley values of the boosted trees), as a batch job.
 
-The value a leaf adds depends on the features on its path only: a row that meets the
-conditions on a feature counts it in full, and without the feature the row goes down the path
-with the share of training rows that did. For such a product the Shapley value of feature j is
-
-    value * (met_j - cover_j) * integral over t in [0, 1] of prod_{i != j} (cover_i (1 - t) + met_i t)
-
-and as the integrand is a polynomial, a few quadrature points give it exactly. It takes one
-value per pattern of met conditions, so each leaf has a small table that rows look up.
+Trees go to the tasks as plain node tables and are gone through path by path over whole batches of rows
+(``treepaths``). Models with more nodes than ``MAX_NODES`` go out in parts, one pass over the rows for each.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,90 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtally.operators.ensemble import SoftVoteModel
+from flowtally.operators.treepaths import add_attributions, margins_mean, path_tree
 from flowtally.session import fresh_path
 
 TOP_FEATURES = 10
+#: Nodes that are sent to the tasks at once (about 40 bytes each).
 MAX_NODES = 1_000_000
-# Table cells a task keeps (8 bytes each).
-TABLE_CELLS = 16_000_000
-
-
-
-# A leaf: its weighted value and, per path feature, the feature, its interval and cover share.
-Leaf = tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def _leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
-    out = []
-
-    def walk(i: int, box: dict[int, tuple[float, float, float]]) -> None:
-        node = nodes[i]
-        if node["left"] < 0:
-            f = sorted(box)
-            out.append((weight * node["prediction"], np.array(f, dtype=int),
-                        *(np.array([box[j][a] for j in f]) for a in range(3))))
-            return
-        j, t = node["feature"], node["threshold"]
-        low, high, cover = box.get(j, (-math.inf, math.inf, 1.0))
-        for child, lo, hi in ((node["left"], low, min(high, t)), (node["right"], max(low, t), high)):
-            walk(child, {**box, j: (lo, hi, cover * nodes[child]["count"] / node["count"])})
-
-    walk(0, {})
-    return out
-
-
-def _bits(patterns: np.ndarray, m: int) -> np.ndarray:
-    """Which of ``m`` conditions each pattern number meets, the first one in the top bit."""
-    return (patterns[:, None] >> np.arange(m - 1, -1, -1) & 1).astype("float64")
-
-
-def _shares(leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
-    """Shapley share of each path feature for the given patterns of met conditions."""
-    value, _, _, _, cover = leaf
-    met = _bits(patterns, len(cover))
-    # exact for polynomials of degree m - 1, moved to [0, 1]
-    points, weights = np.polynomial.legendre.leggauss((len(cover) + 1) // 2)
-    t = (points[:, None, None] + 1) / 2
-    factors = cover * (1 - t) + met * t
-    others = factors.prod(axis=2, keepdims=True) / factors
-    return value * (met - cover) * np.tensordot(weights / 2, others, axes=1)
-
-
-class _Tables:
-    """The leaves of a model with their shares for all patterns, where these fit a task; the
-    shares of the patterns at hand are worked out per batch where they do not."""
-
-    def __init__(self, leaves: list[list[Leaf]]):
-        self.kept = sum(len(leaf[1]) << len(leaf[1]) for cls in leaves for leaf in cls) <= TABLE_CELLS
-        self.leaves = [[(leaf, _shares(leaf, np.arange(1 << len(leaf[1]))) if self.kept else None)
-                        for leaf in cls if len(leaf[1])] for cls in leaves]
-
-    def mean_magnitude(self, x: np.ndarray) -> np.ndarray:
-        """Mean absolute attribution over the classes; (features, rows) in and out."""
-        return sum(np.abs(self.attributions(x, cls)) for cls in self.leaves) / len(self.leaves)
-
-    def attributions(self, x: np.ndarray, leaves: list[tuple[Leaf, np.ndarray | None]]) -> np.ndarray:
-        """Signed attributions of one class for a block of rows."""
-        phi = np.zeros_like(x)
-        for leaf, shares in leaves:
-            _, features, low, high, _ = leaf
-            pattern = np.zeros(x.shape[1], dtype="int64")
-            for f, lo, hi in zip(features, low, high):
-                met = x[f] <= hi if lo == -math.inf else x[f] > lo
-                if lo != -math.inf and hi != math.inf:
-                    met &= x[f] <= hi
-                pattern += pattern
-                pattern += met
-            if shares is None:
-                seen, pattern = np.unique(pattern, return_inverse=True)
-                shares = _shares(leaf, seen)
-            for j, f in enumerate(features):
-                phi[f] += shares[:, j].take(pattern)
-        return phi
-
-
-def export_trees(spark: SparkSession, model) -> list[list[Leaf]]:
-    """The trees of a boosted model as leaf tables, read back from its saved form."""
+
+# A tree: its weight and its nodes by id.
+Tree = tuple[float, dict[int, dict]]
+
+
+def export_trees(spark: SparkSession, model) -> list[Tree]:
+    """The trees of a boosted model, read back from its saved form."""
     path = fresh_path(spark, "trees")
     model.write().save(path)
     node = F.col("nodeData")
@@ -114,13 +36,77 @@ def export_trees(spark: SparkSession, model) -> list[list[Leaf]]:
         F.col("treeID").alias("tree"), node["id"].alias("id"), node["prediction"].alias("prediction"),
         node["rawCount"].alias("count"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
         node["split"]["featureIndex"].alias("feature"),
-        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold")).limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError("the model has too many nodes to send to every task")
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"))
     trees: dict[int, dict[int, dict]] = {}
-    for r in rows:
+    for r in rows.toLocalIterator():  # a model, which its fit held in the driver too
         trees.setdefault(r["tree"], {})[r["id"]] = r.asDict()
-    return [_leaves(trees[t], model.treeWeights[t]) for t in sorted(trees)]
+    return [(model.treeWeights[t], trees[t]) for t in sorted(trees)]
+
+
+def _parts(per_class: list[list[Tree]]) -> list[list[tuple[int, Tree]]]:
+    """Trees with their class, in parts of at most ``MAX_NODES`` nodes (or one tree)."""
+    parts: list[list[tuple[int, Tree]]] = [[]]
+    held = 0
+    for at, trees in enumerate(per_class):
+        for tree in trees:
+            if parts[-1] and held + len(tree[1]) > MAX_NODES:
+                parts.append([])
+                held = 0
+            parts[-1].append((at, tree))
+            held += len(tree[1])
+    return parts
+
+
+def _ready(sent: dict) -> list[tuple[int, dict]]:
+    """A worker's trees as path arrays: built once beside what was broadcast, used by all its batches and tasks."""
+    if "ready" not in sent:
+        sent["ready"] = [(at, path_tree(nodes, weight)) for at, (weight, nodes) in sent.pop("trees")]
+    return sent["ready"]
+
+
+def _with_signed(df: DataFrame, per_class: list[list[Tree]], n_features: int, out: str) -> DataFrame:
+    """Add the signed attributions of all classes, one after the other, to rows with ``_scaled``."""
+    kinds = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    classes = len(per_class)
+
+    def adder(sent, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.ascontiguousarray(batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).T)
+                phi = np.zeros((classes, n_features, batch.num_rows)) if first else np.ascontiguousarray(batch.column(out).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, classes, n_features).transpose(1, 2, 0))
+                for at, tree in _ready(sent.value):
+                    add_attributions(tree, x, phi[at])
+                flat = pa.array(np.ascontiguousarray(phi.transpose(2, 0, 1)).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, classes * n_features, dtype="int32")), flat)
+                kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != out]
+                yield pa.RecordBatch.from_arrays([*kept, lists], names=kinds.names)
+        return run
+
+    for i, part in enumerate(_parts(per_class)):
+        df = df.mapInArrow(adder(df.sparkSession.sparkContext.broadcast({"trees": part}), i == 0), kinds)
+    return df
+
+
+def signed_attributions(model: SoftVoteModel, df: DataFrame, out: str = "attributions", base: str = "base") -> DataFrame:
+    """Add ``out`` (per class the signed attribution of each feature to the margin of its boosted trees) and ``base`` (the
+    margins' means, which the attributions are added to): they sum up to the margins."""
+    names = list(model.names)
+    per_class = [export_trees(df.sparkSession, m) for m in model.boosted]
+    ready = model.prepare(df).select(*df.columns, vector_to_array("features").alias("_scaled"))
+    means = [margins_mean([path_tree(nodes, weight) for weight, nodes in trees]) for trees in per_class]
+    wide = _with_signed(ready, per_class, len(names), "_phi")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(per_class) - 1)), lambda c: F.slice("_phi", c * len(names) + 1, len(names)))
+    return wide.select(*df.columns, rows.alias(out), F.array(*[F.lit(float(m)) for m in means]).alias(base))
+
+
+def sum_rule_gap(model: SoftVoteModel, df: DataFrame, out: str = "gap") -> DataFrame:
+    """Add the largest difference, over the classes, between the margin and base plus attributions."""
+    told = signed_attributions(model, df, "_signed", "_base")
+    scored = model.margins(told, "_margins")
+    gaps = F.transform(F.arrays_zip("_signed", "_base", "_margins"), lambda c: F.abs(F.aggregate(c["_signed"], c["_base"], lambda s, x: s + x) - c["_margins"]))
+    return scored.withColumn(out, F.array_max(gaps)).drop("_signed", "_base", "_margins")
 
 
 def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATURES,
@@ -130,36 +116,32 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
     ``shap`` is the mean absolute attribution over the classes of the boosted member, rounded
     to 4 digits; ``value`` is the feature as it came in.
     """
-    spark = df.sparkSession
     names = list(model.names)
-    per_class = [[leaf for tree in export_trees(spark, m) for leaf in tree] for m in model.boosted]
-    sent = spark.sparkContext.broadcast(per_class)
+    per_class = [export_trees(df.sparkSession, m) for m in model.boosted]
     given = F.array(*[F.col(n).cast("double") for n in names])
     ready = model.prepare(df).select(*df.columns, vector_to_array("features").alias("_scaled"), given.alias("_given"))
+    wide = _with_signed(ready, per_class, len(names), "_phi")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StructType([
         T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
         T.StructField("shap", T.DoubleType())])))])
 
-    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables(sent.value)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            x = np.ascontiguousarray(rows.T)
-            mean = tables.mean_magnitude(x).T
+            mean = np.abs(batch.column("_phi").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, len(names))).mean(axis=1)
             order = np.argsort(-mean, axis=1, kind="stable")[:, :top_n]
             n = order.shape[1]
-            cells = order + np.arange(0, rows.size, rows.shape[1])[:, None]
+            cells = order + np.arange(0, mean.size, mean.shape[1])[:, None]
             top = pa.StructArray.from_arrays([
                 pa.array(names).take(pa.array(order.ravel())),
                 batch.column("_given").flatten().take(pa.array(cells.ravel())),
                 pa.array(np.round(mean.ravel()[cells.ravel()], 4))], ["feature", "value", "shap"])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, n, dtype="int32")), top)
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_scaled", "_given")]
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_scaled", "_given", "_phi")]
             yield pa.RecordBatch.from_arrays([*kept, lists], names=schema.names)
 
-    return ready.mapInArrow(attribute, schema)
+    return wide.mapInArrow(rank, schema)
 
 
 def top_n_of(names: Sequence[str], values, n: int = TOP_FEATURES):

@@ -67,6 +67,14 @@ class SoftVoteModel:
         doubles = df.withColumns({n: F.col(n).cast("double") for n in self.names})
         return self.prep.transform(doubles).drop("_raw_vec", *[f"_i_{n}" for n in self.names])
 
+    def margins(self, df: DataFrame, out: str = "margins") -> DataFrame:
+        """Add the margins of the boosted trees, one per class."""
+        wide = self.prepare(df)
+        for i, model in enumerate(self.boosted):
+            model.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}")
+            wide = model.transform(wide)
+        return wide.select(*df.columns, F.array(*[F.get(vector_to_array(f"_raw{i}"), F.lit(1)) for i in range(len(self.boosted))]).alias(out))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probabilities`` (one per class), dense ``prediction_index`` and label ``prediction``."""
         out = self.prepare(df)

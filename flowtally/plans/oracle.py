@@ -378,6 +378,7 @@ SQL["stream_drift"] = _drift("strftime(ts, '%Y-%m-%d')") + """ SELECT round(kl,
 SQL["stream_last_n"] = """SELECT user_id, event_id, value FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"""
 SQL["batch_score_rows"] = "SELECT l_returnflag AS label_str, count(*) AS n, count(*) AS n_scored FROM lineitem GROUP BY 1"
+SQL["tree_sum_rule"] = "SELECT l_returnflag AS label_str, count(*) AS n, count(*) AS n_adding_up FROM lineitem GROUP BY 1"
 SQL["stratified_folds"] = f"""SELECT o_orderstatus, fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM (
   SELECT *, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) - 1) % 5)::INT AS fold FROM orders) GROUP BY 1, 2"""
 SQL["corpus_answers"] = f"""WITH s AS (SELECT doc_id, lang, source, embedding FROM documents JOIN embeddings ON vec_id = doc_id),

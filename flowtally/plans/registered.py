@@ -14,7 +14,7 @@ from flowtally.functions.numeric import sigmoid_score
 from flowtally.functions.vectors import argmax, mean_vectors, row_mse
 from flowtally.operators import clean, evaluate, ivf, knn, monitor, profile, requests, retrieval, split, stats_tests
 from flowtally.operators.anomaly import AnomalyDetector
-from flowtally.operators.attribution import top_attributions, top_n_of
+from flowtally.operators.attribution import sum_rule_gap, top_attributions, top_n_of
 from flowtally.operators.ensemble import (TreeSettings, fit_soft_vote, forest_importance, importance_comparison)
 from flowtally.operators.ordered import exact_quantiles
 from flowtally.operators.sized import spread
@@ -751,6 +751,15 @@ def tree_attribution(spark, sf):
     return top.groupBy("feature").agg(F.avg("shap").alias("mean_shap"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def tree_sum_rule(spark, sf):
+    """Attributions and the mean output add up to every row's margins."""
+    rows = _train(spark, sf)
+    model = fit_soft_vote(rows, _MODEL_NAMES, "label", TreeSettings(trees=3, depth=7, forest=False))
+    told = sum_rule_gap(model, rows.select("label_str", *_MODEL_NAMES))
+    return told.groupBy("label_str").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") < 1e-9).alias("n_adding_up"))
+
+
 @query
 def top_values(spark, sf):
     """The three largest entries by magnitude of each embedding."""

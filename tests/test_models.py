@@ -1,5 +1,5 @@
 from itertools import combinations
-from math import factorial
+from math import factorial, inf
 
 import numpy as np
 import pandas as pd
@@ -8,7 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowtally.operators.anomaly import AnomalyDetector
-from flowtally.operators.attribution import _Tables, export_trees, top_attributions, top_n_of
+from flowtally.operators import attribution
+from flowtally.operators.attribution import export_trees, sum_rule_gap, top_attributions, top_n_of
+from flowtally.operators.treepaths import add_attributions, margins_mean, path_tree
 from flowtally.operators.ensemble import SoftVoteModel, TreeSettings, fit_soft_vote, forest_importance
 from flowtally.operators.textclf import train_text_classifier
 from flowtally.plans import jobs
@@ -48,6 +50,25 @@ def test_save_and_load(spark, model, data, folder):
     assert a.prediction.tolist() == b.prediction.tolist() and np.allclose(np.stack(a.probabilities), np.stack(b.probabilities))
 
 
+def leaves_of(nodes, weight):
+    """A leaf: its weighted value and, per feature of its path, the feature, its interval and cover share."""
+    out = []
+
+    def walk(i, box):
+        node = nodes[i]
+        if node["left"] < 0:
+            f = sorted(box)
+            out.append((weight * node["prediction"], f, *([box[j][a] for j in f] for a in range(3))))
+            return
+        j, t = node["feature"], node["threshold"]
+        low, high, cover = box.get(j, (-inf, inf, 1.0))
+        for child, lo, hi in ((node["left"], low, min(high, t)), (node["right"], max(low, t), high)):
+            walk(child, {**box, j: (lo, hi, cover * nodes[child]["count"] / node["count"])})
+
+    walk(0, {})
+    return out
+
+
 def expected(leaves, x, known):
     """Tree output when only the known features are used; the rest go by cover."""
     total = 0.0
@@ -61,13 +82,18 @@ def expected(leaves, x, known):
 
 def test_attribution_equals_brute_force(spark, model, data):
     gbt = model.boosted[0]
-    leaves = [leaf for tree in export_trees(spark, gbt) for leaf in tree]
+    trees = export_trees(spark, gbt)
+    leaves = [leaf for weight, nodes in trees for leaf in leaves_of(nodes, weight)]
     rows = model.prepare(data).select(vector_to_array("features").alias("x")).limit(4).collect()
     gbt.setRawPredictionCol("raw")
     margins = [r[0] for r in gbt.transform(model.prepare(data)).limit(4).select(F.get(vector_to_array("raw"), F.lit(1))).collect()]
     x = np.array([r.x for r in rows])
-    tables = _Tables([leaves])
-    phi = tables.attributions(np.ascontiguousarray(x.T), tables.leaves[0]).T
+    paths = [path_tree(nodes, weight) for weight, nodes in trees]
+    signed = np.zeros(x.T.shape)
+    for tree in paths:
+        add_attributions(tree, np.ascontiguousarray(x.T), signed)
+    phi = signed.T
+    assert margins_mean(paths) == pytest.approx(expected(leaves, x[0], set()), abs=1e-12)
     for r in range(4):
         for i in range(6):
             others = [j for j in range(6) if j != i]
@@ -78,13 +104,46 @@ def test_attribution_equals_brute_force(spark, model, data):
         assert phi[r].sum() + expected(leaves, x[r], set()) == pytest.approx(margins[r], abs=1e-9)
 
 
-def test_tables_kept_or_rebuilt(monkeypatch, spark, model):
-    leaves = [[leaf for tree in export_trees(spark, m) for leaf in tree] for m in model.boosted]
-    x = np.random.default_rng(3).normal(size=(6, 50))
-    kept = _Tables(leaves)
-    monkeypatch.setattr("flowtally.operators.attribution.TABLE_CELLS", 0)
-    rebuilt = _Tables(leaves)
-    assert kept.kept and not rebuilt.kept and np.allclose(kept.mean_magnitude(x), rebuilt.mean_magnitude(x))
+def grown(rng, depth, n_features):
+    """A tree with random splits; some branches end early, features come again on a path."""
+    nodes = {}
+
+    def node(d, count):
+        i = len(nodes)
+        nodes[i] = {"left": -1, "right": -1, "prediction": rng.normal(), "count": count}
+        if d and count > 1 and (d == depth or rng.random() < 0.9):
+            left = int(rng.integers(1, count))
+            nodes[i] |= {"feature": int(rng.integers(n_features)), "threshold": float(rng.normal()), "left": node(d - 1, left), "right": node(d - 1, count - left)}
+        return i
+
+    node(depth, 5000)
+    return nodes
+
+
+@pytest.mark.parametrize("depth,n_features", [(0, 2), (1, 1), (3, 2), (5, 3), (7, 5)])
+def test_paths_equal_brute_force_on_random_trees(depth, n_features):
+    rng = np.random.default_rng(depth)
+    for _ in range(4):
+        nodes = grown(rng, depth, n_features)
+        leaves, tree, x = leaves_of(nodes, 0.3), path_tree(nodes, 0.3), rng.normal(size=(n_features, 300))
+        phi = np.zeros_like(x)
+        add_attributions(tree, x, phi)
+        for r in range(0, 300, 100):
+            for i in range(n_features):
+                others = [j for j in range(n_features) if j != i]
+                want = sum(factorial(s) * factorial(n_features - 1 - s) / factorial(n_features)
+                           * (expected(leaves, x[:, r], set(c) | {i}) - expected(leaves, x[:, r], set(c)))
+                           for s in range(n_features) for c in combinations(others, s))
+                assert phi[i, r] == pytest.approx(want, abs=1e-10)
+        total = [expected(leaves, x[:, r], set(range(n_features))) for r in range(300)]
+        assert phi.sum(axis=0) + tree["mean"] == pytest.approx(total, abs=1e-10)
+
+
+def test_sum_rule_and_models_sent_in_parts(monkeypatch, model, data):
+    assert sum_rule_gap(model, data).agg(F.max("gap"), F.count("gap")).first()[:] == (pytest.approx(0, abs=1e-9), 240)
+    whole = top_attributions(model, data, 6).orderBy("key").toPandas()
+    monkeypatch.setattr(attribution, "MAX_NODES", 20)
+    assert top_attributions(model, data, 6).orderBy("key").toPandas().equals(whole)
 
 
 def test_top_attributions(model, data):
