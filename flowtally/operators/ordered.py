@@ -1,93 +1,36 @@
 """Order statistics of groups of any size.
 
-A window ordered over a whole group runs in one task, and one class may hold most of the
-rows. Everything here works on *slices* instead: value ranges that are small enough for a
-task. A slice number is a pure, monotone function of the row (and of exact aggregates of the
-data), so a task that is run again after a lost executor puts every row in the same slice.
-
-1. ``_grid`` cuts the number line evenly on a log scale, 64 cuts for each doubling.
-2. Slices that hold more than ``MAX_SLICE`` rows are cut again, evenly between their own
-   smallest and largest value, until only single values are crowded, and those by the
-   tie-breaker.
-3. Counts per slice are cumulated over slices (a small table), and each slice is then ordered
-   on its own, starting from its offset.
+A window ordered over a whole group runs in one task, and one class may hold most of the rows. Ranks and running sums
+come from range parts instead (``ranged``): equal values are counted together first, the counts are dealt by ranges of
+(group, value) into sorted parts, one total per part goes into running sums, and these offsets come back.
+
+Quantiles need no order at all: a mergeable sketch of each group brackets the wanted ranks, and what lies below and
+inside a bracket is counted exactly. A bracket that is still large is bracketed again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import partial
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions.numeric import is_finite
+from flowtally.operators.ranged import PART, beside_parts, part_offsets, places, ranged, running_sums
 from flowtally.operators.sized import small_side
-
-CUTS_PER_DOUBLING = 64
-MAX_SLICE = 1_000_000
+from flowtally.session import settled
+
+#: Rows of a bracket whose values are ordered in one task.
+MAX_BRACKET = 1_000_000
+#: Size of a sketch, how far a bracket reaches beyond the wanted rank as a share of the rows, and steps of its ends.
+SKETCH_SIZE = 1024
+MARGIN = 0.01
+GRID = 256
+#: Brackets that are sent to every task.
+SENT_BRACKETS = 200_000
 SALTS = 64
 
 
-def _grid(v: Column) -> Column:
-    """Monotone slice number of a finite number: 0 for 0, mirrored for negatives."""
-    x = v.cast("double")
-    step = F.floor((F.log2(F.abs(x)) + 1100.0) * CUTS_PER_DOUBLING)
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("bigint")
-
-
-def _crowded(df: DataFrame, at: list[str], col: str, max_slice: int, only_single: str | None = None) -> DataFrame:
-    """Slices with too many rows that ``col`` can cut: their rows and the ends of ``col``."""
-    x = F.col(col).cast("double")
-    out = df.groupBy(*at).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
-        *([F.min(only_single).alias("_a"), F.max(only_single).alias("_b")] if only_single else []),
-    ).where((F.col("_n") > max_slice) & (F.col("_hi") > F.col("_lo")))
-    return out.where(F.col("_a") == F.col("_b")).drop("_a", "_b") if only_single else out
-
-
-def _cut(df: DataFrame, at: list[str], col: str, max_slice: int, cuts: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: the place of ``col`` among even cuts of its slice, 0 where there are none."""
-    pieces = F.ceil(F.col("_n") / F.lit(max_slice))
-    place = F.floor((F.col(col).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces)
-    return df.join(cuts, at, "left").withColumn(
-        out, F.coalesce(F.least(place, pieces - 1), F.lit(0)).cast("bigint")).drop("_n", "_lo", "_hi")
-
-
-def _slicer(df: DataFrame, by: list[str], value: str, max_slice: int, tie: str | None = None,
-            may_crowd: bool = True) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
-    """How to number the slices of ``df`` and of tables derived from it: the grid, then cuts by
-    value while slices stay crowded, then by tie.
-
-    A cut narrows a slice by as many times as it is too large, so a few of them leave only
-    single values crowded, and cutting goes on until that is so.
-    """
-    slices, steps = ["_s1"], []
-
-    def number(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_s1", _grid(F.col(value)))
-        for step in steps:
-            d = step(d)
-        return d
-
-    def cut_by(col: str, only_single: str | None) -> bool:
-        at = [*by, *slices]
-        cuts, rows = small_side(_crowded(number(df), at, col, max_slice, only_single))
-        if rows == []:
-            return False
-        out = f"_s{len(slices) + 1}"
-        steps.append(partial(_cut, at=at, col=col, max_slice=max_slice, cuts=cuts, out=out))
-        slices.append(out)
-        return True
-
-    if may_crowd:
-        while cut_by(value, None):  # each cut parts the ends of every crowded slice, so this ends
-            pass
-        if tie:
-            cut_by(tie, value)
-    return number, slices
-
-
 def _usable(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keep = is_finite(F.col(value).cast("double"))
     for k in keys:
@@ -99,85 +42,98 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column],
-                      max_slice: int = MAX_SLICE, may_crowd: bool = True) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], parts: int | None = None) -> DataFrame:
     """One row per (keys, distinct value) with each aggregate of ``sums`` (additive ones),
     ``<name>_below`` (the same over all smaller values) and ``<name>_total``.
 
-    Rows with a null key or a null, NaN or infinite value are left out. A caller that knows no
-    slice to be crowded says so and saves the look.
+    Rows with a null key or a null, NaN or infinite value are left out.
     """
     base, by = _keyed(_usable(df, keys, value), keys)
-    number, slices = _slicer(base, by, value, max_slice, may_crowd=may_crowd)
-    parts = number(base.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()]))
-    joined = parts.join(_offsets(parts, by, slices, sums), [*by, *slices])
-    inside = Window.partitionBy(*by, *slices).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
-        *keys, value, *sums,
-        *[(F.col(f"{n}_offset") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in sums],
-        *[f"{n}_total" for n in sums],
-    )
-
-
-def _offsets(parts: DataFrame, by: list[str], slices: list[str], sums) -> DataFrame:
-    """Per slice: the sums over the slices before it, and over the whole group."""
-    before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    per_slice = parts.groupBy(*by, *slices).agg(*[F.sum(n).alias(f"{n}_slice") for n in sums])
-    return per_slice.select(
-        *by, *slices,
-        *[F.coalesce(F.sum(f"{n}_slice").over(before), F.lit(0)).alias(f"{n}_offset") for n in sums],
-        *[F.sum(f"{n}_slice").over(whole).alias(f"{n}_total") for n in sums])
+    counted = base.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()])
+    told = running_sums(counted, by, [value], {n: n for n in sums}, parts)
+    return told.select(*keys, value, *sums, *[f"{n}_below" for n in sums], *[f"{n}_total" for n in sums])
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, detail: str, max_slice: int = MAX_SLICE) -> DataFrame:
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, detail: str, parts: int | None = None) -> DataFrame:
     """Rows (keys, value, detail, m, c, mid_rank): ``m`` rows with this value and detail, ``c``
     rows with this value, and the mean rank of those ``c`` rows in the group."""
     base, by = _keyed(_usable(df, [*keys, detail], value), keys)
-    number, slices = _slicer(base, by, value, max_slice)
-    parts = number(base.groupBy(*by, value, detail).agg(F.count(F.lit(1)).alias("m")))
-    joined = parts.join(_offsets(parts, by, slices, ["m"]), [*by, *slices])
-    up_to = Window.partitionBy(*by, *slices).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = joined.withColumn("_upto", F.col("m_offset") + F.sum("m").over(up_to)).withColumn(
-        "c", F.sum("m").over(Window.partitionBy(*by, *slices, value)))
+    rows = ranged(base.groupBy(*by, value, detail).agg(F.count(F.lit(1)).alias("m")), [*by, value], parts)  # rows of a value share a part
+    told = beside_parts(rows, by, part_offsets(rows, by, {"m": F.sum("m")}))
+    up_to = Window.partitionBy(*by, PART).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = told.withColumn("_upto", F.col("m_before") + F.sum("m").over(up_to)).withColumn(
+        "c", F.sum("m").over(Window.partitionBy(*by, PART, value)))
     return counted.select(*keys, value, detail, "m", "c", (F.col("_upto") - (F.col("c") - 1) / 2).alias("mid_rank"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    max_slice: int = MAX_SLICE) -> DataFrame:
+def _sketch(rows: str = "true") -> list[Column]:
+    """Rows that meet a condition, their ends and a sketch of their values."""
+    return [F.expr(f"{agg} FILTER (WHERE {rows})").alias(name) for name, agg in (
+        ("_rows", "count(1)"), ("_min", "min(_v)"), ("_max", "max(_v)"), ("_sketch", f"kll_sketch_agg_double(_v, {SKETCH_SIZE})"))]
+
+
+def _bracket(rank: Column) -> dict[str, Column]:
+    """Two values that should enclose a rank, and about how many rows lie between, from a sketch of ``_rows`` rows."""
+    grid = F.call_function("kll_sketch_get_quantile_double", F.col("_sketch"), F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    low, high = F.floor(rank) / F.col("_rows") - MARGIN, (F.ceil(rank) + 1) / F.col("_rows") + MARGIN
+    lower, upper = F.floor(low * GRID).cast("int"), F.ceil(high * GRID).cast("int")
+    return {"_grid": grid, "_lo": F.when(lower <= 0, F.col("_min")).otherwise(F.get("_grid", F.least(lower, F.lit(GRID)))),
+            "_hi": F.when(upper >= GRID, F.col("_max")).otherwise(F.get("_grid", F.greatest(upper, F.lit(0)))),
+            "_about": F.col("_rows") * (2 * MARGIN + 2 / GRID) + 2}
+
+
+def _with_bracket(sketches: DataFrame, rank: Column) -> DataFrame:
+    columns = _bracket(rank)
+    return sketches.withColumn("_grid", columns.pop("_grid")).withColumns(columns)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], max_bracket: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, prob, quantile, n).
 
-    The rows are counted per slice (partial sums, next to nothing shuffled); then only the
-    slices that hold a wanted rank are read again and ordered. Two scans, no full shuffle.
+    One read sketches the groups. A second one counts the rows below each bracket and each value inside, so that a rank
+    is found exactly; raw rows are not shuffled. Brackets of more than ``max_bracket`` rows are bracketed again first, a
+    read for each time. A rank that its bracket missed is counted over the whole group.
     """
+    most = MAX_BRACKET if max_bracket is None else max_bracket
     base, by = _keyed(_usable(df, keys, value), keys)
-    base = base.select(*by, value, _grid(F.col(value)).alias("_slice"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        base.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
-    )
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("n") - 1) * float(p)).alias("rank"))
-                      for p in probs])
-    wanted, known = small_side(
-        slices.withColumn("_r", F.explode(ranks))
-        .select(*by, "_slice", "_offset", "_rows", "n", F.col("_r.prob").alias("prob"), F.col("_r.rank").alias("rank"))
-        .where((F.ceil("rank") >= F.col("_offset")) & (F.floor("rank") < F.col("_offset") + F.col("_rows"))))
-    places = wanted.select(*by, "_slice").distinct()
-    inner = base.join(places if known is None else F.broadcast(places), [*by, "_slice"], "left_semi")
-    counted = cumulative_counts(inner, [*by, "_slice"], value, {"_c": F.count(F.lit(1))}, max_slice,
-                                known is None or any(r["_rows"] > max_slice for r in known))
-    at = counted.join(wanted, [*by, "_slice"]).withColumn("_a", F.col("_offset") + F.col("_c_below"))
-
-    def holds(rank: Column) -> Column:
-        return F.when((rank >= F.col("_a")) & (rank < F.col("_a") + F.col("_c")), F.col(value).cast("double"))
-
-    ends = at.groupBy(*by, "prob", "n", "rank").agg(
-        F.max(holds(F.floor("rank"))).alias("_low"), F.max(holds(F.ceil("rank"))).alias("_high"))
-    return ends.select(
-        *keys, "prob",
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - F.floor("rank"))).alias("quantile"), "n")
+    base = base.select(*by, F.col(value).cast("double").alias("_v"))
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("_rows") - 1) * float(p)).alias("rank")) for p in probs])
+    asked = base.groupBy(*by).agg(*_sketch()).withColumn("_r", F.explode(ranks)).select("*", "_r.prob", "_r.rank")
+    kept = [*by, "prob", "rank", "n"]
+    wanted = settled(_with_bracket(asked.withColumn("n", F.col("_rows")), F.col("rank")).select(*kept, "_lo", "_hi", "_about"), "brackets")
+
+    def beside(brackets: DataFrame) -> DataFrame:
+        """Rows beside the brackets of their group that they are not above."""
+        side, _ = small_side(brackets, SENT_BRACKETS)
+        return base.join(side, by).where(F.col("_v") <= F.col("_hi"))
+
+    large = (F.col("_about") > most) & (F.col("_hi") > F.col("_lo"))
+    while not wanted.where(large).isEmpty():
+        told = beside(wanted.where(large)).groupBy(*kept, "_lo", "_hi").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), *_sketch("_v >= _lo"))
+        found = _with_bracket(told.withColumnsRenamed({"_lo": "_old_lo", "_hi": "_old_hi"}), F.col("rank") - F.col("_below"))
+        inside = (F.floor("rank") >= F.col("_below")) & (F.ceil("rank") < F.col("_below") + F.col("_rows"))
+        narrower = (F.col("_lo") > F.col("_old_lo")) | (F.col("_hi") < F.col("_old_hi"))
+        again = found.select(*kept, F.when(inside, F.col("_lo")).otherwise(float("-inf")).alias("_lo"), F.when(inside, F.col("_hi")).otherwise(float("inf")).alias("_hi"),
+                             F.when(inside & narrower, F.col("_about")).otherwise(0.0).alias("_about"))
+        wanted = settled(wanted.where(~large).unionByName(again), "brackets")
+
+    def ends(brackets: DataFrame) -> DataFrame:
+        """The values at the ranks beside the wanted one; null where the bracket missed them."""
+        counts = beside(brackets).groupBy(*kept, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy(*by, "prob").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        at = counts.withColumn("_a", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+
+        def holds(rank: Column) -> Column:
+            return F.when((rank >= F.col("_a")) & (rank < F.col("_a") + F.col("_c")), F.col("_v"))
+
+        return at.groupBy(*kept).agg(F.max(holds(F.floor("rank"))).alias("_low"), F.max(holds(F.ceil("rank"))).alias("_high"))
+
+    out = settled(ends(wanted), "ranks")
+    missed = out.where(F.col("_low").isNull() | F.col("_high").isNull())
+    if not missed.isEmpty():
+        whole = missed.select(*kept, F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
+        out = out.where(F.col("_low").isNotNull() & F.col("_high").isNotNull()).unionByName(ends(whole))
+    return out.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - F.floor("rank"))).alias("quantile"), "n")
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
@@ -188,20 +144,9 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict
     return wide.select(*keys, *named)
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "pos",
-              max_slice: int = MAX_SLICE) -> DataFrame:
-    """Exact zero-based position of every row in its group, by (``order``, ``tie``), both numeric."""
-    base, by = _keyed(df, keys)
-    number, slices = _slicer(base, by, order, max_slice, tie)
-    parts = number(base)
-    before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy(*by, *slices).agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*by, *slices, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*by, *slices).orderBy(order, tie)
-    return parts.join(offsets, [*by, *slices]).select(
-        *df.columns, (F.col("_offset") + F.row_number().over(inside) - 1).alias(out))
+def positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Exact zero-based position of every row in its group, by (``order``, ``tie``)."""
+    return places(df, list(keys), [order, tie], out, "_n_all", parts).drop("_n_all")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt_by: Column,

@@ -14,21 +14,21 @@ def sample(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("max_slice", [40, 1_000_000])
-def test_quantiles_equal_numpy(sample, max_slice):
+@pytest.mark.parametrize("max_bracket", [1, 40, None])
+def test_quantiles_equal_numpy(sample, max_bracket):
     pdf, df = sample
-    got = exact_quantiles(df, ["g"], "v", [0, 0.25, 0.5, 0.953, 1.0], max_slice).toPandas()
+    got = exact_quantiles(df, ["g"], "v", [0, 0.25, 0.5, 0.953, 1.0], max_bracket).toPandas()
     assert len(got) == 10
     for _, r in got.iterrows():
         assert r["quantile"] == pytest.approx(np.quantile(pdf[pdf.g == r.g].v, r.prob), abs=1e-9)
 
 
-@pytest.mark.parametrize("max_slice", [40, 1_000_000])
-def test_counts_positions_and_ranks(sample, max_slice):
+@pytest.mark.parametrize("parts", [1, 23, None])
+def test_counts_positions_and_ranks(sample, parts):
     pdf, df = sample
-    counts = cumulative_counts(df, ["g"], "v", {"n": F.count(F.lit(1))}, max_slice).toPandas()
-    place = positions(df, ["g"], "v", "id", "pos", max_slice).toPandas()
-    ranks = mid_ranks(df.withColumn("all", F.lit(1)), ["all"], "v", "g", max_slice).toPandas()
+    counts = cumulative_counts(df, ["g"], "v", {"n": F.count(F.lit(1))}, parts).toPandas()
+    place = positions(df, ["g"], "v", "id", "pos", parts).toPandas()
+    ranks = mid_ranks(df.withColumn("all", F.lit(1)), ["all"], "v", "g", parts).toPandas()
     for g in "ab":
         want = pdf[pdf.g == g].groupby("v").size()
         got = counts[counts.g == g].sort_values("v")
@@ -64,5 +64,36 @@ def test_top_n_is_a_total_order(sample):
 def test_positions_with_a_hot_value_among_others(spark):
     v = np.concatenate([np.full(600, 1000.0), 1000 + np.arange(60) / 1e4, [999.99, 1001.0]])
     df = spark.createDataFrame(pd.DataFrame({"v": v, "id": np.arange(len(v))[::-1]}))
-    got = positions(df, [], "v", "id", "pos", 50).toPandas().sort_values(["v", "id"])
+    got = positions(df, [], "v", "id", "pos", 20).toPandas().sort_values(["v", "id"])
     assert got.pos.tolist() == list(range(len(v)))
+
+
+@pytest.mark.parametrize("limit", [1, None])
+def test_one_group_of_equal_values_and_one_of_distinct_ones(spark, limit):
+    """Nothing depends on how values are spread: most rows in one value, or each row with its own."""
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, "same").otherwise("own").alias("g"), F.when(F.col("id") < 4000, F.lit(7.5)).otherwise(F.col("id") * 1.0).alias("v"), "id")
+    got = {(r.g, r.prob): (r["quantile"], r.n) for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.999], limit).collect()}
+    for p in (0.1, 0.5, 0.999):
+        assert got["same", p] == (7.5, 4000) and got["own", p] == (pytest.approx(4000 + 1999 * p), 2000)
+    parts = 64 if limit else None
+    counts = {(r.g, r.v): (r.n, r.n_below, r.n_total) for r in cumulative_counts(df, ["g"], "v", {"n": F.count(F.lit(1))}, parts).collect()}
+    assert counts["same", 7.5] == (4000, 0, 4000) and all(counts["own", 4000.0 + i] == (1, i, 2000) for i in range(2000))
+    ranks = {(r.g, r.v): r.mid_rank for r in mid_ranks(df.withColumn("d", F.col("id") % 3), ["g"], "v", "d", parts).collect()}
+    assert ranks["same", 7.5] == 2000.5 and all(ranks["own", 4000.0 + i] == i + 1 for i in range(2000))
+    place = positions(df, ["g"], "v", "id", "pos", parts).collect()
+    assert all(r.pos == (r.id if r.g == "same" else r.id - 4000) for r in place)
+
+
+def test_a_sketch_that_misses_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr("flowtally.operators.ordered.MARGIN", -0.05)
+    df = spark.range(1000).select((F.col("id") * 1.0).alias("v"))
+    for limit in (10, None):
+        got = exact_quantiles(df, [], "v", [0.25, 0.5, 0.9], limit).orderBy("prob").collect()
+        assert [r["quantile"] for r in got] == pytest.approx([249.75, 499.5, 899.1])
+
+
+def test_no_join_and_no_order_over_a_group(sample):
+    """Ranks are windows inside range parts only; quantiles shuffle counted values of brackets, not rows."""
+    _, df = sample
+    plan = cumulative_counts(df, ["g"], "v", {"n": F.count(F.lit(1))})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "_part" in plan
