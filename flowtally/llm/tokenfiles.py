@@ -260,15 +260,11 @@ class Chunks(dict):
             at = end
 
 
-_READY: dict[int, Chunks] = {}
-
-
-def _chunks(spec: str) -> Chunks:
-    """A worker's encoder: built once, used by all its tasks."""
-    key = zlib.crc32(spec.encode())
-    if key not in _READY:
-        _READY[key] = Chunks(spec)
-    return _READY[key]
+def _chunks(sent: dict) -> Chunks:
+    """A worker's encoder: built once beside the broadcast file, used by all its tasks."""
+    if "ready" not in sent:
+        sent["ready"] = Chunks(sent["spec"])
+    return sent["ready"]
 
 
 # jobs --------------------------------------------------------------------------------------------------------------
@@ -286,7 +282,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | os.PathLike, end_id: int
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        sent = spark.sparkContext.broadcast(f.read())
+        sent = spark.sparkContext.broadcast({"spec": f.read()})
     folder = folder or fresh_path(spark, "tokens")
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
