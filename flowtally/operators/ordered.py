@@ -136,6 +136,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return out.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - F.floor("rank"))).alias("quantile"), "n")
 
 
+def counted_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str, named: dict[str, float], parts: int | None = None) -> DataFrame:
+    """Exact quantiles per group, one column each, from rows (keys, value, n) that say how often a value comes; no task
+    holds the values of a group."""
+    base, by = _keyed(_usable(counts, keys, value), keys)
+    told = running_sums(base.groupBy(*by, value).agg(F.sum(n).alias("_n")), by, [value], {"_n": "_n"}, parts)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_n_below")) & (rank < F.col("_n_below") + F.col("_n")), F.col(value).cast("double")))
+
+    columns = []
+    for name, p in named.items():
+        rank = (F.col("_n_total") - 1) * float(p)
+        share = F.max(rank - F.floor(rank))  # one rank in a group
+        columns.append((at(F.floor(rank)) + (at(F.ceil(rank)) - at(F.floor(rank))) * share).alias(name))
+    return told.groupBy(*by).agg(*columns).select(*keys, *named)
+
+
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
     """``exact_quantiles`` with one output column per named probability."""
     long, by = _keyed(exact_quantiles(df, keys, value, list(named.values())), keys)

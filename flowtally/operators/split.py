@@ -11,40 +11,69 @@ from pyspark.sql import functions as F
 
 from flowtally.functions.numeric import mixed_hash
 from flowtally.operators.ordered import top_n
+from flowtally.operators.ranged import places
 from flowtally.operators.sized import small_side
+from flowtally.session import settled
 
 SLICES = 65_536
+#: Bits of the hash that one count decides, highest first; the hash has 32.
+DIGITS = (16, 16)
 
 
-def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column, out: str) -> DataFrame:
-    """Flag the first ``size`` rows of each stratum in (hash, key) order.
+def _radix_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column) -> DataFrame:
+    """Per stratum the last row inside a cut after ``size`` rows in (hash, key) order: its hash and key, ``need`` (how
+    many of the rows with that hash and key are inside) and ``copies`` (how many there are).
 
-    Counts per slice of the hash space tell which slice holds the cut, and the rows of that
-    slice alone are ordered to find the last row inside. The flag itself is then a comparison
-    with that row: no row of the table is moved.
+    A radix select: rows are counted by the upper bits of their hash, then those in the bucket with the cut by the
+    next bits, until one hash is left. Only counts are ordered, and no more than there are buckets; the keys of one
+    hash are counted last. Nothing depends on how the rows are dealt.
     """
     by = list(strata)
+    rows, left, cut = df.select(*by, key, mixed_hash(F.col(key), seed).alias("_h")), 32, None
+    before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    for digit in (*DIGITS, 0):
+        left -= digit
+        inside = rows if cut is None else _beside(rows, cut, by, F.shiftright("_h", left + digit) == F.col("_prefix"), "inner")
+        place = F.shiftright("_h", left) if digit else F.col(key)
+        counts = inside.groupBy(*by, place.alias("_place")).agg(F.count(F.lit(1)).alias("_rows"))
+        if cut is None:
+            counts = counts.withColumn("n", F.sum("_rows").over(before)).withColumn("_need", size.cast("bigint")).drop("n")
+        else:
+            counts = _beside(counts, cut, by, F.lit(True), "inner")
+        upto = counts.withColumn("_upto", F.sum("_rows").over(before.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        here = upto.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_rows") < F.col("_need")))
+        need = F.col("_need") - (F.col("_upto") - F.col("_rows"))
+        if digit:
+            cut = settled(here.select(*by, F.col("_place").alias("_prefix"), need.alias("_need")), "cut")
+    return here.select(*by, F.col("_prefix").alias("_last_h"), F.col("_place").alias("_last_key"), need.alias("_need"), F.col("_rows").alias("_copies"))
+
+
+def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column, out: str) -> DataFrame:
+    """Flag the first ``size`` rows of each stratum in (hash, key) order: a comparison with the last row inside, so no
+    row of the table is moved."""
+    by = list(strata)
+    last = settled(_radix_cut(df, strata, key, seed, size), "cut")
     base = df.withColumn("_h", mixed_hash(F.col(key), seed))
-    sliced = base.select(*by, "_h", key, F.floor(F.col("_h") / F.lit(4294967296 // SLICES)).cast("int").alias("_slice"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
-        .withColumn("_size", size.cast("bigint"))
-    )
-    holds_cut = (F.col("_offset") + F.col("_rows") >= F.col("_size")) & (F.col("_offset") < F.col("_size"))
-    cut = counts.where(holds_cut).select(*by, F.col("_slice").alias("_cut"), (F.col("_size") - F.col("_offset")).alias("_need"))
-    # rows are counted per key first, so copies of one key are a single row here
-    edge = _beside(sliced, cut, by, F.col("_slice") == F.col("_cut"), "inner").groupBy(*by, "_h", key).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_need").alias("_need"))
-    up_to = edge.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_h", key)))
-    last = up_to.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_c") < F.col("_need"))).select(
-        *by, F.col("_h").alias("_last_h"), F.col(key).alias("_last_key"))
     inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(key) <= F.col("_last_key")))
     return _beside(base, last, by, F.lit(True), "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
 
 
+def content_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, out: str = "is_train") -> DataFrame:
+    """``exact_split`` for a table without a key: by a hash of all columns, so that the split follows from the rows and
+    the seed alone, however files and parts are cut. Exact where rows repeat, too: of equal rows at the cut as many
+    as are needed stay inside. ``df`` should be stored, since it is read several times."""
+    whole = df.withColumn("_key", F.xxhash64(*df.columns))
+    last = settled(_radix_cut(whole, [], "_key", seed, F.floor(F.col("n") * fraction)), "cut").first()
+    if last is None:  # nothing is inside
+        return df.withColumn(out, F.lit(False))
+    h = mixed_hash(F.col("_key"), seed)
+    at, below = (h == last["_last_h"]) & (F.col("_key") == last["_last_key"]), (h < last["_last_h"]) | ((h == last["_last_h"]) & (F.col("_key") < last["_last_key"]))
+    if last["_need"] == last["_copies"]:
+        return whole.withColumn(out, below | at).drop("_key")
+    edge = places(whole.where(at).withColumn("_row", F.monotonically_increasing_id()), [], ["_row"], "_pos", "_all")
+    return whole.where(~at).withColumn(out, below).drop("_key").unionByName(edge.withColumn(out, F.col("_pos") < last["_need"]).select(*df.columns, out))
+
+
 def _beside(df: DataFrame, small: DataFrame, by: list[str], more: Column, how: str) -> DataFrame:
     """Put the values that ``small`` holds for a stratum beside its rows; without strata there
     is one row of them at most, and they become constants."""

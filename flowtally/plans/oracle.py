@@ -389,3 +389,4 @@ h AS (SELECT q.vec_id, document, source, row_number() OVER (PARTITION BY q.vec_i
 SELECT e.vec_id AS query_id, CASE WHEN count(h.rank) = 0 THEN 'No relevant CVE data found.' END AS answer, coalesce(string_agg(document, '|' ORDER BY rank), '') AS contexts,
   coalesce(array_to_string(list_sort(list_distinct(list(source) FILTER (WHERE source IS NOT NULL))), ','), '') AS sources, count(h.rank) AS context_chunks
 FROM embeddings e LEFT JOIN h ON e.vec_id = h.vec_id GROUP BY e.vec_id"""
+SQL["stream_rolling"] = SQL["rolling_metrics"]

@@ -28,6 +28,7 @@ from flowtally.sources import corpus
 from flowtally.sources.flows import label_stats, union_all
 from flowtally.sources.versions import VersionedTable, merged
 from flowtally.streaming import jobs as streams
+from flowtally.streaming.rolling import rolling_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -854,6 +855,15 @@ def stream_drift(spark, sf):
                     F.substring("window_label", 1, 10).alias("window_label"), "is_closed")
 
 
+@query
+def stream_rolling(spark, sf):
+    """Rolling percentiles, error rate and totals at every request, from state kept by a stream."""
+    events = streams.event_stream(spark, sf, "events.parquet")
+    log = events.select("event_id", F.unix_micros("ts").alias("at"), F.col("event_type").alias("route"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("error"))
+    out = rolling_stream(log, "route", "at", "event_id", "latency_ms", fresh_path(spark, "rolling"), F.col("error") | (F.col("latency_ms") > 100))
+    return rounded(out, 6, "p50_ms", "p95_ms", "p99_ms", "error_rate")
+
+
 @query
 def stream_last_n(spark, sf):
     events = streams.event_stream(spark, sf, "events.parquet")

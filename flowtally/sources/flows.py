@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtally.schema import RAW_FLOW_SCHEMA
@@ -23,19 +23,23 @@ def csv_encodings(spark: SparkSession, folder: str, recursive: bool = False) ->
 def read_flow_csvs(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """All ``*.csv`` files of a folder as one table of 78 numbers and a label, by position.
 
-    The file list (paths only) is fetched to group the files by encoding; the files themselves
-    are read in parallel. An empty folder is an error.
+    One scan, whatever the encodings: files are read as one-byte text, in which every byte has a letter, and each text
+    value is turned back to its bytes. Valid utf-8 is read as such, anything else stays latin-1, value by value. An
+    empty folder is an error; files are not listed.
     """
-    files = csv_encodings(spark, folder, recursive).orderBy("file").collect()
-    if not files:
+    if _text_lines(spark, folder, recursive).limit(1).isEmpty():
         raise FileNotFoundError(f"no CSV files in {folder}")
-    out = None
-    for encoding in sorted({r["encoding"] for r in files}):
-        part = (spark.read.schema(RAW_FLOW_SCHEMA).option("header", True).option("enforceSchema", True)
-                .option("encoding", encoding).option("mode", "PERMISSIVE")
-                .csv([r["file"] for r in files if r["encoding"] == encoding]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = (spark.read.schema(RAW_FLOW_SCHEMA).option("header", True).option("enforceSchema", True)
+            .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE")
+            .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).csv(folder))
+    texts = {f.name: _from_bytes(F.col(f"`{f.name}`")) for f in RAW_FLOW_SCHEMA if f.dataType.simpleString() == "string"}
+    return rows.withColumns(texts)
+
+
+def _from_bytes(one_byte: Column) -> Column:
+    """Text read as latin-1, as utf-8 where its bytes are."""
+    given = F.encode(one_byte, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(given), given).otherwise(one_byte)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowtally.operators.monitor import PERCENTILES, DriftBaseline, histograms, score_bin
-from flowtally.operators.ordered import top_n
+from flowtally.operators.ordered import counted_quantiles, top_n
 from flowtally.sources.versions import VersionedTable
 
 
@@ -65,10 +65,10 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
-def score_stream(events: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+def score_stream(events: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, trigger: dict | None = None) -> DataFrame:
     """Score arriving rows with a fitted transform; each row is scored once."""
     scored = transform(events)
-    run_to_table(scored, path)
+    run_to_table(scored, path, trigger=trigger)
     return _table(events.sparkSession, path, scored.schema)
 
 
@@ -77,18 +77,19 @@ def request_metrics_stream(events: DataFrame, keys: Sequence[str], latency: str,
     """Percentiles, error rate and total per window, and whether it is closed.
 
     The stream keeps counts per (window, key, latency), which spread over all tasks even when
-    one key has most of the traffic; the percentiles are taken from the counts.
+    one key has most of the traffic; the percentiles are taken from the counts by running sums.
     """
     counts = (
         events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), *keys, F.col(latency).alias("latency"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("errors"), F.max(ts).alias("latest"))
         .select(F.col("w.start").alias("window_start"), *keys, "latency", "n", "errors", "latest"))
     closed = run_counts(counts, ["window_start", *keys, "latency"], path, trigger)
-    probs = F.array(*[F.lit(p) for p in PERCENTILES.values()])
-    out = closed.groupBy("window_start", *keys).agg(
-        F.percentile("latency", probs, F.col("n")).alias("_p"), F.sum("n").alias("total_requests"), F.sum("errors").alias("errors"))
+    totals = closed.groupBy("window_start", *keys).agg(F.sum("n").alias("total_requests"), F.sum("errors").alias("errors"))
+    named = [*keys, "window_start"]
+    latencies = counted_quantiles(closed, named, "latency", "n", PERCENTILES)
+    out = totals.join(latencies, named, "left")
     return out.select(
-        "window_start", *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(PERCENTILES)],
+        "window_start", *keys, *PERCENTILES,
         (F.col("errors") / F.greatest("total_requests", F.lit(1))).alias("error_rate"), "total_requests",
         _is_closed(closed, F.col("window_start"), every, late).alias("is_closed"))
 
