@@ -381,12 +381,4 @@ SQL["batch_score_rows"] = "SELECT l_returnflag AS label_str, count(*) AS n, coun
 SQL["tree_sum_rule"] = "SELECT l_returnflag AS label_str, count(*) AS n, count(*) AS n_adding_up FROM lineitem GROUP BY 1"
 SQL["stratified_folds"] = f"""SELECT o_orderstatus, fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM (
   SELECT *, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) - 1) % 5)::INT AS fold FROM orders) GROUP BY 1, 2"""
-SQL["corpus_answers"] = f"""WITH s AS (SELECT doc_id, lang, source, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-c AS (SELECT 'a_' || doc_id || '_chunk0' AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS document, source, embedding FROM s
-  UNION ALL SELECT 'b_' || doc_id || '_chunk0', lang, 'b', embedding FROM s WHERE doc_id < 100),
-h AS (SELECT q.vec_id, document, source, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.id) AS rank
-  FROM embeddings q CROSS JOIN c WHERE q.vec_id % 10 <> 0 QUALIFY rank <= 3)
-SELECT e.vec_id AS query_id, CASE WHEN count(h.rank) = 0 THEN 'No relevant CVE data found.' END AS answer, coalesce(string_agg(document, '|' ORDER BY rank), '') AS contexts,
-  coalesce(array_to_string(list_sort(list_distinct(list(source) FILTER (WHERE source IS NOT NULL))), ','), '') AS sources, count(h.rank) AS context_chunks
-FROM embeddings e LEFT JOIN h ON e.vec_id = h.vec_id GROUP BY e.vec_id"""
 SQL["stream_rolling"] = SQL["rolling_metrics"]

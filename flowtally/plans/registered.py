@@ -720,21 +720,23 @@ def batch_score_rows(spark, sf):
 
 @query
 def corpus_answers(spark, sf):
-    """Two sources loaded in turn, some records twice, then questions on the chunk table."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = table(spark, sf, "documents").join(e, "doc_id")
-
-    def chunks(prefix, document, source, rows):
-        record = F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
-        return rows.select(F.concat(record, F.lit("_chunk0")).alias("id"), document.alias("document"), source.alias("cve_id"), "embedding", record.alias("record"))
-
-    store = VersionedTable(spark, fresh_path(spark, "chunks"))
-    store.upsert(chunks("a_", F.col("source"), F.col("source"), d), replace_by="record")
-    store.upsert(chunks("b_", F.col("lang"), F.lit("b"), d.where("doc_id < 100")), replace_by="record")
-    store.upsert(chunks("a_", F.col("lang"), F.col("source"), d.where("doc_id % 2 = 0")), replace_by="record")
-    asked = e.select(F.col("doc_id").alias("id"), F.lit("?").alias("question"), F.when(F.col("doc_id") % 10 != 0, F.col("embedding")).alias("embedding"))
-    a = retrieval.answer_records(asked, retrieval.retrieve(asked, store.read(), 3))
-    return a.select("query_id", "answer", F.array_join("contexts", "|").alias("contexts"), F.array_join("sources", ",").alias("sources"), "context_chunks")
+    """Ingest, embed, retrieve: all documents and all benchmark passages loaded as two sources, documents that have a
+    label loaded once more in small letters, then every passage asked of the chunk table."""
+    d, passages = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+
+    def records(rows, name, text, source):
+        return rows.select(name.alias("cve_id"), F.lit(0).alias("item_no"), text.alias("text"), F.lit(0.0).alias("score"), F.lit(corpus.UNKNOWN).alias("severity"),
+                           F.array().cast("array<string>").alias("cwes"), F.lit("").alias("attack_type"), F.lit(source).alias("source"))
+
+    first = corpus.corpus_chunks(records(d, F.concat(F.lit("doc_"), "doc_id"), F.col("text"), "documents"))
+    second = corpus.corpus_chunks(records(passages, F.concat(F.lit("item_"), "item_id"), F.col("text"), "benchmark"))
+    again = corpus.corpus_chunks(records(d.join(table(spark, sf, "labels").select("doc_id"), "doc_id"), F.concat(F.lit("doc_"), "doc_id"), F.lower("text"), "documents"))
+    embedder = retrieval.HashedTfIdf.fit(first.unionByName(second), "document")
+    path = fresh_path(spark, "chunks")
+    for chunks in (first, second, again):
+        jobs.load_chunks(spark, chunks, path, embedder)
+    a = jobs.answer(passages.select(F.col("item_id").alias("id"), F.col("text").alias("question")), VersionedTable(spark, path).read(), embedder, 3)
+    return a.select("query_id", "answer", F.transform("contexts", F.md5).alias("contexts_md5"), F.array_join("sources", ",").alias("sources"), "context_chunks")
 
 
 @query

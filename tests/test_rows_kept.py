@@ -1,6 +1,7 @@
 """Rows that an earlier form lost: gaps in features, equal ids of two sources, questions without a vector."""
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,65 @@ def test_model_queries_take_every_row(spark):
     assert sum(r["n"] for r in registered.pca_anomaly(spark, sf).collect()) == n
     rows, _ = registered._forest(spark, sf)
     assert rows.count() == n
+
+
+def test_corpus_answers_over_whole_texts(spark, tmp_path):
+    """The query on a small folder, next to chunks, vectors and nearest passages worked out by hand."""
+    import re
+    from collections import Counter
+
+    from flowtally.plans.registered import all_queries
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(40, 400))).replace("w1", "W1") for i in range(12)}
+    items = {i: " ".join(rng.choice(words, 30)) for i in range(5)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i,) for i in (1, 4, 7)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.query_id: r for r in all_queries()["corpus_answers"](spark, str(tmp_path)).collect()}
+
+    def chunks(rows, text):
+        from flowtally.functions.text import explode_chunks
+        return explode_chunks(spark.createDataFrame(rows, "id string, text string"), "text", "id").select("id", "document").collect()
+
+    fitted = [r.document for r in chunks([(f"d{i}", t) for i, t in texts.items()] + [(f"i{i}", t) for i, t in items.items()], "text")]
+    held = chunks([(f"doc_{i}_documents_0", t.lower() if i in (1, 4, 7) else t) for i, t in texts.items()] + [(f"item_{i}_benchmark_0", t) for i, t in items.items()], "text")
+    from pyspark.ml.feature import HashingTF
+    place = HashingTF(numFeatures=384)
+    split = [re.findall(r"\w+", t.lower()) for t in fitted]
+    df = Counter(place.indexOf(w) for t in split for w in {x: x for x in t})
+    seen = Counter()
+    for t in split:
+        seen.update({place.indexOf(w) for w in t})
+
+    def vector(text):
+        v = np.zeros(384)
+        for w in re.findall(r"\w+", text.lower()):
+            v[place.indexOf(w)] += 1
+        v *= np.array([np.log((len(fitted) + 1) / (seen[j] + 1)) for j in range(384)])
+        return v / np.linalg.norm(v)
+
+    import hashlib
+    stored = [(r.id, vector(r.document), r.document) for r in held]
+    for i, t in items.items():
+        q = vector(t)
+        order = sorted(stored, key=lambda s: (round(float(((s[1] - q) ** 2).sum()), 6), s[0]))[:3]
+        assert got[i].contexts_md5 == [hashlib.md5(s[2].encode()).hexdigest() for s in order]
+        assert got[i].context_chunks == 3 and got[i].answer is None and "item_" in got[i].sources
+
+
+def test_last_record_of_a_batch_wins(spark, tmp_path):
+    import json
+
+    from flowtally.plans import jobs
+    from flowtally.sources.versions import VersionedTable
+
+    def page(*records):
+        return json.dumps({"vulnerabilities": [{"cve": {"id": i, "published": p, "descriptions": [{"lang": "en", "value": t}]}} for i, p, t in records]})
+
+    (tmp_path / "p0.json").write_text(page(("CVE-1", "2024-01-01", "old " * 300), ("CVE-2", "2024-01-01", "first"), ("CVE-2", "2024-01-01", "second")))
+    (tmp_path / "p1.json").write_text(page(("CVE-1", "2024-01-01", "new"), ("CVE-3", "2023-01-01", "later page, older")))
+    (tmp_path / "p2.json").write_text(page(("CVE-3", "2022-01-01", "oldest")))
+    jobs.build_feed(spark, str(tmp_path), str(tmp_path / "table"))
+    found = {r.cve_id: r.document for r in VersionedTable(spark, str(tmp_path / "table")).read().collect()}
+    assert len(found) == 3 and "new" in found["CVE-1"] and "second" in found["CVE-2"] and "later page" in found["CVE-3"]
