@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -147,6 +148,26 @@ class _Blocks(HTMLParser):
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section of a name that the parser doesn't know is a comment up to the next angle bracket."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
+
+_TAG = re.compile(r"<[A-Za-z/!?]")
+
+
+def _closed(html: str) -> str:
+    """The page without a comment or tag at its end that never closes, as browsers read it: no text comes after one,
+    and the parser need not look for its end again and again."""
+    comment = html.find("<!--", html.rfind("-->") + 1)
+    if comment >= 0:
+        html = html[:comment]
+    tag = _TAG.search(html, html.rfind(">") + 1)
+    return html[:tag.start()] if tag else html
+
 
 def _smooth(values: list[float]) -> list[float]:
     left, mid, right = KERNEL
@@ -203,7 +224,7 @@ def _left_out(reader: _Blocks) -> set[int]:
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order, white space as single blanks."""
     reader = _Blocks()
-    reader.feed(html)
+    reader.feed(_closed(html))
     reader.close()
     for out in (_left_out(reader), set()):  # a page of nothing but small parts named aside is read by its elements alone
         blocks, texts, linked = [], [], []

@@ -77,3 +77,18 @@ def test_what_is_named_aside_beside_an_article_goes(html):
 def test_parts_of_one_name_that_make_up_the_page():
     parts = "".join(f"<div class='page-widget widget-{k}'><p>{LONG}</p></div>" for k in "abc")
     assert " ".join(main_blocks(f"<div><p>Site title</p></div><div>{parts}</div>")).endswith(" ".join([LONG] * 3))
+
+
+@pytest.mark.parametrize("broken", ["<![foo[bar]]>", "<![ x", "<![ x>", "<![if !IE]>", "<![cdata[ y ]]>", "<!", "<!-- never closed", "<a href='x", "</", "<![endif"])
+def test_markup_that_the_parser_refuses(broken):
+    body = "<article><p>One sentence, of some length, to be kept here.</p></article>"
+    assert main_blocks(body + broken)[:1] == ["One sentence, of some length, to be kept here."]
+    assert main_blocks(body.replace("<p>", "<p>" + broken + "> <p>")) or broken.startswith("<!--")  # an open comment takes all behind it
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", "</a ", "<![ x", "<!-- > ", "<"])
+def test_long_unclosed_markup_ends(piece):
+    import time
+    t0 = time.perf_counter()
+    found = main_blocks("<article><p>One sentence, of some length, to be kept here.</p></article>" + piece * (200_000 // len(piece)))
+    assert found[:1] == ["One sentence, of some length, to be kept here."] and time.perf_counter() - t0 < 5
