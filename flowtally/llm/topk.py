@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from flowtally.session import fresh_path, settled
 
-#: Queries that go to the tasks at once, and the longest vectors that set their first thresholds.
+#: Queries that are multiplied at once, numbers of queries that go to the tasks in one job, and the longest vectors that
+#: set first thresholds.
 QUERY_BLOCK = 1024
+SENT_NUMBERS = 1 << 22
 HEAD_ROWS = 2048
+#: Share of a tile's pairs that must outlive the first bound for the tile to be multiplied whole.
+DENSE = 1 / 16
 #: Vectors that a task multiplies at once, and pairs whose exact product it forms at once.
 TILE = 1024
 PAIRS = 1 << 15
@@ -120,7 +124,11 @@ class _Search:
         s = self.steps[0]
         rest = np.sqrt((turned[:, s:] ** 2).sum(1))
         bound = self.turned[alive, :s] @ turned[:, :s].T + np.outer(self.rest[0][alive], rest)
-        a, xi = np.nonzero(bound >= (self.floor - slack)[alive, None])
+        open_ = bound >= (self.floor - slack)[alive, None]
+        if np.count_nonzero(open_) > DENSE * open_.size and np.abs(self.q).max(initial=0.0) * np.abs(x).max(initial=0.0) * x.shape[1] < EXACT:
+            self._whole(alive, open_, ids, x)
+            return
+        a, xi = np.nonzero(open_)
         qi = alive[a]
         own = self.qid[qi] != ids[xi]
         qi, xi = qi[own], xi[own]
@@ -132,7 +140,25 @@ class _Search:
                 keep[b:b + PAIRS] = np.einsum("ij,ij->i", self.turned[u, :s], turned[w, :s]) + self.rest[n][u] * rest[w] >= (self.floor - slack)[u]
             qi, xi = qi[keep], xi[keep]
         score = np.concatenate([_exact(self.q[qi[b:b + PAIRS]], x[xi[b:b + PAIRS]]) for b in range(0, len(qi), PAIRS)] or [np.zeros(0, np.int64)])
-        self.found = _best(np.concatenate([self.found[0], qi]), np.concatenate([self.found[1], ids[xi]]), np.concatenate([self.found[2], score]), self.k)
+        self._keep(qi, ids[xi], score)
+
+    def _whole(self, alive: np.ndarray, open_: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """All products of a tile at once, exact in doubles; only those that reach the threshold go on."""
+        score = self.q[alive] @ x.T
+        open_ &= self.qid[alive][:, None] != ids[None, :]
+        need = self.floor[alive]
+        if len(ids) > self.k and len(np.unique(ids)) == len(ids):  # no id counts twice, so the tile's own k-th is a threshold
+            score[~open_] = -np.inf
+            need = np.maximum(need, np.partition(score, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        a, xi = np.nonzero(open_ & (score >= need[:, None]))
+        self._keep(alive[a], ids[xi], score[a, xi].astype(np.int64))
+
+    def _keep(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        high = score >= self.floor[qi]
+        if not high.any():
+            return
+        qi, ids, score = qi[high], ids[high], score[high]
+        self.found = _best(np.concatenate([self.found[0], qi]), np.concatenate([self.found[1], ids]), np.concatenate([self.found[2], score]), self.k)
         q, _, score = self.found
         last = np.flatnonzero(np.diff(np.append(q, -1)) != 0)
         full = last[np.bincount(q, minlength=len(self.q))[q[last]] >= self.k] if len(q) else last
@@ -144,10 +170,10 @@ def top_k(vectors: DataFrame, is_query, id_col: str, vector_col: str, k: int = 5
     other ids, ties to smaller ids; fewer where there are fewer rows.
 
     ``is_query``: condition on ``id``. Vectors lie in a table sorted by falling length, in even ranges. The
-    queries come in blocks of bounded size; the longest vectors give each query a first threshold, then every
-    task goes through its tiles: a tile that is too short for a query is skipped, partial sums along the
-    strongest axes plus the product of the residual lengths bound the rest, and only pairs whose bound reaches
-    the threshold are multiplied in whole numbers. Short vectors are filled with zeros. An id given more than
+    longest vectors give each query a first threshold. Then every task goes through its tiles, for many blocks of
+    queries in one job: a tile that is too short for a query is skipped, partial sums along the strongest axes plus
+    the product of the residual lengths bound the rest, and only pairs whose bound reaches the threshold are
+    multiplied in whole numbers, tile by tile where many are left. Short vectors are filled with zeros. An id given more than
     once takes part with all its rows, and the best score of two ids counts. Scores beyond a long stop at its
     ends. An empty table, or one without usable vectors, gives no rows.
     """
@@ -164,34 +190,47 @@ def top_k(vectors: DataFrame, is_query, id_col: str, vector_col: str, k: int = 5
     head = rows.orderBy(F.desc("norm"), "id").limit(HEAD_ROWS).toArrow()
     head_ids, head_x, head_norms = head["id"].to_numpy(), _matrix(head["v"], size), head["norm"].to_numpy()
 
-    queries = rows.where(is_query).select("id", "v").distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = settled(queries.withColumn("block", F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int")), "queries")
+    heads = spark.sparkContext.broadcast((head_ids, head_x, head_norms, axes))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's k-th best among the longest vectors."""
+        ids, x, norms, turn = heads.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                search = _Search(part.column(0).to_numpy(), _matrix(part.column(1), size), turn, k)
+                for a in range(0, len(ids), TILE):
+                    search.add(ids[a:a + TILE], x[a:a + TILE], norms[a:a + TILE])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(search.floor)], ["id", "v", "floor"])
+
+    asked = settled(rows.where(is_query).select("id", "v").distinct().mapInArrow(first, "id long, v array<double>, floor double"), "queries")
+    jobs = max(1, -(-asked.count() * size // SENT_NUMBERS))
+    asked = asked.withColumn("job", F.pmod(F.xxhash64("v", "id"), F.lit(jobs)).cast("int"))
     out = fresh_path(spark, "topk")
-    for n in range(blocks):
-        block = queries.where(F.col("block") == n).toArrow()
-        if not block.num_rows:
+    spark.createDataFrame([], schema).write.parquet(out)
+    for n in range(jobs):
+        some = asked.where(F.col("job") == n).toArrow()
+        if not some.num_rows:
             continue
-        search = _Search(block["id"].to_numpy(), _matrix(block["v"], size), axes, k)
-        for a in range(0, len(head_ids), TILE):
-            search.add(head_ids[a:a + TILE], head_x[a:a + TILE], head_norms[a:a + TILE])
-        sent = spark.sparkContext.broadcast((search.qid, search.q, axes, search.floor))
+        sent = spark.sparkContext.broadcast((some["id"].to_numpy(), _matrix(some["v"], size), some["floor"].to_numpy(), axes))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q, turn, floor = sent.value
-            own = _Search(qid, q, turn, k, floor)
+            qid, q, floor, turn = sent.value
+            each = [_Search(qid[a:a + QUERY_BLOCK], q[a:a + QUERY_BLOCK], turn, k, floor[a:a + QUERY_BLOCK]) for a in range(0, len(qid), QUERY_BLOCK)]
             for b in batches:
                 ids, x, norms = b.column(0).to_numpy(), _matrix(b.column(1), size), b.column(2).to_numpy()
                 for a in range(0, len(ids), TILE):
-                    own.add(ids[a:a + TILE], x[a:a + TILE], norms[a:a + TILE])
-            at, ids, score = own.found
-            yield pa.RecordBatch.from_arrays([pa.array(qid[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+                    for own in each:
+                        own.add(ids[a:a + TILE], x[a:a + TILE], norms[a:a + TILE])
+            for own in each:
+                at, ids, score = own.found
+                yield pa.RecordBatch.from_arrays([pa.array(own.qid[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
         (rows.select("id", "v", "norm").mapInArrow(scan, schema)
          .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
          .write.mode("append").parquet(out))
         sent.unpersist()
-    found = spark.read.schema(schema).parquet(out) if queries.count() else empty
+    found = spark.read.schema(schema).parquet(out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -33,11 +33,15 @@ def found(spark, rows, k=5, tile=None, monkeypatch=None):
 def test_brute_force_with_ties_repeats_and_unusable_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "HEAD_ROWS", 7)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(topk, "SENT_NUMBERS", 120)
+    monkeypatch.setattr(topk, "TILE", 37)
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) * (1 + i % 7) for _ in range(6)]) for i in range(160)]
     rows += [(i, [0.5, 0.25, 0.0, 0.0, 0.0, -1.0]) for i in range(200, 230)]  # one very common vector: ties
     rows += [rows[3], rows[5], (5, [3.0] * 6), (7, [1.0] * 4), (300, None), (301, []), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (None, [1.0] * 6)]
-    assert found(spark, rows) == brute(rows, 5)
+    for dense in (0.0, 1 / 16, 1.0):  # all tiles whole, some, none
+        monkeypatch.setattr(topk, "DENSE", dense)
+        assert found(spark, rows) == brute(rows, 5)
 
 
 def test_few_rows_and_none(spark):
