@@ -382,3 +382,4 @@ SQL["tree_sum_rule"] = "SELECT l_returnflag AS label_str, count(*) AS n, count(*
 SQL["stratified_folds"] = f"""SELECT o_orderstatus, fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM (
   SELECT *, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) - 1) % 5)::INT AS fold FROM orders) GROUP BY 1, 2"""
 SQL["stream_rolling"] = SQL["rolling_metrics"]
+SQL["score_table_rows"] = SQL["batch_score_rows"]

@@ -20,6 +20,7 @@ from flowtally.operators.ordered import exact_quantiles
 from flowtally.operators.sized import spread
 from flowtally.operators.textclf import labelled_texts, train_text_classifier
 from flowtally.plans import jobs
+from flowtally.plans.table_functions import score_table
 from flowtally.plans.views import (NUMERIC, documents, flows, neighbours_of, raw_labels, requests as request_log, scored, table,
                                    vulnerabilities)
 from flowtally.schema import ENGINEERED
@@ -718,6 +719,15 @@ def batch_score_rows(spark, sf):
     return out.groupBy("label_str").agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_scored"))
 
 
+@query
+def score_table_rows(spark, sf):
+    """Every row scored by the SQL function ``score_flows`` over a whole table."""
+    rows, model, detector = _fitted(spark, sf)
+    out = score_table(spark, rows.drop("label"), model, detector)
+    sound = F.col("confidence").between(0, 1) & F.col("anomaly_score").between(0, 1) & F.col("is_anomaly").isNotNull() & F.col("prediction").isNotNull()
+    return out.groupBy("label_str").agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_scored"))
+
+
 @query
 def corpus_answers(spark, sf):
     """Ingest, embed, retrieve: all documents and all benchmark passages loaded as two sources, documents that have a
