@@ -26,6 +26,7 @@ from flowtally.plans.views import (NUMERIC, documents, flows, neighbours_of, raw
 from flowtally.schema import ENGINEERED
 from flowtally.session import fresh_path, settled
 from flowtally.sources import corpus
+from flowtally.sources.feed import land_pages, read_feed
 from flowtally.sources.flows import label_stats, union_all
 from flowtally.sources.versions import VersionedTable, merged
 from flowtally.streaming import jobs as streams
@@ -471,7 +472,11 @@ def prediction_tally(spark, sf):
 
 @query
 def cve_extract(spark, sf):
-    r = corpus.vulnerability_records(vulnerabilities(spark, sf))
+    """Documents landed as feed pages of a thousand ids each, read back through the feed source."""
+    folder = fresh_path(spark, "pages")
+    rows = vulnerabilities(spark, sf, keep=("doc_id",))
+    land_pages(rows, F.floor(F.col("doc_id") / 1000), folder)
+    r = corpus.vulnerability_records(read_feed(spark, folder, suffixes=".txt"))
     return r.select("cve_id", F.md5("text").alias("text_md5"), big(F.length("text")).alias("n_chars"), "score", "severity",
                     F.to_json("cwes").alias("cwes"), "published", F.date_format("published_date", "yyyy-MM-dd").alias("published_date"))
 

@@ -79,8 +79,8 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", label.alias("label"))
 
 
-def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as nested vulnerability records with the gaps that real records have."""
+def vulnerabilities(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as nested vulnerability records with the gaps that real records have, beside the columns ``keep``."""
     i = F.col("doc_id")
 
     def metric(score: Column, severity: Column) -> Column:
@@ -97,6 +97,7 @@ def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     first = F.concat(F.lit("CWE-"), F.pmod(i, F.lit(130)).cast("string"))
     return documents(spark, sf_dir).select(
+        *keep,
         F.struct(
             F.when(i % 50 != 0, F.concat(F.lit("CVE-"), (2020 + i % 5).cast("string"), F.lit("-"), (1000 + i).cast("string"))).alias("id"),
             F.array(entry("xx", F.lit("other")), F.struct(F.when(i % 9 == 0, "es").otherwise("en").alias("lang"), F.col("text").alias("value"))).alias("descriptions"),
