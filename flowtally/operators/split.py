@@ -145,6 +145,23 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str
     return df.withColumn(out, F.pmod(F.floor(mixed_hash(F.col(key), seed) / 1024), F.lit(folds)).cast("int"))
 
 
-def cap_per_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """First ``n`` rows of each group in key order (a report size, applied before other filters)."""
-    return top_n(df, [group], [F.col(key).asc(), F.xxhash64(*df.columns)], n, F.xxhash64(*df.columns), out="rank")
+def cap_per_group(df: DataFrame, group: str, key: str, n: int, out: str = "rank") -> DataFrame:
+    """First ``n`` rows of each group in key order, ranked (a report size, applied before other filters); equal keys go
+    by a hash of the row.
+
+    Only groups, keys and hashes are ranked; a row then finds its rank by these three. Of rows that agree in all
+    columns, as many as the cap has left.
+    """
+    narrow = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.xxhash64(*df.columns).alias("_h"))
+    copies = narrow.groupBy("_g", "_k", "_h").agg(F.count(F.lit(1)).alias("_copies"))
+    first = top_n(copies, ["_g"], [F.col("_k").asc(), F.col("_h")], n, F.struct("_k", "_h"), out="_place")
+    before = Window.partitionBy("_g").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)  # n rows of a group at most
+    kept = settled(first.withColumn("_before", F.coalesce(F.sum("_copies").over(before), F.lit(0))).where(F.col("_before") < n), "capped")
+    side, _ = small_side(kept.drop("_place"))
+    found = df.withColumn("_own", F.xxhash64(*df.columns)).join(
+        side, F.col(group).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h")))
+    alone = found.where("_copies = 1").withColumn(out, (F.col("_before") + 1).cast("int"))
+    # copies of one row: one of them with all its ranks, no more than the cap has left
+    again = found.where("_copies > 1").dropDuplicates(["_g", "_k", "_h"]).withColumn(
+        out, F.explode(F.sequence((F.col("_before") + 1).cast("int"), F.least(F.col("_before") + F.col("_copies"), F.lit(n)).cast("int"))))
+    return alone.select(*df.columns, out).unionByName(again.select(*df.columns, out))

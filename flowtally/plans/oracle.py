@@ -383,3 +383,4 @@ SQL["stratified_folds"] = f"""SELECT o_orderstatus, fold, count(*) AS n, sum(o_o
   SELECT *, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) - 1) % 5)::INT AS fold FROM orders) GROUP BY 1, 2"""
 SQL["stream_rolling"] = SQL["rolling_metrics"]
 SQL["score_table_rows"] = SQL["batch_score_rows"]
+SQL["softmax_rows"] = SQL["batch_score_rows"]

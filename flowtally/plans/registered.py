@@ -18,6 +18,7 @@ from flowtally.operators.attribution import sum_rule_gap, top_attributions, top_
 from flowtally.operators.ensemble import (TreeSettings, fit_soft_vote, forest_importance, importance_comparison)
 from flowtally.operators.ordered import exact_quantiles
 from flowtally.operators.sized import spread
+from flowtally.operators.softmax import SoftmaxSettings, fit_softmax
 from flowtally.operators.textclf import labelled_texts, train_text_classifier
 from flowtally.plans import jobs
 from flowtally.plans.table_functions import score_table
@@ -699,6 +700,16 @@ def model_report(spark, sf):
     return evaluate.classification_report(model.transform(parts.where("not is_train")), classes=model.classes)
 
 
+@query
+def softmax_rows(spark, sf):
+    """One boosted model for all classes: every row gets shares that sum to 1, gaps or not."""
+    rows = _train(spark, sf)
+    model = fit_softmax(rows, _MODEL_NAMES, "label", SoftmaxSettings(rounds=3, depth=3, rate=0.3))
+    out = model.transform(rows)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
+    return out.groupBy("label_str").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(total - 1) < 1e-9) & F.col("prediction").isNotNull()).alias("n_scored"))
+
+
 def _fitted(spark, sf):
     rows = _train(spark, sf)
     model = fit_soft_vote(rows, _MODEL_NAMES, "label", _SMALL)

@@ -80,3 +80,11 @@ def test_quantiles_of_counts(spark):
     named = {"low": 0.0, "half": 0.5, "most": 0.95, "all": 1.0}
     for r in counted_quantiles(counts, ["g"], "v", "n", named, 13).collect():
         assert [r[n] for n in named] == pytest.approx(np.quantile(pdf[pdf.g == r.g].v, list(named.values())), abs=1e-9)
+
+
+def test_caps_rank_keys_only_and_count_copies(spark):
+    rows = [("a", i // 3, "x" * 50) for i in range(30)] + [("b", 7, "same")] * 9 + [(None, None, None)] * 4 + [("c", 1, "one")]
+    df = spark.createDataFrame(rows, "g string, k int, text string").repartition(5)
+    got = split.cap_per_group(df, "g", "k", 5).collect()
+    assert sorted((r.g, r.k, r["rank"]) for r in got if r.g) == [("a", 0, 1), ("a", 0, 2), ("a", 0, 3), ("a", 1, 4), ("a", 1, 5), *[("b", 7, i) for i in range(1, 6)], ("c", 1, 1)]
+    assert sorted(r["rank"] for r in got if r.g is None) == [1, 2, 3, 4]
