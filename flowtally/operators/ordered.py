@@ -140,7 +140,7 @@ def counted_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str
     """Exact quantiles per group, one column each, from rows (keys, value, n) that say how often a value comes; no task
     holds the values of a group."""
     base, by = _keyed(_usable(counts, keys, value), keys)
-    told = running_sums(base.groupBy(*by, value).agg(F.sum(n).alias("_n")), by, [value], {"_n": "_n"}, parts)
+    told = running_sums(base.select(*by, value, F.col(n).alias("_n")), by, [value], {"_n": "_n"}, parts)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_n_below")) & (rank < F.col("_n_below") + F.col("_n")), F.col(value).cast("double")))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions.numeric import mixed_hash
@@ -20,7 +20,7 @@ SLICES = 65_536
 DIGITS = (16, 16)
 
 
-def _radix_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column) -> DataFrame:
+def _radix_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column) -> Pinned:
     """Per stratum the last row inside a cut after ``size`` rows in (hash, key) order: its hash and key, ``need`` (how
     many of the rows with that hash and key are inside) and ``copies`` (how many there are).
 
@@ -35,24 +35,32 @@ def _radix_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size:
         left -= digit
         inside = rows if cut is None else _beside(rows, cut, by, F.shiftright("_h", left + digit) == F.col("_prefix"), "inner")
         place = F.shiftright("_h", left) if digit else F.col(key)
-        counts = inside.groupBy(*by, place.alias("_place")).agg(F.count(F.lit(1)).alias("_rows"))
+        held = [] if cut is None else ["_need", "_prefix"]  # one value for a stratum
+        counts = inside.groupBy(*by, place.alias("_place")).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in held])
         if cut is None:
             counts = counts.withColumn("n", F.sum("_rows").over(before)).withColumn("_need", size.cast("bigint")).drop("n")
-        else:
-            counts = _beside(counts, cut, by, F.lit(True), "inner")
         upto = counts.withColumn("_upto", F.sum("_rows").over(before.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         here = upto.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_rows") < F.col("_need")))
         need = F.col("_need") - (F.col("_upto") - F.col("_rows"))
         if digit:
-            cut = settled(here.select(*by, F.col("_place").alias("_prefix"), need.alias("_need")), "cut")
-    return here.select(*by, F.col("_prefix").alias("_last_h"), F.col("_place").alias("_last_key"), need.alias("_need"), F.col("_rows").alias("_copies"))
+            cut = _pinned(here.select(*by, F.col("_place").alias("_prefix"), need.alias("_need")))
+    return _pinned(here.select(*by, F.col("_prefix").alias("_last_h"), F.col("_place").alias("_last_key"), need.alias("_need"), F.col("_rows").alias("_copies")))
+
+
+Pinned = tuple[DataFrame, list[Row] | None]
+
+
+def _pinned(small: DataFrame) -> Pinned:
+    """A row per stratum: fetched once if they are few, written if they are many."""
+    side, rows = small_side(small)
+    return (settled(small, "cut"), None) if rows is None else (side, rows)
 
 
 def _exact_cut(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: Column, out: str) -> DataFrame:
     """Flag the first ``size`` rows of each stratum in (hash, key) order: a comparison with the last row inside, so no
     row of the table is moved."""
     by = list(strata)
-    last = settled(_radix_cut(df, strata, key, seed, size), "cut")
+    last = _radix_cut(df, strata, key, seed, size)
     base = df.withColumn("_h", mixed_hash(F.col(key), seed))
     inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(key) <= F.col("_last_key")))
     return _beside(base, last, by, F.lit(True), "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
@@ -63,9 +71,10 @@ def content_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, out: str
     the seed alone, however files and parts are cut. Exact where rows repeat, too: of equal rows at the cut as many
     as are needed stay inside. ``df`` should be stored, since it is read several times."""
     whole = df.withColumn("_key", F.xxhash64(*df.columns))
-    last = settled(_radix_cut(whole, [], "_key", seed, F.floor(F.col("n") * fraction)), "cut").first()
-    if last is None:  # nothing is inside
+    _, found = _radix_cut(whole, [], "_key", seed, F.floor(F.col("n") * fraction))
+    if not found:  # nothing is inside
         return df.withColumn(out, F.lit(False))
+    last = found[0]
     h = mixed_hash(F.col("_key"), seed)
     at, below = (h == last["_last_h"]) & (F.col("_key") == last["_last_key"]), (h < last["_last_h"]) | ((h == last["_last_h"]) & (F.col("_key") < last["_last_key"]))
     if last["_need"] == last["_copies"]:
@@ -74,13 +83,13 @@ def content_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, out: str
     return whole.where(~at).withColumn(out, below).drop("_key").unionByName(edge.withColumn(out, F.col("_pos") < last["_need"]).select(*df.columns, out))
 
 
-def _beside(df: DataFrame, small: DataFrame, by: list[str], more: Column, how: str) -> DataFrame:
+def _beside(df: DataFrame, small: Pinned, by: list[str], more: Column, how: str) -> DataFrame:
     """Put the values that ``small`` holds for a stratum beside its rows; without strata there
     is one row of them at most, and they become constants."""
-    side, rows = small_side(small)
-    values = [c for c in small.columns if c not in by]
+    side, rows = small
+    values = [c for c in side.columns if c not in by]
     if not by:
-        types = dict(small.dtypes)
+        types = dict(side.dtypes)
         held = rows[0].asDict() if rows else dict.fromkeys(values)
         wide = df.withColumns({c: F.lit(held[c]).cast(types[c]) for c in values})
         return wide.where(more) if how == "inner" else wide
