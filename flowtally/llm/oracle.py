@@ -84,7 +84,9 @@ w AS (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'
 l AS (SELECT doc_id, p, len(ws) AS words, array_to_string(ws, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY p) AS upto
       FROM w WHERE len(ws) > 0),
 f AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 19 AND b.upto - a.upto + a.words >= 20 GROUP BY ALL),
-x AS (SELECT f.doc_id, s, e, string_agg(norm, chr(10) ORDER BY i) AS run FROM f JOIN l ON l.doc_id = f.doc_id AND l.i BETWEEN s AND e GROUP BY ALL),
+g AS (SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - 19 AND b.i AND b.upto - a.upto + a.words >= 20 GROUP BY ALL),
+u AS (SELECT doc_id, s, e FROM f UNION SELECT doc_id, s, e FROM g),
+x AS (SELECT u.doc_id, s, e, string_agg(norm, chr(10) ORDER BY i) AS run FROM u JOIN l ON l.doc_id = u.doc_id AND l.i BETWEEN s AND e GROUP BY ALL),
 y AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
 z AS (SELECT DISTINCT l.doc_id, l.p FROM y JOIN l ON l.doc_id = y.doc_id AND l.i BETWEEN s AND e),
 o AS (SELECT w.doc_id, string_agg(piece, '' ORDER BY w.p) FILTER (WHERE z.p IS NULL) AS clean, count(*) FILTER (WHERE len(ws) > 0) AS n, count(z.p) AS gone

@@ -64,7 +64,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return spans.dedup_spans(table(spark, sf_dir, "documents"), both_ends=True)
 
 
 #: The rules that the contract of op10 names: host, path, verdict.
