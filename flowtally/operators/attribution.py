@@ -64,28 +64,36 @@ def _ready(sent: dict) -> list[tuple[int, dict]]:
     return sent["ready"]
 
 
-def _with_signed(df: DataFrame, per_class: list[list[Tree]], n_features: int, out: str) -> DataFrame:
-    """Add the signed attributions of all classes, one after the other, to rows with ``_scaled``."""
+def _signed(batch: pa.RecordBatch, sent: dict, before: str | None, classes: int, n_features: int) -> np.ndarray:
+    """Signed attributions (classes, features, rows) of a batch with ``_scaled``, added to those of earlier parts."""
+    n = batch.num_rows
+    x = np.ascontiguousarray(batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T)
+    phi = np.zeros((classes, n_features, n))
+    if before is not None:
+        phi += batch.column(before).flatten().to_numpy(zero_copy_only=False).reshape(n, classes, n_features).transpose(1, 2, 0)
+    for at, tree in _ready(sent):
+        add_attributions(tree, x, phi[at])
+    return phi
+
+
+def _with_signed(df: DataFrame, parts: list, classes: int, n_features: int, out: str) -> DataFrame:
+    """Add the signed attributions of all classes, one after the other, to rows with ``_scaled``: a pass for each part
+    of the trees."""
     kinds = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    classes = len(per_class)
 
-    def adder(sent, first: bool):
+    def adder(sent, before: str | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.ascontiguousarray(batch.column("_scaled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).T)
-                phi = np.zeros((classes, n_features, batch.num_rows)) if first else np.ascontiguousarray(batch.column(out).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, classes, n_features).transpose(1, 2, 0))
-                for at, tree in _ready(sent.value):
-                    add_attributions(tree, x, phi[at])
-                flat = pa.array(np.ascontiguousarray(phi.transpose(2, 0, 1)).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, classes * n_features, dtype="int32")), flat)
-                kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != out]
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=kinds.names)
+                if batch.num_rows:
+                    phi = _signed(batch, sent.value, before, classes, n_features)
+                    flat = pa.array(np.ascontiguousarray(phi.transpose(2, 0, 1)).ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, classes * n_features, dtype="int32")), flat)
+                    kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != out]
+                    yield pa.RecordBatch.from_arrays([*kept, lists], names=kinds.names)
         return run
 
-    for i, part in enumerate(_parts(per_class)):
-        df = df.mapInArrow(adder(df.sparkSession.sparkContext.broadcast({"trees": part}), i == 0), kinds)
+    for i, part in enumerate(parts):
+        df = df.mapInArrow(adder(df.sparkSession.sparkContext.broadcast({"trees": part}), out if i else None), kinds)
     return df
 
 
@@ -96,7 +104,7 @@ def signed_attributions(model: SoftVoteModel, df: DataFrame, out: str = "attribu
     per_class = [export_trees(df.sparkSession, m) for m in model.boosted]
     ready = model.prepare(df).select(*df.columns, vector_to_array("features").alias("_scaled"))
     means = [margins_mean([path_tree(nodes, weight) for weight, nodes in trees]) for trees in per_class]
-    wide = _with_signed(ready, per_class, len(names), "_phi")
+    wide = _with_signed(ready, _parts(per_class), len(per_class), len(names), "_phi")
     rows = F.transform(F.sequence(F.lit(0), F.lit(len(per_class) - 1)), lambda c: F.slice("_phi", c * len(names) + 1, len(names)))
     return wide.select(*df.columns, rows.alias(out), F.array(*[F.lit(float(m)) for m in means]).alias(base))
 
@@ -120,7 +128,9 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
     per_class = [export_trees(df.sparkSession, m) for m in model.boosted]
     given = F.array(*[F.col(n).cast("double") for n in names])
     ready = model.prepare(df).select(*df.columns, vector_to_array("features").alias("_scaled"), given.alias("_given"))
-    wide = _with_signed(ready, per_class, len(names), "_phi")
+    *first, last = _parts(per_class)
+    wide = _with_signed(ready, first, len(per_class), len(names), "_phi")
+    sent, before, classes = df.sparkSession.sparkContext.broadcast({"trees": last}), "_phi" if first else None, len(per_class)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StructType([
         T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
         T.StructField("shap", T.DoubleType())])))])
@@ -129,7 +139,7 @@ def top_attributions(model: SoftVoteModel, df: DataFrame, top_n: int = TOP_FEATU
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mean = np.abs(batch.column("_phi").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, len(names))).mean(axis=1)
+            mean = np.ascontiguousarray(np.abs(_signed(batch, sent.value, before, classes, len(names))).mean(axis=0).T)
             order = np.argsort(-mean, axis=1, kind="stable")[:, :top_n]
             n = order.shape[1]
             cells = order + np.arange(0, mean.size, mean.shape[1])[:, None]

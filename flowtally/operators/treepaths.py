@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rows of a block: the products of a tree of depth 7 stay in a core's cache.
-ROWS = 256
+#: Products of a block of rows and the edges of a tree that are held at once: they stay in a core's cache.
+CELLS = 1 << 16
 
 
 def path_tree(nodes: dict[int, dict], weight: float) -> dict:
@@ -75,8 +75,9 @@ def add_attributions(tree: dict, x: np.ndarray, phi: np.ndarray) -> None:
         return
     n_edges, points, _ = tree["factor"].shape
     kept = np.array(list(tree["replaced"]), int)
-    for at in range(0, x.shape[1], ROWS):
-        block = x[:, at:at + ROWS]
+    rows = max(64, CELLS // n_edges)
+    for at in range(0, x.shape[1], rows):
+        block = x[:, at:at + rows]
         n = block.shape[1]
         met, sums = np.empty((n_edges, n), bool), np.empty((n_edges, points, n))
         pair = np.ones((n_edges, 2, n))  # one and whether the condition is met, for each edge
