@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtally.operators.ensemble import SoftVoteModel
-from flowtally.operators.treepaths import add_attributions, margins_mean, path_tree
+from flowtally.operators.treepaths import add_attributions, keep_tables, margins_mean, path_tree
 from flowtally.session import fresh_path
 
 TOP_FEATURES = 10
@@ -61,6 +61,7 @@ def _ready(sent: dict) -> list[tuple[int, dict]]:
     """A worker's trees as path arrays: built once beside what was broadcast, used by all its batches and tasks."""
     if "ready" not in sent:
         sent["ready"] = [(at, path_tree(nodes, weight)) for at, (weight, nodes) in sent.pop("trees")]
+        keep_tables([tree for _, tree in sent["ready"]])
     return sent["ready"]
 
 
