@@ -11,14 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.operators.knn import BLOCK_ROWS, QUERY_LIMIT, TOP_K, _block, _cells, _first_k, _ids, _named, _out, _ranked, _trim, knn_exact
+from flowtally.operators.knn import BLOCK_ROWS, QUERY_LIMIT, TOP_K, Nearest, _by_blocks, _ids, _named, _out, _ranked, _vectors, knn_exact
 from flowtally.session import fresh_path
 
 #: Cells at most, and sample rows per cell that fit them.
@@ -135,52 +134,25 @@ def search(index: InvertedFile, queries: DataFrame, k: int = TOP_K, probes: int
     """Rows (query_id, chunk_id, distance, rank): the ``k`` nearest in the cells that a query visits, distances exact.
     Every query gets ``k`` rows if the index has so many.
 
-    Up to ``query_limit`` queries go to every task and only the visited cells are read; more meet the cells through a
-    shuffle, large cells and many queries of a cell in blocks.
+    Up to ``query_limit`` queries go to every task and only the visited cells are read; more go out in blocks, one after
+    the other.
     """
     spark = queries.sparkSession
     q, stored = _unit(_named(queries, query_id, query_vec), index.metric), index.rows(spark)
-    probes = probes or index.probes
-    known = q.limit(query_limit + 1).collect()
+    asked = _with_visits(index, q, k, probes or index.probes)
+    known = asked.limit(query_limit + 1).collect()
     if not known:
         return _ranked(spark.createDataFrame([], _out(q, stored)), k)
-    found = _by_tasks(index, known, stored, q, k, probes) if len(known) <= query_limit else _by_cells(index, q, stored, k, probes)
-    if index.metric == "cosine":
-        found = found.withColumn("distance", F.col("distance") / 2)
-    return _ranked(found, k)
-
-
-def _by_tasks(index: InvertedFile, known: list, stored: DataFrame, q: DataFrame, k: int, probes: int) -> DataFrame:
-    vecs = np.array([r["vec"] for r in known], dtype="float64")
-    order = _ordered(index.centres, vecs)
-    many = _enough(index.sizes, order, k, probes)
-    asked: dict[int, list[int]] = {}
-    for i, (cells, m) in enumerate(zip(order.tolist(), many.tolist())):
-        for cell in cells[:m]:
-            asked.setdefault(cell, []).append(i)
-    sent = q.sparkSession.sparkContext.broadcast((_ids([r["id"] for r in known]), vecs, {c: np.array(rows) for c, rows in asked.items()}))
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_vecs, visits = sent.value
-        best = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = batch.column("cell").to_numpy()
-            ids, vecs = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found = [] if best is None else [best]
-            for cell in np.unique(cells).tolist():
-                here, rows = visits.get(cell), cells == cell
-                if here is not None:
-                    found.append(_first_k(q_ids[here], q_vecs[here], ids[rows], vecs[rows], k, "l2"))
-            best = _trim(pd.concat(found), k) if found else None
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+    def found(some: list, cells: DataFrame) -> DataFrame:
+        near = _by_tasks(some, cells, _out(q, stored), k)
+        return _ranked(near.withColumn("distance", F.col("distance") / 2) if index.metric == "cosine" else near, k)
 
-    return stored.where(F.col("cell").isin(sorted(asked))).mapInArrow(nearest, _out(q, stored))
+    return found(known, stored) if len(known) <= query_limit else _by_blocks(asked, stored, found, written=True)
 
 
-def _by_cells(index: InvertedFile, q: DataFrame, stored: DataFrame, k: int, probes: int) -> DataFrame:
+def _with_visits(index: InvertedFile, q: DataFrame, k: int, probes: int) -> DataFrame:
+    """Queries with the cells that they visit, a bit for each cell."""
     sent = q.sparkSession.sparkContext.broadcast((index.centres, index.sizes))
     kind = q.schema["id"].dataType.simpleString()
 
@@ -188,21 +160,38 @@ def _by_cells(index: InvertedFile, q: DataFrame, stored: DataFrame, k: int, prob
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                vecs = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                order = _ordered(sent.value[0], vecs)
+                order = _ordered(sent.value[0], part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
                 many = _enough(sent.value[1], order, k, probes)
-                rows = np.repeat(np.arange(part.num_rows), many)
-                cells = np.concatenate([o[:m] for o, m in zip(order, many)])
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), taken.column("id"), taken.column("vec")], ["cell", "id", "vec"])
-
-    asked = q.mapInArrow(visits, f"cell int, id {kind}, vec array<double>")
-    pieces = -(-index.sizes // BLOCK_ROWS)  # blocks of each cell
-    blocks = F.array(*[F.lit(int(max(1, p))) for p in pieces])[F.col("cell")]
-    busy = max(1, -(-q.count() // QUERY_LIMIT))  # a cell is asked by all queries at most
-    left = asked.withColumn("_q", _block(busy)).withColumn("_c", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    right = stored.withColumn("_c", _block(blocks)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(busy - 1))))
-    return _cells(left, right, ["cell", "_q", "_c"], k, "l2")
+                visited = np.zeros(order.shape, bool)
+                np.put_along_axis(visited, order, np.arange(order.shape[1])[None, :] < many[:, None], axis=1)
+                bits = pa.array([row.tobytes() for row in np.packbits(visited, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), bits], ["id", "vec", "visits"])
+
+    return q.mapInArrow(visits, f"id {kind}, vec array<double>, visits binary")
+
+
+def _by_tasks(known: list, stored: DataFrame, out: str, k: int) -> DataFrame:
+    if not known:
+        return stored.sparkSession.createDataFrame([], out)
+    bits = np.array([np.frombuffer(r["visits"], np.uint8) for r in known])
+    visited = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0)))
+    sent = stored.sparkSession.sparkContext.broadcast((_ids([r["id"] for r in known]), _vectors(known), np.ascontiguousarray(bits.T)))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q_vecs, visits = sent.value
+        best = Nearest(q_ids, q_vecs, k, "l2")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            ids, vecs = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for cell in np.unique(cells).tolist():
+                here, rows = np.flatnonzero(visits[cell >> 3] & (128 >> (cell & 7))), cells == cell
+                if len(here):
+                    best.add(ids[rows], vecs[rows], here)
+        yield from best.batches()
+
+    return stored.where(F.col("cell").isin(visited.tolist())).mapInArrow(nearest, out)
 
 
 def compared_share(index: InvertedFile, queries: DataFrame, k: int = TOP_K, probes: int | None = None, query_id: str = "id", query_vec: str = "embedding") -> DataFrame:
