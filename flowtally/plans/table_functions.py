@@ -107,7 +107,7 @@ def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: Anomal
     a row for each row. Engineered features that ``t`` lacks should be put in before (``add_flow_features``)."""
     scorer = portable_scorer(spark, model, detector)
     shown = spark.range(1).select(*[display_name(F.lit(c), label_names, "CLASS_").alias(f"c{i}") for i, c in enumerate(model.classes)]).first()
-    names, batch = list(shown), BATCH
+    names, classes, batch = list(shown), [int(c) for c in scorer["classes"]], BATCH
     wanted = list(dict.fromkeys([*scorer["names"], *((scorer["detector"] or {}).get("names", []))]))
     added = [T.StructField("prediction", T.StringType()), T.StructField("label_id", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
              T.StructField("anomaly_score", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType())]
@@ -136,12 +136,12 @@ def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: Anomal
 
         def scored(self) -> Iterator[tuple]:
             rows, self.rows = self.rows, []
-            have = set(rows[0].asDict())
-            columns = {c: np.array([np.nan if r[c] is None else float(r[c]) for r in rows]) for c in wanted if c in have}
+            given = dict(zip(rows[0].__fields__, zip(*rows)))  # column by column: a row's fields are not looked up by name
+            columns = {c: np.array(given[c], dtype=float) for c in wanted if c in given}
             found = score_rows(scorer, columns, len(rows))
-            for i, row in enumerate(rows):
-                k = int(found["best"][i])
-                yield (*row, names[k], int(scorer["classes"][k]), round(float(found["confidence"][i]), 4), round(float(found["anomaly_score"][i]), 4), bool(found["is_anomaly"][i]))
+            told = zip(rows, *(found[c].tolist() for c in ("best", "confidence", "anomaly_score", "is_anomaly")))
+            for row, k, confidence, anomaly, flag in told:
+                yield (*row, names[k], classes[k], round(confidence, 4), round(anomaly, 4), flag)
 
     spark.udtf.register(name, F.udtf(ScoreFlows))
 

@@ -70,3 +70,18 @@ def test_retrieval(spark, monkeypatch):
     got = spark.sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY distance, id) AS rank FROM nearest_rows(TABLE(chunks), {asked}, 4)) WHERE rank <= 4").collect()
     want = knn_exact(df.where("id in (3, 20)"), df, 4).collect()
     assert {((3, 20)[r.query_no], r["rank"], r.id) for r in got} == {(r.query_id, r["rank"], r.chunk_id) for r in want}
+
+
+def test_rows_are_scored_column_by_column(spark, fitted, monkeypatch):
+    """A row's fields are not looked up by name one by one; whole numbers, gaps and flags come through."""
+    from pyspark.sql.types import Row
+    df, model, detector = fitted
+    made, plain = {}, F.udtf
+    monkeypatch.setattr(tf.F, "udtf", lambda cls: made.update({"run": cls}) or plain(cls))
+    tf.register_scoring(spark, model, detector)
+    monkeypatch.setattr(Row, "__getitem__", lambda *_: pytest.fail("looked up by name"))
+    run = made["run"]()
+    rows = [Row(f0=None, f1=1, f2=True, f3=0.5, key="a"), Row(f0=2.0, f1=None, f2=False, f3=float("nan"), key="b")]
+    assert [list(run.eval(r)) for r in rows] == [[], []]
+    out = list(run.terminate())
+    assert [r[4] for r in out] == ["a", "b"] and all(len(r) == 10 and isinstance(r[6], int) and isinstance(r[9], bool) for r in out)
