@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions.numeric import is_finite
-from flowtally.operators.ranged import PART, beside_parts, part_offsets, places, ranged, running_sums
+from flowtally.operators.ranged import PART, beside_parts, dealt_by_part, part_offsets, parts_for, places, ranged, running_sums
 from flowtally.operators.sized import small_side
 from flowtally.session import settled
 
@@ -58,8 +58,10 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, detail: str, parts
     """Rows (keys, value, detail, m, c, mid_rank): ``m`` rows with this value and detail, ``c``
     rows with this value, and the mean rank of those ``c`` rows in the group."""
     base, by = _keyed(_usable(df, [*keys, detail], value), keys)
-    rows = ranged(base.groupBy(*by, value, detail).agg(F.count(F.lit(1)).alias("m")), [*by, value], parts)  # rows of a value share a part
-    told = beside_parts(rows, by, part_offsets(rows, by, {"m": F.sum("m")}))
+    counts = settled(base.groupBy(*by, value, detail).agg(F.count(F.lit(1)).alias("m")), "counts")
+    parts = parts or parts_for(counts)
+    rows = ranged(counts, [*by, value], parts)  # rows of a value share a part
+    told = dealt_by_part(beside_parts(rows, by, part_offsets(rows, by, {"m": F.sum("m")})), by, parts)
     up_to = Window.partitionBy(*by, PART).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = told.withColumn("_upto", F.col("m_before") + F.sum("m").over(up_to)).withColumn(
         "c", F.sum("m").over(Window.partitionBy(*by, PART, value)))

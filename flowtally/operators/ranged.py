@@ -16,6 +16,13 @@ from flowtally.session import settled
 
 PART, AT = "_part", "_at"
 _PLACES = (1 << 33) - 1
+#: Rows of a part on average: more rows make more parts, so a task sorts about as many at any size.
+PART_ROWS = 500_000
+
+
+def parts_for(stored: DataFrame) -> int:
+    """Range parts for a stored table: one for each shuffle partition, more where they would pass ``PART_ROWS`` rows."""
+    return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.count() // PART_ROWS + 1)
 
 
 def ranged(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -49,6 +56,12 @@ def beside_parts(rows: DataFrame, by: Sequence[str], offsets: DataFrame) -> Data
     return rows.join(side, same).drop("_p", *[f"_by_{c}" for c in by])
 
 
+def dealt_by_part(rows: DataFrame, by: Sequence[str], parts: int) -> DataFrame:
+    """``rows`` of ``parts`` range parts ahead of a window over (``by``, part): a task gets about one part. Dealt by hash,
+    several parts would meet in a task."""
+    return rows.repartitionByRange(parts, PART, *by)
+
+
 def places(df: DataFrame, by: Sequence[str], order: Sequence[str], pos: str = "pos", total: str = "n", parts: int | None = None) -> DataFrame:
     """Every row with its exact place (from 0) in its group by ``order``, and the group's number of rows."""
     rows = ranged(df, [*by, *order], parts)
@@ -59,8 +72,10 @@ def places(df: DataFrame, by: Sequence[str], order: Sequence[str], pos: str = "p
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """Every row with, for each name of ``sums``, ``<name>_below`` (the sum of its column over the rows before, in its
     group and ``order``) and ``<name>_total``. ``order`` should tell rows apart."""
-    rows = ranged(df, [*by, *order], parts)
-    found = beside_parts(rows, by, part_offsets(rows, by, {n: F.sum(c) for n, c in sums.items()}))
+    stored = settled(df, "sums")
+    parts = parts or parts_for(stored)
+    rows = ranged(stored, [*by, *order], parts)
+    found = dealt_by_part(beside_parts(rows, by, part_offsets(rows, by, {n: F.sum(c) for n, c in sums.items()})), by, parts)
     inside = Window.partitionBy(*by, PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
     return found.select(*df.columns, *[(F.col(f"{n}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{n}_below") for n, c in sums.items()],
                         *[F.col(f"{n}_total") for n in sums])

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flowtally.operators import ranged
 from flowtally.operators.ordered import (cumulative_counts, exact_quantiles, mid_ranks, positions, quantile_columns, top_n)
 
 
@@ -97,3 +98,15 @@ def test_no_join_and_no_order_over_a_group(sample):
     _, df = sample
     plan = cumulative_counts(df, ["g"], "v", {"n": F.count(F.lit(1))})._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "_part" in plan
+
+
+def test_more_rows_make_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranged, "PART_ROWS", 50)
+    rows = [("a" if k % 3 else "b", float(k // 2), "x" if k % 2 else "y") for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double, d string")
+    got = mid_ranks(df, ["g"], "v", "d")
+    assert got.rdd.getNumPartitions() > 30  # the session has 4 shuffle partitions
+    for g, part in pd.DataFrame(rows, columns=["g", "v", "d"]).groupby("g"):
+        want = dict(zip(part.v, part.v.rank()))
+        found = got.where(F.col("g") == g).collect()
+        assert sum(r["m"] for r in found) == len(part) and {r["v"]: r["mid_rank"] for r in found} == want
