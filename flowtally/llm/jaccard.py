@@ -35,6 +35,9 @@ SET_ROWS = 400
 NAMED = 500_000
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
+#: Near pairs of a part's groups that are handed on to be tested: this many, or this share of its sets. More are tested
+#: inside the part, by the sets themselves.
+MANY_PAIRS = (64, 0.125)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 STEPS = ODD * np.arange(1, len(ODD) + 1, dtype=np.uint64)
 
@@ -332,19 +335,63 @@ def _near_pairs(names: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch
                     yield np.stack([names[a[x]], names[j[y]]], 1)
 
 
-def _crossed(table: pa.Table) -> pa.Table:
-    """The pairs of :func:`_near_pairs` for all groups of one part."""
-    group, name, label, size = (table[c].to_numpy() for c in ("g", "node", "label", "n"))
-    sketches = table["sketch"].to_pylist()
-    order = np.lexsort((name, group))
-    group = group[order]
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    found = [np.zeros((0, 2), np.int64)]
-    for a, b in zip(starts, np.append(starts[1:], len(group))):
-        rows = order[a:b]
-        found += _near_pairs(name[rows], label[rows], size[rows], [sketches[i] for i in rows])
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _groups_of(members: pa.Table, sets: pa.Table) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A part's sets in the order of their names, and for each group the places of its members there and their labels."""
+    sets = sets.sort_by("name")
+    order = np.argsort(members["g"].to_numpy(), kind="stable")
+    group, label = members["g"].to_numpy()[order], members["label"].to_numpy()[order]
+    at = np.searchsorted(sets["name"].to_numpy(), members["node"].to_numpy()[order])
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    return sets, ((at[a:b], label[a:b]) for a, b in zip(starts, np.append(starts[1:], len(group))))
+
+
+def _crossed(key: tuple, members: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of :func:`_near_pairs` for all groups of one part; where they are many for its sets, only its number."""
+    sets, groups = _groups_of(members, sets)
+    name, size, sketches = sets["name"].to_numpy(), sets["n"].to_numpy(), sets["sketch"].to_pylist()
+    most = max(MANY_PAIRS[0], int(MANY_PAIRS[1] * len(name)))
+    pairs, seen = np.zeros((0, 2), np.int64), 0
+    for at, label in groups:
+        for more in _near_pairs(name[at], label, size[at], [sketches[i] for i in at]):
+            pairs = np.concatenate([pairs, np.sort(more, axis=1)])
+            if len(pairs) > max(most, 2 * seen):
+                pairs = np.unique(pairs, axis=0)
+                seen = len(pairs)
+                if seen > most:
+                    return pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "part": pa.array([key[0].as_py()], pa.int64())})
+    pairs = np.unique(pairs, axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "part": pa.nulls(len(pairs), pa.int64())})
+
+
+def _joined(members: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of one part's groups: pairs are tested by their sets at once, and no more
+    where earlier links joined both. At most one row for each set."""
+    sets, groups = _groups_of(members, sets)
+    name, size, sketches = sets["name"].to_numpy(), sets["n"].to_numpy(), sets["sketch"].to_pylist()
+    shingles = [np.frombuffer(x.as_py(), np.uint64) for x in sets["shingles"]]
+    above: dict[int, int] = {}
+    refuted: set[tuple[int, int]] = set()
+    links = []
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for at, label in groups:
+        place, own = dict(zip(name[at].tolist(), at.tolist())), dict(zip(name[at].tolist(), label.tolist()))
+        for more in _near_pairs(name[at], label, size[at], [sketches[i] for i in at]):
+            for x, y in np.sort(more, axis=1).tolist():
+                p, q = root(own[x]), root(own[y])
+                if p == q or (x, y) in refuted:
+                    continue
+                if matches(shingles[place[x]], shingles[place[y]]):
+                    above[p] = q
+                    links.append((x, y))
+                elif len(refuted) < 10 * MEMORY:
+                    refuted.add((x, y))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
 def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) -> DataFrame:
@@ -381,11 +428,23 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     rows = several.agg(F.sum("m")).first()[0] or 0
     if not rows:
         return labels
-    told = member.join(several.select("g", "first"), "g").join(sketches.withColumnRenamed("name", "node"), "node")
     # groups with one first set tend to hold the same pairs: they go to eight parts at most, which give a pair once each
-    dealt = told.withColumn("part", F.pmod(F.xxhash64("first", F.pmod("g", F.lit(8))), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1))))
-    crossed = dealt.drop("first").groupBy("part").applyInArrow(_crossed, "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = _linked(settled(crossed, "pairs"), sketches, corpus)
+    part = F.pmod(F.xxhash64("first", F.pmod("g", F.lit(8))), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1)))
+    dealt = settled(member.join(several.select("g", "first"), "g").select(part.alias("part"), "g", "node", "label"), "dealt")
+
+    def beside(groups: DataFrame, sets: DataFrame, task, schema: str) -> DataFrame:
+        """``task`` on each part's groups and on the sets they name; a set goes to a part once, however many groups name it."""
+        named = groups.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(sets, "name")
+        return settled(groups.groupBy("part").cogroup(named.groupBy("for_part")).applyInArrow(task, schema), "pairs")
+
+    crossed = beside(dealt, sketches, _crossed, "a long, b long, part long")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _linked(settled(crossed.where("part IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, corpus)
+    dense = crossed.where("part IS NOT NULL").select("part")
+    if not dense.isEmpty():
+        inside = settled(dealt.join(dense, "part", "left_semi"), "dealt")
+        sets = corpus.of(inside.select(F.col("node").alias("name")).distinct(), _spelled, "name long, shingles binary")
+        links = links.unionByName(beside(inside, sketches.join(sets, "name"), _joined, "a long, b long"))
     return labels if links.isEmpty() else settled(components(links, labels), "labels")
 
 

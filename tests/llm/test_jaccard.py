@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from flowtally.llm import jaccard
 from flowtally.llm.components import components
@@ -92,3 +93,26 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}, 300: 200, 200: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_near_pairs_of_a_part_are_joined_inside_it(spark, monkeypatch):
+    r = random.Random(5)
+    texts = family(r, 120, 60, 0.02) + family(r, 30, 40, 0.04) + [f"w{k} x y z {k} v" for k in range(20)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    monkeypatch.setattr(jaccard, "MANY_PAIRS", (0, 0.0))
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x["id"] is None, x["id"] or 0, x["n_shingles"], x["component_id"]) for x in got), key=str) == brute(rows)
+
+
+def test_pairs_of_a_group_do_not_grow_with_its_square():
+    made = {}
+    for m in (200, 400):
+        base = np.arange(1, 101, dtype=np.uint64) * np.uint64(2**40 + 12345)
+        sets = [np.sort(np.concatenate([base, np.array([7 * k + 1], np.uint64)])) for k in range(m)]
+        groups = pa.table({"part": pa.array([3] * m), "g": pa.array([1] * m), "node": pa.array(range(m)), "label": pa.array(range(m))})
+        held = pa.table({"name": pa.array(range(m)), "n": pa.array([len(s) for s in sets]), "sketch": pa.array([jaccard.sketch(s) for s in sets], pa.binary()),
+                         "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        assert jaccard._crossed((pa.scalar(3),), groups, held).to_pylist() == [{"a": None, "b": None, "part": 3}]
+        made[m] = jaccard._joined(groups, held).num_rows
+    assert made == {200: 199, 400: 399}
