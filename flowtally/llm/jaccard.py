@@ -35,9 +35,10 @@ SET_ROWS = 400
 NAMED = 500_000
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
-#: Near pairs of a part's groups that are handed on to be tested: this many, or this share of its sets. More are tested
-#: inside the part, by the sets themselves.
+#: Near pairs of a part's groups that are handed on to be tested at once: this many, or this share of its sets. Where there
+#: are more, those that would join components go first; what these leave apart is gone through again, with WIDER times as many.
 MANY_PAIRS = (64, 0.125)
+WIDER = 8
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 STEPS = ODD * np.arange(1, len(ODD) + 1, dtype=np.uint64)
 
@@ -345,11 +346,11 @@ def _groups_of(members: pa.Table, sets: pa.Table) -> tuple[pa.Table, Iterator[tu
     return sets, ((at[a:b], label[a:b]) for a, b in zip(starts, np.append(starts[1:], len(group))))
 
 
-def _crossed(key: tuple, members: pa.Table, sets: pa.Table) -> pa.Table:
+def _crossed(key: tuple, members: pa.Table, sets: pa.Table, most: int | None = None) -> pa.Table:
     """The pairs of :func:`_near_pairs` for all groups of one part; where they are many for its sets, only its number."""
     sets, groups = _groups_of(members, sets)
     name, size, sketches = sets["name"].to_numpy(), sets["n"].to_numpy(), sets["sketch"].to_pylist()
-    most = max(MANY_PAIRS[0], int(MANY_PAIRS[1] * len(name)))
+    most = max(MANY_PAIRS[0], int(MANY_PAIRS[1] * len(name))) if most is None else most
     pairs, seen = np.zeros((0, 2), np.int64), 0
     for at, label in groups:
         for more in _near_pairs(name[at], label, size[at], [sketches[i] for i in at]):
@@ -364,13 +365,11 @@ def _crossed(key: tuple, members: pa.Table, sets: pa.Table) -> pa.Table:
 
 
 def _joined(members: pa.Table, sets: pa.Table) -> pa.Table:
-    """Links (a, b) that join the components of one part's groups: pairs are tested by their sets at once, and no more
-    where earlier links joined both. At most one row for each set."""
+    """Near pairs (a, b) that would join all components of one part's groups that near pairs may join, each of them with
+    another one by one pair: fewer rows than sets. They are still to be tested."""
     sets, groups = _groups_of(members, sets)
     name, size, sketches = sets["name"].to_numpy(), sets["n"].to_numpy(), sets["sketch"].to_pylist()
-    shingles = [np.frombuffer(x.as_py(), np.uint64) for x in sets["shingles"]]
     above: dict[int, int] = {}
-    refuted: set[tuple[int, int]] = set()
     links = []
 
     def root(x: int) -> int:
@@ -379,21 +378,39 @@ def _joined(members: pa.Table, sets: pa.Table) -> pa.Table:
         return x
 
     for at, label in groups:
-        place, own = dict(zip(name[at].tolist(), at.tolist())), dict(zip(name[at].tolist(), label.tolist()))
+        own = dict(zip(name[at].tolist(), label.tolist()))
         for more in _near_pairs(name[at], label, size[at], [sketches[i] for i in at]):
             for x, y in np.sort(more, axis=1).tolist():
                 p, q = root(own[x]), root(own[y])
-                if p == q or (x, y) in refuted:
-                    continue
-                if matches(shingles[place[x]], shingles[place[y]]):
+                if p != q:
                     above[p] = q
                     links.append((x, y))
-                elif len(refuted) < 10 * MEMORY:
-                    refuted.add((x, y))
     found = np.array(links, np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
+def _sifted(key: tuple, members: pa.Table, sets: pa.Table, wider: int) -> pa.Table:
+    """A part's near pairs while they are few; else those that join, and its number. ``wider``: times that it was told before."""
+    most = None if not wider else WIDER ** wider * max(MANY_PAIRS[0], sets.num_rows)
+    pairs = _crossed(key, members, sets, most)
+    if pairs["part"].null_count == len(pairs):
+        return pairs
+    joins = _joined(members, sets)
+    return pa.concat_tables([pairs, joins.append_column("part", pa.nulls(len(joins), pa.int64()))])
+
+
+def _sifter(wider: int):
+    def task(key: tuple, members: pa.Table, sets: pa.Table) -> pa.Table:
+        return _sifted(key, members, sets, wider)
+    return task
+
+
+def _of_several(member: DataFrame) -> DataFrame:
+    """The groups whose sets lie in several components: their number of members and least set."""
+    return (member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("node").alias("first"))
+            .where("lo <> hi").select("g", "m", "first"))
+
+
 def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) -> DataFrame:
     """node, label of every set with a similar other set. ``texts``: key, text; ``profile``: what :func:`_profile` gives.
 
@@ -423,8 +440,7 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
     member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
-    several = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("node").alias("first")).where("lo <> hi").select("g", "m", "first")
-    several = settled(several, "groups")
+    several = settled(_of_several(member), "groups")
     rows = several.agg(F.sum("m")).first()[0] or 0
     if not rows:
         return labels
@@ -432,20 +448,25 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     part = F.pmod(F.xxhash64("first", F.pmod("g", F.lit(8))), F.lit(max(least, rows // (GROUP_ROWS // 16) + 1)))
     dealt = settled(member.join(several.select("g", "first"), "g").select(part.alias("part"), "g", "node", "label"), "dealt")
 
-    def beside(groups: DataFrame, sets: DataFrame, task, schema: str) -> DataFrame:
-        """``task`` on each part's groups and on the sets they name; a set goes to a part once, however many groups name it."""
-        named = groups.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(sets, "name")
-        return settled(groups.groupBy("part").cogroup(named.groupBy("for_part")).applyInArrow(task, schema), "pairs")
-
-    crossed = beside(dealt, sketches, _crossed, "a long, b long, part long")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _linked(settled(crossed.where("part IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, corpus)
-    dense = crossed.where("part IS NOT NULL").select("part")
-    if not dense.isEmpty():
-        inside = settled(dealt.join(dense, "part", "left_semi"), "dealt")
-        sets = corpus.of(inside.select(F.col("node").alias("name")).distinct(), _spelled, "name long, shingles binary")
-        links = links.unionByName(beside(inside, sketches.join(sets, "name"), _joined, "a long, b long"))
-    return labels if links.isEmpty() else settled(components(links, labels), "labels")
+    tested, wider = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
+    while True:
+        # a set's sketch goes to a part once, however many groups name it
+        named = dealt.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(sketches, "name")
+        crossed = settled(dealt.groupBy("part").cogroup(named.groupBy("for_part")).applyInArrow(_sifter(wider), "a long, b long, part long"), "pairs")
+        fresh = settled(crossed.where("part IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = _linked(fresh, sketches, corpus)
+        if not links.isEmpty():
+            labels = settled(components(links, labels), "labels")
+        many = crossed.where("part IS NOT NULL").select("part")
+        if many.isEmpty():
+            return labels
+        # what the joining pairs left apart: tested pairs that fail keep their components apart, so more are told each time
+        again = dealt.join(many, "part", "left_semi").drop("label").join(labels, "node", "left").select("part", "g", "node", F.coalesce("label", "node").alias("label"))
+        again = settled(again, "dealt")
+        dealt = settled(again.join(_of_several(again).select("g"), "g", "left_semi"), "dealt")
+        if dealt.isEmpty():
+            return labels
+        tested, wider = tested.unionByName(fresh), wider + 1
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -116,3 +116,32 @@ def test_pairs_of_a_group_do_not_grow_with_its_square():
         assert jaccard._crossed((pa.scalar(3),), groups, held).to_pylist() == [{"a": None, "b": None, "part": 3}]
         made[m] = jaccard._joined(groups, held).num_rows
     assert made == {200: 199, 400: 399}
+
+
+def test_joining_pairs_need_no_shingles():
+    """Parts with many near pairs get names, sizes and sketches, not the sets: these were shuffled to each part."""
+    base = np.arange(1, 101, dtype=np.uint64) * np.uint64(2**40 + 12345)
+    sets = [np.sort(np.concatenate([base, np.array([7 * k + 1], np.uint64)])) for k in range(200)]
+    groups = pa.table({"part": pa.array([3] * 200), "g": pa.array([1] * 200), "node": pa.array(range(200)), "label": pa.array(range(200))})
+    held = pa.table({"for_part": pa.array([3] * 200), "name": pa.array(range(200)), "n": pa.array([len(s) for s in sets]), "sketch": pa.array([jaccard.sketch(s) for s in sets], pa.binary())})
+    told = jaccard._sifted((pa.scalar(3),), groups, held, 0).to_pylist()
+    assert [r["part"] for r in told].count(3) == 1 and len(told) == 200
+    assert len({x for r in told if r["part"] is None for x in (r["a"], r["b"])}) == 200
+    # told again, a part gives eight times as many if need be, in the end all pairs
+    assert len(jaccard._sifted((pa.scalar(3),), groups, held, 1)) == 200
+    assert len(jaccard._sifted((pa.scalar(3),), groups, held, 3)) == 200 * 199 // 2
+
+
+def test_joining_pairs_that_fail_leave_no_link_out(spark, monkeypatch):
+    r = random.Random(9)
+    passage = " ".join(f"shared{k}" for k in range(30))
+    texts = [passage + " " + " ".join(f"u{r.randint(0, 10**6)}" for _ in range(r.randint(9, 14))) for _ in range(40)]
+    texts += [t for s in (30, 36) for t in family(r, s, 25, 0.03)]
+    texts += [f"{t} {k}" for k, t in enumerate(texts[3:30:3])]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    monkeypatch.setattr(jaccard, "MANY_PAIRS", (0, 0.0))
+    monkeypatch.setattr(jaccard, "WIDER", 2)
+    monkeypatch.setattr(jaccard, "sketch", lambda shingles: bytes(32))  # lets all pairs of like sizes through
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x["id"] is None, x["id"] or 0, x["n_shingles"], x["component_id"]) for x in got), key=str) == brute(rows)
