@@ -133,3 +133,17 @@ def test_own_tokenizer(spark):
 def test_search_many(vulns):
     r = corpus.search_many(vulns, ["enough", "SHORT", "absent"], 1).collect()
     assert {(x.keyword, x.cve_id, x["rank"]) for x in r} == {("enough", "CVE-1", 1), ("SHORT", None, 1)}
+
+
+def test_pieces_are_searched_for_blanks_only_where_an_end_is_blank(spark):
+    """Chunks of odd texts are those of a plain trim of every piece, and whole pieces are not searched."""
+    blanks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", " ", " ", " ", "　"]
+    texts = [None, "", "x", *blanks, *[f"{b}a{b}b{b}" for b in blanks], "".join(blanks), "abcdef" + "\n\n\x85", "\U0001f600 \U0001f600", "  ab cd  ef gh " * 5, "​ a ﻿"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    size, step = 3 * tx.CHARS_PER_TOKEN, 2 * tx.CHARS_PER_TOKEN
+    got = {r["i"]: r["p"] for r in df.select("i", tx.chunks(F.col("t"), 3, 1).alias("p")).collect()}
+    cut = "".join(blanks) + "\x1d\x1e\x1f"
+    for i, t in enumerate(texts):
+        assert got[i] == [p for p in ((t or "")[k:k + size].strip(cut) for k in range(0, max(len(t or "") - 1, 0) + 1, step)) if p]
+    plan = df.select(tx.chunks(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan  # before, every piece was searched whole
