@@ -33,6 +33,8 @@ ROWS = 4_000
 SET_ROWS = 400
 #: Sets up to this number are named to every task (16 bytes each); more are joined by a shuffle of the texts.
 NAMED = 500_000
+#: Bits of a sketch that are folded into one of its brief form, which goes wherever pairs are many.
+FOLD = 4
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
 #: Near pairs of a part's groups that are handed on to be tested at once: this many, or this share of its sets. Where there
@@ -270,6 +272,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["name", "n", "sketch"])
 
 
+def brief(sketch: bytes) -> bytes:
+    """A sketch of fewer hash classes: what it tells apart differs, but it keeps similar sets together as the whole one does."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(FOLD, -1), axis=0).tobytes()
+
+
+def _briefed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches, ROWS):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([brief(x.as_py()) for x in batch.column(2)], pa.binary())], ["name", "n", "sketch"])
+
+
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Hashes()
     for batch in _pieces(batches, SET_ROWS):
@@ -296,17 +308,25 @@ def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, corpus: _Corpus) -> DataFrame:
-    """The pairs (a, b) that are similar: bounds on sizes and sketches first, then the sets themselves."""
-    def side(table: DataFrame, x: str, *cols: str) -> DataFrame:
-        return table.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+def _side(table: DataFrame, x: str, *cols: str) -> DataFrame:
+    return table.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+
 
-    near = (pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b").where(f"{LEAST[1]} * n_a >= {LEAST[0]} * n_b AND {LEAST[1]} * n_b >= {LEAST[0]} * n_a")
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches (whole or brief) allow."""
+    near = (pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b").where(f"{LEAST[1]} * n_a >= {LEAST[0]} * n_b AND {LEAST[1]} * n_b >= {LEAST[0]} * n_a")
             .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
             .mapInArrow(partial(_kept, test=lambda r: may_match(*r)), "a long, b long"))
-    near = settled(near, "pairs")
+    return settled(near, "pairs")
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, corpus: _Corpus) -> DataFrame:
+    """The pairs (a, b) that are similar: bounds on sizes and whole sketches first, then the sets themselves. Only what the
+    pairs name is moved: ``pairs`` should be stored, and few by brief sketches."""
+    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "wanted")
+    near = _close(pairs, sketches.join(F.broadcast(wanted) if wanted.count() <= NAMED else wanted, "name", "left_semi"))
     sets = corpus.of(near.select(F.explode(F.array("a", "b")).alias("name")).distinct(), _spelled, "name long, shingles binary")
-    full = near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    full = near.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
     return settled(full.mapInArrow(partial(_kept, test=lambda r: matches(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint64))), "a long, b long"), "links")
 
 
@@ -416,7 +436,8 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     Candidates are the groups of sets with one signature. Links within a component add nothing, so each group
     is first tested as a star around one set. A group that still holds several components is then gone through
-    with sizes and sketches, across components only; what these allow is tested, so no link is lost.
+    with sizes and sketches, across components only; what these allow is tested, so no link is lost. Pairs and
+    groups are many and most of them far apart, so they meet brief sketches, and only what these allow whole ones.
     """
     total = profile.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
     size = total["n"] or 0
@@ -436,7 +457,8 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     corpus = _Corpus(texts, profile)
     sketches = corpus.of(stars.select(F.explode(F.array("a", "b")).alias("name")).distinct(), _sketched, "name long, n long, sketch binary")
-    labels = settled(components(_linked(stars, sketches, corpus)), "labels")
+    briefs = settled(sketches.mapInArrow(_briefed, "name long, n long, sketch binary"), "briefs")
+    labels = settled(components(_linked(_close(stars, briefs), sketches, corpus)), "labels")
 
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
     member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
@@ -450,8 +472,8 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     tested, wider = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
     while True:
-        # a set's sketch goes to a part once, however many groups name it
-        named = dealt.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(sketches, "name")
+        # a set's brief sketch goes to a part once, however many groups name it
+        named = dealt.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(briefs, "name")
         crossed = settled(dealt.groupBy("part").cogroup(named.groupBy("for_part")).applyInArrow(_sifter(wider), "a long, b long, part long"), "pairs")
         fresh = settled(crossed.where("part IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _linked(fresh, sketches, corpus)

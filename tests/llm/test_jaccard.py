@@ -145,3 +145,35 @@ def test_joining_pairs_that_fail_leave_no_link_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "sketch", lambda shingles: bytes(32))  # lets all pairs of like sizes through
     got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((x["id"] is None, x["id"] or 0, x["n_shingles"], x["component_id"]) for x in got), key=str) == brute(rows)
+
+
+def test_brief_sketches_keep_similar_sets_and_tell_others_apart():
+    r = np.random.default_rng(2)
+    for size in [*range(1, 40), 64, 95, 128, 383, 1024, 1500]:
+        a, other = (np.unique(r.integers(0, 2**63, size, dtype=np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[size // 9:], r.integers(0, 2**63, size // 9, dtype=np.uint64)]))
+        whole, short = zip(*((x, jaccard.brief(x)) for x in map(jaccard.sketch, (a, b, other))))
+        assert [len(x) for x in short] == [len(x) // jaccard.FOLD for x in whole]
+        if jaccard.matches(a, b):
+            assert jaccard.may_match(len(a), len(b), short[0], short[1])
+        if size >= 64:
+            assert not jaccard.may_match(len(a), len(other), short[0], short[2])
+
+
+def test_pairs_of_stars_meet_brief_sketches_and_only_what_is_left_whole_ones(spark, monkeypatch):
+    """Every pair of a star carried a whole sketch through a shuffle, though nearly all pairs are far apart."""
+    r = random.Random(4)
+    passage = " ".join(f"shared{k}" for k in range(30))
+    texts = family(r, 200, 3, 0.01) + [passage + " " + " ".join(f"u{r.randint(0, 10**6)}" for _ in range(100)) for _ in range(30)]
+    rows, met, close = list(enumerate(texts)), [], jaccard._close
+
+    def spy(pairs, sketches):
+        kept = close(pairs, sketches)
+        met.append((pairs.count(), kept.count(), sketches.count(), max((len(x["sketch"]) for x in sketches.collect()), default=0)))
+        return kept
+
+    monkeypatch.setattr(jaccard, "_close", spy)
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x["id"] is None, x["id"] or 0, x["n_shingles"], x["component_id"]) for x in got), key=str) == brute(rows)
+    (pairs, left, sets, width), (named, _, whole_sets, whole) = met[:2]
+    assert named == left < pairs and whole_sets < sets and width <= 256 // jaccard.FOLD < whole
