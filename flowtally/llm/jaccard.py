@@ -33,8 +33,10 @@ ROWS = 4_000
 SET_ROWS = 400
 #: Sets up to this number are named to every task (16 bytes each); more are joined by a shuffle of the texts.
 NAMED = 500_000
-#: Bits of a sketch that are folded into one of its brief form, which goes wherever pairs are many.
+#: Bits of a sketch that are folded into one of its brief forms: for pairs of stars, which whole sketches are asked about next, and
+#: for the groups of parts, whose near pairs are counted and should be few (a quarter lets pairs through from 0.65 on, half from 0.71).
 FOLD = 4
+FOLD_OF_PARTS = 2
 #: Bytes of sketches that one comparison of a group goes through at once.
 TILE_BYTES = 1 << 24
 #: Near pairs of a part's groups that are handed on to be tested at once: this many, or this share of its sets. Where there
@@ -272,14 +274,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["name", "n", "sketch"])
 
 
-def brief(sketch: bytes) -> bytes:
+def brief(sketch: bytes, fold: int = FOLD) -> bytes:
     """A sketch of fewer hash classes: what it tells apart differs, but it keeps similar sets together as the whole one does."""
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(FOLD, -1), axis=0).tobytes()
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(fold, -1), axis=0).tobytes()
 
 
 def _briefed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches, ROWS):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([brief(x.as_py()) for x in batch.column(2)], pa.binary())], ["name", "n", "sketch"])
+        forms = [pa.array([brief(x, fold) for x in batch.column(2).to_pylist()], pa.binary()) for fold in (FOLD, FOLD_OF_PARTS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *forms], ["name", "n", "brief", "half"])
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,8 +460,8 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
 
     corpus = _Corpus(texts, profile)
     sketches = corpus.of(stars.select(F.explode(F.array("a", "b")).alias("name")).distinct(), _sketched, "name long, n long, sketch binary")
-    briefs = settled(sketches.mapInArrow(_briefed, "name long, n long, sketch binary"), "briefs")
-    labels = settled(components(_linked(_close(stars, briefs), sketches, corpus)), "labels")
+    briefs = settled(sketches.mapInArrow(_briefed, "name long, n long, brief binary, half binary"), "briefs")
+    labels = settled(components(_linked(_close(stars, briefs.select("name", "n", F.col("brief").alias("sketch"))), sketches, corpus)), "labels")
 
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
     member = settled(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
@@ -473,7 +476,7 @@ def set_components(spark: SparkSession, texts: DataFrame, profile: DataFrame) ->
     tested, wider = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
     while True:
         # a set's brief sketch goes to a part once, however many groups name it
-        named = dealt.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(briefs, "name")
+        named = dealt.select(F.col("part").alias("for_part"), F.col("node").alias("name")).distinct().join(briefs.select("name", "n", F.col("half").alias("sketch")), "name")
         crossed = settled(dealt.groupBy("part").cogroup(named.groupBy("for_part")).applyInArrow(_sifter(wider), "a long, b long, part long"), "pairs")
         fresh = settled(crossed.where("part IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _linked(fresh, sketches, corpus)
