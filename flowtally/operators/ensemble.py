@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, RandomForestClassificationModel,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from flowtally.functions.numeric import finite_or_zero
 from flowtally.functions.vectors import argmax, mean_vectors
+from flowtally.operators.boosting import fit_boosted
 from flowtally.operators.evaluate import classification_report, confusion
 from flowtally.operators.split import stratified_fold, stratified_split
 
@@ -117,30 +117,23 @@ def fit_soft_vote(df: DataFrame, names: Sequence[str], label: str = "label",
                   settings: TreeSettings | None = None) -> SoftVoteModel:
     """Fit preparation, one boosted model per class and a forest.
 
-    Each fit is a Spark job over all executors; the one-vs-rest fits share a persisted input
-    (disk is used when memory is short) and run a few at a time.
+    The boosted models grow in the same passes over binned rows (``boosting``); the forest is Spark ML's, over a
+    persisted input (disk is used when memory is short).
     """
     s = settings or TreeSettings()
     doubles = df.where(F.col(label).isNotNull()).withColumns({n: F.col(n).cast("double") for n in names})
     classes = class_ids(doubles, label)
     prep = preparation(names).fit(doubles)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("int")) - 1
-    ready = prep.transform(doubles).select("features", index.cast("double").alias("_y")).persist()
-    try:
-        def one(i: int) -> GBTClassificationModel:
-            rows = ready.withColumn("_is", (F.col("_y") == i).cast("double"))
-            return GBTClassifier(featuresCol="features", labelCol="_is", maxIter=s.trees, maxDepth=s.depth,
-                                 stepSize=s.rate, subsamplingRate=s.row_share, seed=s.seed,
-                                 featureSubsetStrategy=str(s.column_share)).fit(rows)
-
-        with ThreadPool(s.parallel_fits) as pool:
-            boosted = pool.map(one, range(len(classes)))
-        forest = None
-        if s.forest:
+    boosted = fit_boosted(doubles, names, prep, index, len(classes), s.trees, s.depth, s.rate, s.row_share, s.column_share, s.seed, s.parallel_fits) if classes else []
+    forest = None
+    if s.forest:
+        ready = prep.transform(doubles).select("features", index.cast("double").alias("_y")).persist()
+        try:
             forest = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=s.trees, maxDepth=s.depth,
                                             subsamplingRate=s.row_share, seed=s.seed).fit(ready)
-    finally:
-        ready.unpersist()
+        finally:
+            ready.unpersist()
     return SoftVoteModel(list(names), classes, prep, boosted, forest)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,16 @@ def settled(df: DataFrame, stem: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand rows to Python in batches of so many rows, whatever their bytes: for narrow rows, where looking
+    at the bytes after each row takes longer than the rows do."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
