@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,9 +103,18 @@ def score_rows(scorer: dict, columns: dict[str, np.ndarray], n: int) -> dict[str
     return out
 
 
-def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: AnomalyDetector | None = None, name: str = "score_flows", label_names: dict[int, str] = LABEL_NAMES) -> None:
+def rounded(values: np.ndarray, digits: int = 4) -> np.ndarray:
+    """Rounded as Python does: by the number itself, not by what scaling makes of it."""
+    scaled = values * 10.0 ** digits
+    out, near = np.rint(scaled) / 10.0 ** digits, np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-6
+    out[near] = [round(v, digits) for v in values[near].tolist()]
+    return out
+
+
+def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: AnomalyDetector | None = None, name: str = "score_flows", label_names: dict[int, str] = LABEL_NAMES, schema: T.StructType | None = None) -> None:
     """``score_flows(TABLE(t))``: the columns of ``t`` with prediction, label_id, confidence, anomaly_score, is_anomaly;
-    a row for each row. Engineered features that ``t`` lacks should be put in before (``add_flow_features``)."""
+    a row for each row. Engineered features that ``t`` lacks should be put in before (``add_flow_features``). With the
+    ``schema`` of the only table it is for, rows go through in Arrow batches instead of one by one."""
     scorer = portable_scorer(spark, model, detector)
     shown = spark.range(1).select(*[display_name(F.lit(c), label_names, "CLASS_").alias(f"c{i}") for i, c in enumerate(model.classes)]).first()
     names, classes, batch = list(shown), [int(c) for c in scorer["classes"]], BATCH
@@ -112,6 +122,12 @@ def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: Anomal
     added = [T.StructField("prediction", T.StringType()), T.StructField("label_id", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
              T.StructField("anomaly_score", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType())]
 
+    def with_scores(table: T.StructType) -> T.StructType:
+        clash = {f.name.lower() for f in table.fields} & {f.name for f in added}
+        if clash:
+            raise ValueError(f"the table has a column {sorted(clash)[0]} already")
+        return T.StructType([*table.fields, *added])
+
     class ScoreFlows:
         def __init__(self):
             self.rows = []
@@ -120,10 +136,7 @@ def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: Anomal
         def analyze(flows: AnalyzeArgument) -> AnalyzeResult:
             if not flows.isTable:
                 raise ValueError("give a table: TABLE(name)")
-            clash = {f.name.lower() for f in flows.dataType.fields} & {f.name for f in added}
-            if clash:
-                raise ValueError(f"the table has a column {sorted(clash)[0]} already")
-            return AnalyzeResult(schema=T.StructType([*flows.dataType.fields, *added]))
+            return AnalyzeResult(schema=with_scores(flows.dataType))
 
         def eval(self, flows) -> Iterator[tuple]:
             self.rows.append(flows)
@@ -143,7 +156,17 @@ def register_scoring(spark: SparkSession, model: SoftVoteModel, detector: Anomal
             for row, k, confidence, anomaly, flag in told:
                 yield (*row, names[k], classes[k], round(confidence, 4), round(anomaly, 4), flag)
 
-    spark.udtf.register(name, F.udtf(ScoreFlows))
+    class ScoreBatches:
+        def eval(self, flows: pa.RecordBatch) -> Iterator[pa.Table]:
+            for at in range(0, flows.num_rows, batch):
+                rows = flows.slice(at, batch)
+                columns = {c: rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in wanted if c in rows.schema.names}
+                found = score_rows(scorer, columns, rows.num_rows)
+                best = pa.array(found["best"])
+                yield pa.Table.from_arrays([*rows.columns, pa.array(names).take(best), pa.array(classes, pa.int32()).take(best), pa.array(rounded(found["confidence"])),
+                                            pa.array(rounded(found["anomaly_score"])), pa.array(found["is_anomaly"])], names=[*rows.schema.names, *(f.name for f in added)])
+
+    spark.udtf.register(name, F.udtf(ScoreFlows) if schema is None else F.arrow_udtf(ScoreBatches, returnType=with_scores(schema)))
 
 
 def register_table_search(spark: SparkSession, name: str = "rows_with", text: str = "text") -> None:
@@ -206,7 +229,7 @@ def register_table_retrieval(spark: SparkSession, name: str = "nearest_rows", id
 
 def score_table(spark: SparkSession, rows, model: SoftVoteModel, detector: AnomalyDetector | None = None):
     """A table of flows scored through the SQL function, engineered features derived where their base columns are there."""
-    register_scoring(spark, model, detector)
     base = {"total_fwd_packets", "total_bwd_packets", "total_len_fwd_packets", "total_len_bwd_packets", "flow_duration"}
     wide = add_flow_features(rows) if base <= set(rows.columns) else rows
+    register_scoring(spark, model, detector, schema=wide.schema)
     return spark.sql("SELECT * FROM score_flows(TABLE(SELECT * FROM {flows}))", flows=wide)

@@ -85,3 +85,19 @@ def test_rows_are_scored_column_by_column(spark, fitted, monkeypatch):
     assert [list(run.eval(r)) for r in rows] == [[], []]
     out = list(run.terminate())
     assert [r[4] for r in out] == ["a", "b"] and all(len(r) == 10 and isinstance(r[6], int) and isinstance(r[9], bool) for r in out)
+
+
+def test_batches_are_scored_as_single_rows_are(spark, fitted):
+    df, model, detector = fitted
+    tf.register_scoring(spark, model, detector)
+    single = spark.sql("SELECT * FROM score_flows(TABLE(SELECT * FROM {flows}))", flows=df)
+    batches = tf.score_table(spark, df, model, detector)
+    assert batches.schema == single.schema
+    assert sorted(map(str, batches.collect())) == sorted(map(str, single.collect()))
+    plan = batches._jdf.queryExecution().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
+
+
+def test_rounding_goes_by_the_number():
+    values = np.array([0.12345, 0.00005, 0.99995, 0.5, 0.33335000000000004, -0.00015])
+    assert tf.rounded(values).tolist() == [round(v, 4) for v in values.tolist()]
