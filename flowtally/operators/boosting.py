@@ -1,8 +1,8 @@
 """Boosted trees one-vs-rest, the models of all classes grown in the same passes over binned rows.
 
 Method, settings and draws are those of Spark ML's ``GBTClassifier`` (logistic loss, variance as impurity, 32 bins from a
-sample of 10,000 rows, a share of rows per tree and of features per node), and the fitted models are its models. Its own
-fit holds an object per row and class and goes through them once a class, tree and level. Here rows are bytes, a bin per
+sample of 10,000 rows, a share of rows per tree and of features per node), and the fitted models are its models, but where
+two splits of a node differ by rounding alone: either may then be taken, as sums meet in another order. Its own fit holds an object per row and class and goes through them once a class, tree and level. Here rows are bytes, a bin per
 feature, in blocks that are written once; a pass over them adds up one level of the trees of all classes. Tasks hold a
 block and the sums of a level; sums meet by (class, node, feature), where the best split is found.
 """
